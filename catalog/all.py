@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from catalog import analytics  # noqa: F401
+from catalog import text  # noqa: F401
