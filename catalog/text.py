@@ -234,7 +234,8 @@ ORDER BY weight DESC, word LIMIT 90""",
 
 def hot(f: Fixtures, **kw):
     units = N.text_units(f.texts, F.col("keyword") == LANG)
-    return H.top_keywords(units, "text", 30, TOKENS, must_contain=LETTER, weight="n_links", **kw)
+    counts = H.word_counts(units, "text", TOKENS, weight="n_links")
+    return H.top_keywords(counts, 30, TOKENS, must_contain=LETTER, **kw)
 
 
 query("top_keywords", duck(

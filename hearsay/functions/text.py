@@ -28,11 +28,10 @@ _BOUNDARY = "\u0002"  # token that stands for a clause boundary
 
 
 def _decode_numeric(text: Column) -> Column:
-    """Decode ``&#20013;`` and ``&#x4e2d;``."""
+    """Decode ``&#20013;`` and ``&#x4e2d;``; an unknown code stays as it is."""
     def decode(piece: Column) -> Column:
         number = F.regexp_extract(piece, r"^(x?)([0-9a-fA-F]+);", 2)
-        is_hex = piece.startswith("x")
-        code = F.when(is_hex, F.conv(number, 16, 10)).when(
+        code = F.when(piece.startswith("x"), F.conv(number, 16, 10)).when(
             number.rlike("^[0-9]+$"), number
         ).try_cast("bigint")
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
@@ -40,17 +39,19 @@ def _decode_numeric(text: Column) -> Column:
         rest = F.regexp_replace(piece, r"^x?[0-9a-fA-F]+;", "")
         return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
 
-    pieces = F.split(text, "&#")
-    decoded = F.concat(pieces[0], F.array_join(
-        F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decode), ""))
-    return F.when(text.contains("&#"), decoded).otherwise(text)
+    # The text before the first "&#" is no reference.
+    pieces = F.transform(F.split(text, "&#"), lambda x, i: F.when(i == 0, x).otherwise(decode(x)))
+    return F.array_join(pieces, "")
 
 
-def decode_entities(text: Column) -> Column:
-    out = text
+def _decode_amp(text: Column) -> Column:
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
+def _decode_named(text: Column) -> Column:
     for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(_decode_numeric(out), F.lit("&amp;"), F.lit("&"))
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
 
 
 def strip_html(text: Column, sep: str = " ", strip: bool = False) -> Column:
@@ -65,9 +66,16 @@ def strip_html(text: Column, sep: str = " ", strip: bool = False) -> Column:
         nodes = F.trim(nodes, F.lit(f"{_NODE} \t\n\r\f\u000b"))
     else:
         nodes = F.trim(nodes, F.lit(_NODE))
-    plain = decode_entities(F.replace(nodes, F.lit(_NODE), F.lit(sep)))
+    plain = F.replace(nodes, F.lit(_NODE), F.lit(sep))
+    named = _decode_named(plain)
     text = F.coalesce(text, F.lit(""))
-    return F.when(text.contains("<"), plain).otherwise(text)
+    # Cheap tests of the source decide, so most texts take a short branch.
+    return (
+        F.when(~text.contains("<"), text)
+        .when(~text.contains("&"), plain)
+        .when(~text.contains("&#"), _decode_amp(named))
+        .otherwise(_decode_amp(_decode_numeric(named)))
+    )
 
 
 def drop_tags(text: Column) -> Column:

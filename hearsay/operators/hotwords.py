@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, functions as F
 
 from hearsay.functions.text import CJK_REGEX, Tokenizer, is_word, regex_tokenizer
 
@@ -55,53 +56,74 @@ def corpus_idf(documents: DataFrame, doc_key: Sequence[str], text: str,
     )
 
 
-def top_keywords(
-    units: DataFrame, text: str, k: int = 30, tokenizer: Tokenizer | None = None,
-    idf: DataFrame | None = None, stopwords: DataFrame | None = None,
-    exclude: Sequence[str] = (), must_contain: str = CJK_REGEX, min_length: int = 2,
-    weight: str | None = None,
+def word_counts(
+    units: DataFrame, text: str, tokenizer: Tokenizer | None = None, weight: str | None = None
 ) -> DataFrame:
-    """Hot words of a corpus: (word, weight), heaviest first, at most ``k``.
+    """Table (word, n, df) of a corpus: occurrences, and texts with the word.
 
-    tf is the share of a word among all tokens of two or more characters. ``idf`` is a table
-    (word, idf); unseen words take its median. Without one, document frequencies of the same
-    corpus serve. As three times ``k`` candidates are weighed before noise, stopwords and
-    ``exclude`` are dropped, the result may be shorter than ``k``. ``weight`` names a
-    multiplicity column. The corpus is never put together in one place.
+    The row of the empty word counts the non-blank texts. ``weight`` names a multiplicity
+    column. Words have two or more characters.
     """
     tokenizer = tokenizer or regex_tokenizer()
     times = F.col(weight) if weight else F.lit(1).cast("bigint")
     # Sorted tokens next to their predecessor: the first of equal neighbours counts for df,
-    # so tf and df come from one explode and one map-side combined aggregate.
-    words = F.array_sort(tokenizer(F.col(text)))
+    # so tf and df come from one explode and one map-side combined aggregate. An empty word
+    # per non-blank text counts the texts in the same pass.
+    marks = F.when(F.col(text) != "", F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")
+    )
+    found = F.array_sort(F.filter(tokenizer(F.col(text)), lambda t: F.char_length(t) >= 2))
+    words = F.concat(marks, found)
     before = F.concat(F.array(F.lit(None).cast("string")), words)
-    tokens = units.select(
-        times.alias("_times"), F.explode(F.arrays_zip(words.alias("word"), before.alias("last")))
-        .alias("t"),
-    ).select("_times", "t.*").where(F.char_length("word") >= 2)
+    pairs = F.arrays_zip(words.alias("word"), before.alias("last"))
+    tokens = units.select(times.alias("_times"), F.explode(pairs).alias("t")).select(
+        "_times", "t.*"
+    ).where(F.col("word").isNotNull())
     starts = F.col("last").isNull() | (F.col("last") != F.col("word"))
-    counted = tokens.groupBy("word").agg(
+    return tokens.groupBy("word").agg(
         F.sum("_times").alias("n"), F.sum(F.when(starts, F.col("_times"))).alias("df")
     )
+
+
+def top_keywords(
+    counts: DataFrame, k: int = 30, tokenizer: Tokenizer | None = None,
+    idf: DataFrame | None = None, stopwords: DataFrame | None = None,
+    exclude: Sequence[str] = (), must_contain: str = CJK_REGEX, min_length: int = 2,
+) -> DataFrame:
+    """Hot words: (word, weight), heaviest first, at most ``k``, from :func:`word_counts`.
+
+    tf is the share of a word among all tokens of two or more characters. ``idf`` is a table
+    (word, idf); unseen words take its median. Without one, the document frequencies of the
+    corpus itself serve. As three times ``k`` candidates are weighed before noise, stopwords
+    and ``exclude`` are dropped, the result may be shorter than ``k``. The corpus is never
+    put together in one place.
+
+    The counts are read twice, for the totals and for the weights: they are persisted (one
+    small row per distinct word), so the texts are cleaned and tokenized once. Unpersist
+    ``counts`` when done.
+    """
+    tokenizer = tokenizer or regex_tokenizer()
+    counted = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    is_mark = F.col("word") == ""
+    total = counted.agg(F.sum(F.when(~is_mark, F.col("n")))).scalar()
     if idf is None:
-        n_texts = units.agg(F.sum(times)).scalar()
+        n_texts = counted.agg(F.sum(F.when(is_mark, F.col("df")))).scalar()
         weighed = counted.withColumn("idf", F.ln((n_texts + 1) / (F.col("df") + 1)))
     else:
         median = idf.agg(F.percentile_approx("idf", 0.5)).scalar()
         weighed = counted.join(idf.select("word", "idf"), "word", "left").withColumn(
             "idf", F.coalesce("idf", median)
         )
-    total = counted.agg(F.sum("n")).scalar()
+    score = F.round(F.col("n") * F.col("idf") / total, 9)
     candidates = (
-        weighed.select("word", (F.col("n") * F.col("idf") / total).alias("weight"))
-        .withColumn("weight", F.round("weight", 9))
-        .orderBy(F.desc("weight"), "word").limit(3 * k)
-        .where(is_word(F.col("word"), must_contain, min_length))
+        weighed.select("word", F.when(~is_mark, score).alias("weight"))
+        .orderBy(F.desc_nulls_last("weight"), "word").limit(3 * k)
+        .where(F.col("weight").isNotNull() & is_word(F.col("word"), must_contain, min_length))
     )
     if stopwords is not None:
         candidates = candidates.join(stopwords.select("word").distinct(), "word", "left_anti")
     if exclude:
-        spark = units.sparkSession
+        spark = counts.sparkSession
         terms = spark.range(1).select(F.explode(F.array(*map(F.lit, exclude))).alias("term"))
         dropped = terms.select("term").unionByName(
             terms.select(F.explode(tokenizer(F.col("term"))).alias("term"))

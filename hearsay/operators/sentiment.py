@@ -122,11 +122,13 @@ def score_texts(
 
 
 def text_units(
-    c: Corpus, where: Column, sources: Sequence[str] = SOURCES, by: Sequence[str] = (),
+    c: Corpus, where: Column, sources: Sequence[str] = SOURCES
 ) -> DataFrame:
-    """Non-blank cleaned texts of posts, answers and comments with their multiplicity.
+    """Cleaned texts of posts, answers and comments with their multiplicity.
 
-    Columns: source, platform, post_id, unit_id, published_at, text, n_links.
+    Columns: source, platform, post_id, unit_id, published_at, text, n_links. Blank texts are
+    still in: a filter on the cleaned text would be pushed below the joins and clean texts no
+    keyword reaches. They are dropped by their length after scoring.
     """
     links = c.links.where(where)
     parts = []
@@ -154,7 +156,7 @@ def text_units(
     units = parts[0]
     for part in parts[1:]:
         units = units.unionByName(part)
-    return units.where(F.col("text") != "")
+    return units
 
 
 UNIT_KEYS = ["source", "platform", "post_id", "unit_id"]
@@ -171,7 +173,7 @@ def scored_units(
     return score_texts(
         units, UNIT_KEYS, "text", lexicon, tokenizer, clause_regex,
         keep=["published_at", "preview", "length", "n_links"],
-    )
+    ).where(F.col("length") > 0)
 
 
 def sentiment_for_keyword(scored: DataFrame) -> DataFrame:
@@ -226,7 +228,7 @@ def sentiment_by_day(scored: DataFrame) -> DataFrame:
 def sentiment_breakdown(scored: DataFrame) -> DataFrame:
     """Label counts and shares in the order pos, neu, neg; absent labels are left out."""
     counts = scored.groupBy("label").agg(F.sum("n_links").cast("bigint").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # at most three rows
     position = F.when(F.col("label") == "pos", 0).when(F.col("label") == "neu", 1).otherwise(2)
     return counts.select(
         "label", "n", F.round(F.col("n") * 100 / total, 1).alias("percent")
@@ -252,10 +254,10 @@ def sentiment_summary_all_keywords(
     post before the keywords are joined, so a hot post or keyword is one row at that join.
     """
     def per_post(units: DataFrame, keys: list[str]) -> DataFrame:
-        scored = score_texts(units.where(F.col("text") != ""), keys, "text", lexicon,
-                             tokenizer, clause_regex)
+        units = units.withColumn("length", F.char_length("text"))
+        scored = score_texts(units, keys, "text", lexicon, tokenizer, clause_regex, ["length"])
         one = F.lit(1).cast("bigint")
-        return scored.groupBy("platform", "post_id").agg(
+        return scored.where(F.col("length") > 0).groupBy("platform", "post_id").agg(
             F.count(F.lit(1)).alias("units"), F.sum("score").alias("score"),
             *_label_counts(one),
         )

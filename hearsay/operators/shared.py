@@ -65,6 +65,12 @@ def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
     )
 
 
+def _in_blocks(df: DataFrame, keys: Sequence[str], order: str, block: int) -> DataFrame:
+    # Partitioned once; the windows and the per-block aggregate need no further shuffle.
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    return blocked.repartition(*keys, "_block")
+
+
 def previous_in_blocks(
     df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], block: int
 ) -> DataFrame:
@@ -75,7 +81,7 @@ def previous_in_blocks(
     Needs (keys, order) to be unique; a block then holds at most ``block`` rows.
     """
     payload = F.struct(order, *values)
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    blocked = _in_blocks(df, keys, order, block)
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
     rows = blocked.withColumn("_prev", F.lag(payload).over(inside))
     lasts = blocked.groupBy(*keys, "_block").agg(F.max_by(payload, order).alias("_last"))
@@ -95,7 +101,7 @@ def running_total(
 ) -> DataFrame:
     """Add the inclusive running sum of ``value`` along the integer ``order`` of each key,
     in blocks for the same reason as :func:`previous_in_blocks`."""
-    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    blocked = _in_blocks(df, keys, order, block)
     inside = (
         Window.partitionBy(*keys, "_block").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
