@@ -69,8 +69,14 @@ def stream_growth(f):
     return f.spark.read.parquet(f"{path}/out").drop(S.BATCH)
 
 
-query("stream_growth", duck(f"""
+def stream_growth_stateful(f):
+    stream, path = landed(f, f.fx_snapshots, "growth-state", per_trigger=4)
+    return f.spark.read.parquet(S.run_available(S.growth_stateful(stream), path))
+
+
+GROWTH = duck(f"""
 SELECT platform, post_id, fetched_at, fetched_at - lag(fetched_at) OVER w AS seconds,
   {', '.join(f'{c} - lag({c}) OVER w AS {c}_delta' for c in M.COUNTERS)}
-FROM fx_snapshots WINDOW w AS (PARTITION BY platform, post_id ORDER BY fetched_at)"""))(
-    stream_growth)
+FROM fx_snapshots WINDOW w AS (PARTITION BY platform, post_id ORDER BY fetched_at)""")
+query("stream_growth", GROWTH)(stream_growth)
+query("stream_growth_stateful", GROWTH)(stream_growth_stateful)

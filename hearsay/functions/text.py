@@ -14,7 +14,7 @@ CJK_REGEX = "[一-鿿㐀-䶿]"
 
 # Named character references found in social text; '&amp;' is decoded last.
 ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
     ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&middot;", "·"),
     ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
     ("&times;", "×"), ("&copy;", "©"), ("&reg;", "®"), ("&deg;", "°"), ("&yen;", "¥"),

@@ -69,7 +69,7 @@ def word_counts(
     # Sorted tokens next to their predecessor: the first of equal neighbours counts for df,
     # so tf and df come from one explode and one map-side combined aggregate. An empty word
     # per non-blank text counts the texts in the same pass.
-    marks = F.when(F.col(text) != "", F.array(F.lit(""))).otherwise(
+    marks = F.when(F.trim(text) != "", F.array(F.lit(""))).otherwise(
         F.array().cast("array<string>")
     )
     found = F.array_sort(F.filter(tokenizer(F.col(text)), lambda t: F.char_length(t) >= 2))

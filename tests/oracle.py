@@ -44,7 +44,7 @@ def _canonical(table):
     return names, kinds, rows
 
 
-def compare(spark_df, oracle) -> str | None:
+def compare(spark_df, oracle, allow_empty: bool = False) -> str | None:
     """None when equal, else what differs."""
     names_a, kinds_a, rows_a = _canonical(spark_df.toArrow())
     names_b, kinds_b, rows_b = _canonical(oracle)
@@ -55,7 +55,7 @@ def compare(spark_df, oracle) -> str | None:
                                if kinds_a[n] != kinds_b[n]})
     if len(rows_a) != len(rows_b):
         return f"row count {len(rows_a)} != {len(rows_b)}"
-    if not rows_a:
+    if not rows_a and not allow_empty:
         return "no rows: nothing compared"
     bad = [(a, b) for a, b in zip(rows_a, rows_b) if a != b]
     if bad:
