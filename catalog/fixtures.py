@@ -12,6 +12,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from hearsay.operators.retrieve import Corpus
+from hearsay.sources.tables import widened
+
+PROSE = ("documents", "conversations", "pages")
 
 PREFIX = {
     "bili": "https://www.bilibili.com/video/",
@@ -256,12 +259,18 @@ class Fixtures:
                     r"CAST(\1 AS TIMESTAMP_NTZ))",
                     ADAPTERS[name],
                 ).replace('"', "`")
-                parts = {n: getattr(self, n) for n in _names(sql)}
+                # Only adapters that hand on whole texts profit from more partitions.
+                narrow = name in ("fx_text_links", "fx_text_videos", "fx_text_answers")
+                parts = {n: self._read(n) if narrow else getattr(self, n) for n in _names(sql)}
                 self._cache[name] = self.spark.sql(sql, **parts)
             else:
-                self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = self._read(name)
+                self._cache[name] = widened(df) if name in PROSE else df
         return self._cache[name]
 
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
     @property
     def corpus(self) -> Corpus:
         return Corpus(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions.scalars import utc_text
@@ -24,10 +25,28 @@ class Corpus:
     answers: DataFrame  # id, question_id
     runs: DataFrame | None = None
     snapshots: DataFrame | None = None
+    # Persist and count the key sets (links of a keyword or run) before joining them. Spark
+    # then knows their true size: it broadcasts a small set, so posts and comments are not
+    # shuffled at all, and falls back to the shuffled, salted joins for a large one.
+    measure_keys: bool = False
+    measured: list[DataFrame] = field(default_factory=list, compare=False)
+
+    def keys(self, df: DataFrame) -> DataFrame:
+        if self.measure_keys:
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            df.count()
+            self.measured.append(df)
+        return df
+
+    def release(self) -> None:
+        """Drop the persisted key sets."""
+        while self.measured:
+            self.measured.pop().unpersist()
 
     @staticmethod
-    def from_tables(tables: Tables) -> "Corpus":
+    def from_tables(tables: Tables, measure_keys: bool = False) -> "Corpus":
         return Corpus(
+            measure_keys=measure_keys,
             posts=posts_unified(tables),
             comments=comments_unified(tables),
             links=tables["keyword_posts"],
@@ -57,7 +76,7 @@ def linked_posts(c: Corpus, where: Column | None = None, by: Sequence[str] = ())
     links = c.links if where is None else c.links.where(where)
     counted = links.groupBy(*by, "platform", "post_id").agg(F.count(F.lit(1)).alias("n_links"))
     spread = counted.withColumn("platform", F.explode(unified_platforms(F.col("platform"))))
-    return c.posts.join(spread, ["platform", "post_id"])
+    return c.posts.join(c.keys(spread), ["platform", "post_id"])
 
 
 def posts_for_keyword(
@@ -98,7 +117,8 @@ def answer_ids(c: Corpus, links: DataFrame, by: Sequence[str] = ()) -> DataFrame
 def nested_answers(c: Corpus, links: DataFrame) -> DataFrame:
     """Answer posts under the questions of the given links."""
     answers = c.posts.where(F.col("platform") == "zhihu_answer")
-    return answers.join(answer_ids(c, links), "post_id", "left_semi").select(c.posts.columns)
+    ids = c.keys(answer_ids(c, links))
+    return answers.join(ids, "post_id", "left_semi").select(c.posts.columns)
 
 
 def answers_for_keyword(c: Corpus, keyword: str, ordered: bool = True) -> DataFrame:
@@ -123,7 +143,7 @@ def comment_keys(c: Corpus, links: DataFrame, by: Sequence[str] = ()) -> DataFra
 
 
 def comments_under(c: Corpus, links: DataFrame) -> DataFrame:
-    keys = comment_keys(c, links)
+    keys = c.keys(comment_keys(c, links))
     found = semi_join(c.comments, keys, ["platform", "post_id"], ["comment_id"])
     return found.select(c.comments.columns)
 
@@ -146,7 +166,9 @@ def posts_for_run(c: Corpus, run_id: int) -> DataFrame:
         links.select(F.explode(unified_platforms(F.col("platform"))).alias("platform"), "post_id")
         .distinct()
     )
-    direct = c.posts.join(keys, ["platform", "post_id"], "left_semi").select(c.posts.columns)
+    direct = c.posts.join(c.keys(keys), ["platform", "post_id"], "left_semi").select(
+        c.posts.columns
+    )
     return direct.unionByName(nested_answers(c, links)).orderBy(
         F.asc("platform"), F.desc_nulls_last("published_at"), F.asc("post_id")
     )

@@ -64,10 +64,12 @@ def score_texts(
     keep = [k for k in keep if k not in keys]
     tokens = tokens_with_boundaries(F.col(text), tokenizer, clause_regex, WINDOW)
     head = F.col("pos") == -1
+    # Head rows match no term. They are spread, should the lexicon join be a shuffle.
+    unlike_a_word = F.concat(F.lit("\u0003"), F.pmod(F.xxhash64(*keys), F.lit(4096)))
     exploded = (
         units.select(
             *keys, F.struct(F.lit(True).alias("_"), *keep).alias("_kept"),
-            F.posexplode(F.concat(F.array(F.lit("")), F.coalesce(tokens, F.array()))),
+            F.posexplode(F.concat(F.array(unlike_a_word), F.coalesce(tokens, F.array()))),
         )
         .select(*keys, "_kept", (F.col("pos") - 1).alias("pos"), F.col("col").alias("term"))
         .select(*keys, F.when(head, F.col("_kept")).alias("_kept"), "pos", "term")

@@ -19,10 +19,13 @@ class Report:
 
     tables: dict[str, DataFrame]
     persisted: list[DataFrame] = field(default_factory=list)
+    corpus: Corpus | None = None
 
     def release(self) -> None:
         for df in self.persisted:
             df.unpersist()
+        if self.corpus is not None:
+            self.corpus.release()
 
     def write(self, path: str, fmt: str = "parquet", chinese: bool = False) -> None:
         """One folder per table below ``path``."""
@@ -42,8 +45,10 @@ def keyword_report(
     distribution, platform comparison, samples and runs.
 
     ``days`` keeps posts and comments published within that many days before ``as_of``.
-    Texts are scored once for all sentiment tables and the posts of the keyword joined once.
+    Texts are scored once for all sentiment tables. The keyword's links are persisted and
+    measured first (see ``Corpus.measure_keys``), as every table starts from them.
     """
+    c = replace(c, measure_keys=True, measured=[])
     if days is not None:
         if as_of is None:
             raise ValueError("days needs as_of, the epoch seconds to count back from")
@@ -75,7 +80,7 @@ def keyword_report(
     }
     if c.runs is not None:
         tables["runs"] = retrieve.run_summary(c.runs, keyword).limit(10)
-    return Report(tables, [scored, counts])
+    return Report(tables, [scored, counts], c)
 
 
 def all_keywords_report(

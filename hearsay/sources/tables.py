@@ -27,6 +27,17 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {t: read_table(spark, root, t) for t in SCHEMAS}
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """A scan with at least one partition per core, for text work on small inputs.
+
+    A file of few row groups is read by few tasks, however expensive the expressions on its
+    texts are. Such a scan is spread over the cores; an input with enough splits, as any
+    large one has, is returned as it is and pays no shuffle. Only for plain scans.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def create_tables(spark: SparkSession, root: str) -> None:
     """Empty folders for tables that do not exist yet; existing ones are left alone."""
     for table, schema in SCHEMAS.items():

@@ -218,3 +218,14 @@ def test_tables_on_disk(spark, tables, tmp_path, rows):
     assert rows(row_counts(back)) == [("bili_videos", 2)]
     found = scan(back["bili_videos"], "like > 0", parse_raw=True)
     assert rows(found, "bvid", "raw_parsed") == [("7", None)]
+
+
+def test_measured_keys_are_broadcast_and_give_the_same(spark, tables, rows):
+    plain, measured = Corpus.from_tables(tables), Corpus.from_tables(tables, measure_keys=True)
+    for fn in (R.posts_for_keyword, R.answers_for_keyword, R.comments_for_keyword):
+        assert rows(fn(measured, "k")) == rows(fn(plain, "k"))
+    text = R.comments_for_keyword(measured, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert measured.measured
+    measured.release()
+    assert not measured.measured
