@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from catalog.fixtures import duck
 from catalog.registry import query

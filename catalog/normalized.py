@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.fixtures import duck
 from catalog.registry import query
-from catalog.writes import both, ddb
+from catalog.writes import both
 from hearsay.normalize import bili as B, common as C, responses as P, tieba as TB, weibo as WB
 from hearsay.normalize import zhihu as Z
 

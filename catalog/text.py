@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import analytics
 from catalog.analytics import DAY
 from catalog.fixtures import (
-    CLAUSES, LETTER, LEXICON, STOPWORDS, TOKEN_REGEX, Fixtures, LP, duck,
+    CLAUSES, LETTER, LEXICON, STOPWORDS, TOKEN_REGEX, Fixtures, duck,
 )
 from catalog.registry import query
 from hearsay.functions import scalars as S, text as X, times as T

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hearsay.functions.scalars import utc_day
-from hearsay.operators.merge import first_wins
+from hearsay.operators.merge import first_wins, latest_wins, upsert
 from hearsay.operators.metrics import COUNTERS
 from hearsay.operators.shared import previous_in_blocks
 
@@ -76,8 +77,6 @@ def upsert_log(stream: DataFrame, keys: Sequence[str], seq: str, path: str) -> S
     batch changes nothing and no batch rewrites the table. Columns of a row are taken as a
     whole.
     """
-    from hearsay.operators.merge import latest_wins
-
     def append(batch: DataFrame, batch_id: int) -> None:
         latest_wins(batch, keys, seq).write.mode("overwrite").parquet(
             f"{path}/log/{BATCH}={batch_id}"
@@ -92,7 +91,6 @@ def upsert_log(stream: DataFrame, keys: Sequence[str], seq: str, path: str) -> S
 def merged(spark: SparkSession, base: DataFrame, path: str, schema, keys: Sequence[str],
            seq: str, null_overwrites: bool = True) -> DataFrame:
     """The table with all logged updates applied: one aggregate per key over base and log."""
-    from hearsay.operators.merge import upsert
     log = spark.read.schema(schema).parquet(f"{path}/log")
     return upsert(base, log, keys, seq, null_overwrites)
 
@@ -125,6 +123,7 @@ def growth_batches(stream: DataFrame, path: str, block_seconds: int = 86400) ->
             state = spark.read.parquet(f"{path}/state/{BATCH}={batch_id - 1}")
             fresh = rows.join(state.select(*SNAPSHOT_KEY), list(SNAPSHOT_KEY), "left_anti")
             rows = fresh.unionByName(state.withColumn("is_new", F.lit(False)))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read for the changes and the state
         changes = previous_in_blocks(rows, key, "fetched_at", COUNTERS, block_seconds)
         changes.where("is_new").select(
             *SNAPSHOT_KEY, (F.col("fetched_at") - F.col("prev.fetched_at")).alias("seconds"),
@@ -134,6 +133,7 @@ def growth_batches(stream: DataFrame, path: str, block_seconds: int = 86400) ->
         rows.groupBy(*key).agg(F.max_by(values, "fetched_at").alias("last")).select(
             *key, "last.*"
         ).write.mode("overwrite").parquet(f"{path}/state/{BATCH}={batch_id}")
+        rows.unpersist()
 
     return (
         stream.writeStream.option("checkpointLocation", f"{path}/checkpoint")
