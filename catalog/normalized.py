@@ -194,7 +194,8 @@ SELECT question_id, concat('<html><head><script id="js-initialData" type="text/j
       'title', concat('q', CAST(question_id AS STRING)), 'detail', '<p>d</p>',
       'answerCount', n, 'visit_count', n + 1, 'topicIds', array('t1', 't2', 't3'))),
     'topics', map('t1', named_struct('name', 'one'), 't2', named_struct('name', '')),
-    'answers', map_from_entries(answers))))), '</script></head><body></body></html>') AS html
+    'answers', map_from_entries(transform(answers, (x, i) ->
+      struct(concat(x.k, '-', CAST(i AS STRING)), x.v))))))), '</script></head><body></body></html>') AS html
 FROM (SELECT l_orderkey AS question_id, count(*) AS n, array_sort(collect_list(struct(
     CAST((l_partkey * 10000000 + l_suppkey) * 100 + l_linenumber AS STRING) AS k,
     named_struct('id', (l_partkey * 10000000 + l_suppkey) * 100 + l_linenumber,
@@ -214,7 +215,8 @@ SELECT id, question_id, author_id, author_name, voteup_count, comment_count, cre
     CAST(l_linenumber AS BIGINT) AS comment_count, CAST(epoch(l_shipdate) AS BIGINT)
       AS created_time, l_linestatus AS content,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, CAST(
-      (l_partkey * 10000000 + l_suppkey) * 100 + l_linenumber AS VARCHAR)) AS r
+      (l_partkey * 10000000 + l_suppkey) * 100 + l_linenumber AS VARCHAR),
+      l_returnflag, l_shipdate, l_linestatus) AS r
   FROM lineitem WHERE l_returnflag <> 'R') WHERE r <= 3""")(
     lambda f: Z.embedded_answers(both(f, STATE, lineitem=f.lineitem), 3).drop("raw"))
 query("norm_embedded_questions", """
