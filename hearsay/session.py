@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,16 +32,14 @@ def build_session(app: str = "hearsay", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a fresh local folder is used.
+    Where the setting is missing, a folder in the warehouse is used, which all executors share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured.rstrip("/")
-    fallback = tempfile.mkdtemp(prefix="hearsay-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
