@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import mixing
+from llm import mixing, packing
 
 QUERIES = {}
 ORACLES = {}
@@ -26,3 +26,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"),
     )
+
+
+@_query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack(table(spark, sf_dir, "documents"))
