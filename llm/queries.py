@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import mixing, packing
+from llm import mixing, packing, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -32,3 +32,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn(
+        "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))

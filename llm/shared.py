@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import os
 import uuid
+import zipfile
 from typing import Callable, Iterator, Sequence
 
 import numpy as np
@@ -107,4 +110,29 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype, width: int) -> np.ndarray:
 
 def arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with a function over record batches."""
+    _ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the executors this package once per application, by way of the shared folder, unless
+    their search path has it."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or hasattr(context, "_llm"):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for package in ("llm", "hearsay"):
+            for folder, _, names in os.walk(f"{root}/{package}"):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = f"{folder}/{name}"
+                        z.write(full, os.path.relpath(full, root))
+    target = f"{scratch(spark, 'package')}/llm-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(target)
+    context._llm = target
