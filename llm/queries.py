@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import mixing, packing, toxicity
+from llm import mixing, packing, repeats, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -41,3 +41,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).withColumn(
         "predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@_query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that an earlier one has."""
+    kept = repeats.remove(table(spark, sf_dir, "documents"), digest=True)
+    return kept.select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
