@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import mixing, packing, repeats, toxicity
+from llm import mixing, packing, quality, repeats, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -48,3 +48,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the passages that an earlier one has."""
     kept = repeats.remove(table(spark, sf_dir, "documents"), digest=True)
     return kept.select("doc.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn(
+        "predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
