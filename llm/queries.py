@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import mixing, packing, quality, repeats, toxicity
+from llm import jaccard, mixing, packing, quality, repeats, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -57,3 +57,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).withColumn(
         "predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+@_query
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document under five-word Jaccard similarity 0.8."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
