@@ -3,9 +3,11 @@
 A window is ``WINDOW`` consecutive words of one text. A word is removed when it lies in a window
 whose words also start a window of a document with a smaller id.
 
+0. Of equal texts only the one with the smallest id takes part: all windows of the others repeat.
 1. *Which suffixes matter.* In every window the smallest hash of ``PREFIX`` consecutive words is
    its anchor, so equal windows have equal anchors. Anchors (one word position in about eighteen)
-   are counted over all texts; a window can only repeat if its anchor occurs in two documents.
+   are counted over all texts; a window can only repeat if its anchor occurs in two texts. A
+   window that a text repeats is one suffix.
 2. *Prefix partitions.* Every such window start is a suffix. Its prefix has variable length:
    ``PREFIX`` words, or the whole window where the anchor is so frequent that the short prefix
    would gather too many suffixes. Equal windows have equal anchors, so they agree on the length.
@@ -89,7 +91,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows whose anchor is shared: prefix hash, window hash, id, key and start."""
+    """The distinct windows whose anchor is shared: prefix and window hash, id, key, first start."""
     for batch in batches:
         shared = batch.column("anchors")
         for c in words.chunks(batch.column("text")):
@@ -106,15 +108,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.argsort(known)
                 known = known[order]
                 place = np.minimum(np.searchsorted(known, low[a:b]), len(known) - 1)
-                keep[a:b] = known[place] == low[a:b]
                 flags = item.field("often").to_numpy(zero_copy_only=False)[order]
                 often[a:b] = flags[place]
+                one = a + np.unique(window[a:b], return_index=True)[1]
+                keep[one] = (known[place] == low[a:b])[one - a]
             rows = pa.array(c.lo + doc[keep])
-            branch = np.where(often, window, prefix)[keep]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(rows), batch.column("key").take(rows),
                  pa.array(start[keep].astype(np.int32)), pa.array(often[keep]),
-                 pa.array(branch.view(np.int64)), pa.array(window[keep].view(np.int64))],
+                 pa.array((prefix[keep] >> np.uint64(33)).astype(np.int32)),
+                 pa.array(window[keep].view(np.int64))],
                 ["id", "key", "start", "often", "prefix", "window"])
 
 
@@ -139,53 +142,66 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(id, key, starts): for each document with removed words, the starts of the windows that an
-    earlier document has. ``docs`` has id, key and text."""
-    anchors = cut(arrow(docs, _anchors, "id bigint, key bigint, anchor bigint"), "anchors")
+    """(id, k1, k2, starts) for the first document of every text: the starts of its windows that
+    an earlier document has (null: none; a window that it repeats is named once). ``docs`` has id,
+    k1, k2 (key of the text) and text."""
+    owners = docs.groupBy("k1", "k2").agg(F.min("id").alias("id"))
+    keyed = docs.withColumn("key", F.col("k1"))
+    anchors = cut(arrow(keyed.select("id", "key", "text"), _anchors,
+                        "id bigint, key bigint, anchor bigint"), "anchors")
     shared = anchors.groupBy("anchor").agg(
-        F.min("id").alias("_a"), F.max("id").alias("_b"), F.count(F.lit(1)).alias("_n")
+        F.min("key").alias("_a"), F.max("key").alias("_b"), F.count(F.lit(1)).alias("_n")
     ).where("_a < _b").select("anchor", (F.col("_n") > FREQUENT).alias("often"))
     per_doc = anchors.join(shared, "anchor").groupBy("id", "key").agg(
         F.collect_list(F.struct("anchor", "often")).alias("anchors"))
-    texts = docs.join(per_doc, ["id", "key"])
+    first = owners.withColumn("key", F.col("k1"))
+    texts = keyed.join(per_doc.join(first, ["id", "key"]), ["id", "k1", "k2", "key"])
     suffixes = cut(arrow(
         texts.select("id", "key", "text", "anchors"), _suffixes,
-        "id bigint, key bigint, start int, often boolean, prefix bigint, window bigint"),
+        "id bigint, key bigint, start int, often boolean, prefix int, window bigint"),
         "suffixes")
     rare = suffixes.where(~F.col("often")).select("prefix", "window", "id", "key", "start")
     walked = arrow(
         rare.repartition("prefix").sortWithinPartitions("prefix", "window", "id"), _subtrees,
         "id bigint, key bigint, start int")
     hot = suffixes.where("often")
-    owners = hot.groupBy("window").agg(F.min("id").alias("owner"), F.max("id").alias("_b")).where(
+    # A frequent anchor's suffixes have whole-window prefixes: each prefix is one node.
+    owner = hot.groupBy("window").agg(F.min("id").alias("owner"), F.max("id").alias("_b")).where(
         "owner < _b").select(
         "window", "owner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     met = hot.withColumn("_salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int")).join(
-        owners, ["window", "_salt"]).where(F.col("id") > F.col("owner"))
-    return walked.union(met.select("id", "key", "start")).groupBy("id", "key").agg(
-        F.array_sort(F.collect_set("start")).alias("starts"))
+        owner, ["window", "_salt"]).where(F.col("id") > F.col("owner"))
+    found = walked.union(met.select("id", "key", "start")).groupBy("id", "key").agg(
+        F.collect_set("start").alias("starts"))
+    return first.join(found, ["id", "key"], "left").drop("key")
 
 
-def _covered(starts: np.ndarray, n: int) -> np.ndarray:
+def _covered(found: np.ndarray, window: np.ndarray, n: int) -> np.ndarray:
+    """Words in a window whose hash is that of one of the windows at ``found``."""
+    known = np.sort(window[found])
+    place = np.minimum(np.searchsorted(known, window), len(known) - 1)
+    starts = np.flatnonzero(known[place] == window)
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + WINDOW, n), -1)
+    edge[starts] += 1
+    edge[starts + WINDOW] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n_words, n_removed and the kept words joined by one space, next to ``doc``."""
     for batch in batches:
-        starts = batch.column("starts")
+        starts, first = batch.column("starts"), batch.column("first").to_numpy(False)
         for c in words.chunks(batch.column("text")):
-            w = words.split(c.raw, c.offsets)
+            w, doc, _, _, window, _ = _windows(c.raw, c.offsets)
+            bounds = np.searchsorted(doc, np.arange(c.hi - c.lo + 1))
             data = c.raw.tobytes()
             total, gone, texts = [], [], []
             for i in range(c.hi - c.lo):
                 a, b = w.first[i], w.first[i + 1]
-                drop = np.zeros(b - a, bool)
+                drop = np.full(b - a, not first[c.lo + i] and b - a >= WINDOW)
                 if starts[c.lo + i].is_valid:
-                    drop = _covered(starts[c.lo + i].values.to_numpy(), b - a)
+                    drop = _covered(starts[c.lo + i].values.to_numpy(),
+                                    window[bounds[i] : bounds[i + 1]], b - a)
                 total.append(b - a)
                 gone.append(int(drop.sum()))
                 texts.append(b" ".join([data[x:y] for x, y in zip(
@@ -209,10 +225,11 @@ def remove(docs: DataFrame, carry: list[str] | None = None, digest: bool = False
     its SHA-256 (``kept_sha256``) of every document."""
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"),
-        F.xxhash64("text").alias("key"), F.col("text"),
-        F.struct(*(carry or ["doc_id"])).alias("doc"))
-    found = repeats(rows.select("id", "key", "text"))
-    joined = rows.join(found, ["id", "key"], "left").select("doc", "text", "starts")
+        F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"),
+        F.col("text"), F.struct(*(carry or ["doc_id"])).alias("doc"))
+    found = repeats(rows.select("id", "k1", "k2", "text")).withColumn("first", F.lit(True))
+    joined = rows.join(found, ["id", "k1", "k2"], "left").select(
+        "doc", "text", "starts", F.coalesce("first", F.lit(False)).alias("first"))
     kind = rows.schema["doc"].dataType.simpleString()
     last = "kept_sha256" if digest else "kept"
     return arrow(joined, _digest if digest else _kept,
