@@ -27,7 +27,7 @@ with equal id and text are copies; an empty table gives no rows. Only doc_id and
 from __future__ import annotations
 
 import math
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,19 +114,19 @@ def in_blocks(members: DataFrame, key: str, size: str, block: int) -> DataFrame:
     )
 
 
-def near_pairs(sketch: np.ndarray, bounds: np.ndarray, own: np.ndarray, apart: np.ndarray,
-               least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of the same group with at least ``least`` equal entries. Groups are compared at
+def near_pairs(alike: Callable, bounds: np.ndarray, own: np.ndarray, apart: np.ndarray
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs (i, j) of the same group for which ``alike(i, j)``. Groups are compared at
     distance 1, 2, ... between rows, all groups at once. In groups marked ``apart`` only rows of
     different blocks are compared."""
     end = np.repeat(bounds[1:], np.diff(bounds))
     split = np.repeat(apart, np.diff(bounds))
-    rows, left, right = np.arange(len(sketch)), [], []
+    rows, left, right = np.arange(len(end)), [], []
     for k in range(1, int(np.diff(bounds).max(initial=0))):
         rows = rows[rows + k < end[rows]]
         for part in range(0, len(rows), 65536):
             i = rows[part : part + 65536]
-            hit = np.count_nonzero(sketch[i] == sketch[i + k], 1) >= least
+            hit = alike(i, i + k)
             hit &= ~split[i] | (own[i] != own[i + k])
             left.append(i[hit])
             right.append(i[hit] + k)
@@ -142,8 +142,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = group_bounds(table, keys)
         apart = (table.column("lo").to_numpy() != table.column("hi").to_numpy())[bounds[:-1]]
         sketch = matrix(table.column("sketch"), np.uint8, HASHES)
-        a, b = near_pairs(sketch, bounds, table.column("own").to_numpy(), apart,
-                          math.ceil(MAYBE * HASHES))
+        least = math.ceil(MAYBE * HASHES)
+        a, b = near_pairs(lambda i, j: np.count_nonzero(sketch[i] == sketch[j], 1) >= least,
+                          bounds, table.column("own").to_numpy(), apart)
         root = roots(len(node), a, b, node)
         edge = np.unique(np.stack([node, root], 1)[root != node], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])

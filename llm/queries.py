@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import jaccard, mixing, packing, quality, repeats, toxicity
+from llm import jaccard, lattice, mixing, packing, quality, repeats, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -63,3 +63,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document under five-word Jaccard similarity 0.8."""
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding under cosine 0.95."""
+    return lattice.near_dups(table(spark, sf_dir, "embeddings"))
