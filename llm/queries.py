@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import jaccard, lattice, mixing, packing, quality, repeats, toxicity
+from llm import jaccard, lattice, mixing, packing, quality, repeats, search, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -69,3 +69,9 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding under cosine 0.95."""
     return lattice.near_dups(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others of every embedding whose id is divisible by 20."""
+    return search.nearest(table(spark, sf_dir, "embeddings"))
