@@ -223,14 +223,30 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove(docs: DataFrame, carry: list[str] | None = None, digest: bool = False) -> DataFrame:
     """doc (struct of the ``carry`` columns), n_words, n_removed, and the kept text (``kept``) or
     its SHA-256 (``kept_sha256``) of every document."""
+    carry = carry or ["doc_id"]
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"),
         F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"),
-        F.col("text"), F.struct(*(carry or ["doc_id"])).alias("doc"))
+        F.col("text"), F.struct(*carry).alias("doc"))
     found = repeats(rows.select("id", "k1", "k2", "text")).withColumn("first", F.lit(True))
-    joined = rows.join(found, ["id", "k1", "k2"], "left").select(
-        "doc", "text", "starts", F.coalesce("first", F.lit(False)).alias("first"))
+    # A text that is carried anyway is moved once.
+    own = rows.drop("text") if "text" in carry else rows
+    joined = own.join(found, ["id", "k1", "k2"], "left").select(
+        "doc", F.col("doc.text" if "text" in carry else "text").alias("text"), "starts",
+        F.coalesce("first", F.lit(False)).alias("first"))
     kind = rows.schema["doc"].dataType.simpleString()
     last = "kept_sha256" if digest else "kept"
     return arrow(joined, _digest if digest else _kept,
                  f"doc {kind}, n_words bigint, n_removed bigint, {last} string")
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents without their repeated words. A text that loses none stays as it is; every
+    row and column stays; n_chars, where there is one, follows the text."""
+    found = remove(docs, docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("doc.text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast(
+        dict(docs.dtypes).get("n_chars", "bigint"))).otherwise(F.col("doc.n_chars"))
+        if "n_chars" in docs.columns else None}
+    return found.select(*(
+        new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns))
