@@ -1,18 +1,54 @@
-"""The corpus pipeline: each stage is one operator, written as Parquet before the next reads it."""
+"""The corpus pipeline: every stage is one operator, written as Parquet before the next reads it.
+
+Toxic documents go, one of each group of near copies stays, passages that an earlier document has
+are taken out, the sources are mixed to their weights, and the mix is packed into sequences. All
+stages but the last return the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import mixing
+from llm import jaccard, mixing, packing, repeats, toxicity
 from llm.shared import cut
 
+# Hash order, bounds fitted on labels and approximate candidates have no SQL form; the tests hold
+# every stage against a brute-force version instead.
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold; learned from the labels of ``docs``' rows."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group under five-word Jaccard similarity 0.8."""
+    return jaccard.dedup(docs)
 
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word passages that an earlier one has."""
+    return repeats.clean(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them, in order of service."""
     return mixing.mix(docs)
 
 
-STAGES = [("mixing", mixed)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and offset."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("passages", drop_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
