@@ -130,9 +130,9 @@ def _encoder(path: str) -> _Encoder:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, store: str = "<u4") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document's ids (and the
-    ``ids`` as little-endian unsigned 32-bit values)."""
+    ``ids`` as little-endian unsigned integers of type ``store``)."""
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path is None:
             import public_tokenizers
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None,
                 start = piece * capacity
                 length = np.minimum(capacity, np.repeat(size, n) - start)
                 at = np.repeat(bounds[:-1], n) + start
-                data = ids.astype("<u4", copy=False)
+                data = ids.astype(store, copy=False)
                 parts = [data[a : a + k] for a, k in zip(at, length)]
                 columns = [
                     batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import jaccard, lattice, mixing, packing, quality, repeats, search, toxicity
+from llm import (
+    chat, jaccard, lattice, mixing, packing, quality, repeats, search, toxicity, training_order,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -75,3 +77,18 @@ def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest others of every embedding whose id is divisible by 20."""
     return search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token record of every sequence of every document in its slot of the training order."""
+    return training_order.materialise(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, rendered."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op5_chat"] = chat.SQL
