@@ -206,7 +206,7 @@ FROM (SELECT l_orderkey AS question_id, count(*) AS n, array_sort(collect_list(s
       'createdTime', EPOCH(l_shipdate), 'content', concat('<p>', l_linestatus, '</p>')) AS v)))
     AS answers
   FROM {lineitem} GROUP BY l_orderkey)"""
-query("norm_embedded_state", """
+EMBEDDED = """
 SELECT id, question_id, author_id, author_name, voteup_count, comment_count, created_time,
   CAST(NULL AS BIGINT) AS updated_time, content FROM (
   SELECT (l_partkey * 10000000 + l_suppkey) * 100 + l_linenumber AS id,
@@ -217,7 +217,10 @@ SELECT id, question_id, author_id, author_name, voteup_count, comment_count, cre
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, CAST(
       (l_partkey * 10000000 + l_suppkey) * 100 + l_linenumber AS VARCHAR),
       l_returnflag, l_shipdate, l_linestatus) AS r
-  FROM lineitem WHERE l_returnflag <> 'R') WHERE r <= 3""")(
+  FROM lineitem WHERE l_returnflag <> 'R')"""
+query("norm_embedded_state", EMBEDDED)(
+    lambda f: Z.embedded_answers(both(f, STATE, lineitem=f.lineitem)).drop("raw"))
+query("norm_embedded_state_capped", EMBEDDED + " WHERE r <= 3")(
     lambda f: Z.embedded_answers(both(f, STATE, lineitem=f.lineitem), 3).drop("raw"))
 query("norm_embedded_questions", """
 SELECT l_orderkey AS id, 'q' || l_orderkey AS title, 'd' AS detail, count(*) AS answer_count,
@@ -230,10 +233,15 @@ SELECT conv_id AS answer_id, to_json(named_struct('data', array_sort(collect_lis
   'at', turn, 'id', conv_id * 100 + turn, 'author', named_struct('id', role, 'name', role),
   'content', text, 'vote_count', turn, 'created_time', conv_id))))) AS body
 FROM {conversations} GROUP BY conv_id"""
-query("norm_answer_comments", """
+ANSWER_COMMENTS = """
 SELECT conv_id * 100 + turn AS comment_id, conv_id AS answer_id, role AS author_id,
   role AS author_name, text AS content, turn AS like_count, conv_id AS created_time
-FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3""")(
+FROM conversations"""
+query("norm_answer_comments", ANSWER_COMMENTS)(
+    lambda f: Z.norm_answer_comments(
+        f.spark.sql(COMMENTS, conversations=f.conversations)).drop("raw"))
+query("norm_answer_comments_capped", ANSWER_COMMENTS + """
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3""")(
     lambda f: Z.norm_answer_comments(
         f.spark.sql(COMMENTS, conversations=f.conversations), 3).drop("raw"))
 
@@ -287,11 +295,16 @@ SELECT CAST(conv_id AS STRING) AS post_id, CAST(floor(turn / 2) AS BIGINT) AS pa
     named_struct('id', conv_id * 100 + turn, 'user', named_struct('id', turn,
       'screen_name', role), 'text', text, 'created_at', '2024-01-02', 'like_count', turn))))))
   AS body FROM {conversations} GROUP BY 1, 2"""
-query("norm_hotflow", """
+HOTFLOW_ROWS = """
 SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS comment_id, CAST(conv_id AS VARCHAR) AS post_id,
   CASE turn WHEN 0 THEN '0' ELSE CAST(turn AS VARCHAR) END AS user_id, role AS user_name, text,
   turn AS like_count, '2024-01-02' AS created_at, 1704153600::BIGINT AS created_ts
-FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3""")(
+FROM conversations"""
+query("norm_hotflow", HOTFLOW_ROWS)(
+    lambda f: WB.norm_hotflow(f.spark.sql(HOTFLOW, conversations=f.conversations),
+                              1718000000).drop("raw"))
+query("norm_hotflow_capped", HOTFLOW_ROWS + """
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3""")(
     lambda f: WB.norm_hotflow(f.spark.sql(HOTFLOW, conversations=f.conversations),
                               1718000000, 3).drop("raw"))
 
@@ -327,10 +340,15 @@ HIT = """
 SELECT CAST(doc_id AS STRING) AS tid, lang AS title, 'seen' AS excerpt, source AS forum_name,
   lang AS author_name, source AS author_id, n_chars AS reply_num, '' AS created_at,
   doc_id + 1 AS created_ts FROM {documents}"""
-query("norm_floors", """
+FLOORS = """
 SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS pid, CAST(conv_id AS VARCHAR) AS tid,
   turn + 1 AS floor, role AS author_name, 'p' AS author_id, trim(role || ' ' || text) AS content,
   '' AS created_at, nullif(turn, 0) AS created_ts FROM conversations
+"""
+query("norm_floors", FLOORS + " QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) >= 2")(
+    lambda f: TB.norm_floors(
+        f.spark.sql(THREADS, conversations=f.conversations)).drop("raw"))
+query("norm_floors_capped", FLOORS + """
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) BETWEEN 2 AND 4""")(
     lambda f: TB.norm_floors(
         f.spark.sql(THREADS, conversations=f.conversations), 3).drop("raw"))

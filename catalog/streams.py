@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from catalog.analytics import DAY
 from catalog.fixtures import duck
 from catalog.registry import query
-from catalog.writes import MERGED, UPDATES, BASE, both
+from catalog.writes import BASE, UPDATES, both, merged_sql
 from hearsay.operators import metrics as M
 from hearsay.session import scratch_path
 from hearsay.streaming import snapshots as S
 
 
-def landed(f, df, label, per_trigger: int = 2, files: int = 4):
+def landed(f, df, label, per_trigger: int = 1, files: int = 4):
     """Write a table as a few files and open it as a stream."""
     path = scratch_path(f.spark, label)
     df.repartition(files).write.parquet(f"{path}/in")
@@ -25,7 +27,7 @@ def stream_dedupe(f):
     twice = f.fx_snapshots.unionByName(f.fx_snapshots)
     stream, path = landed(f, twice, "dedupe")
     return f.spark.read.schema(twice.schema).parquet(
-        S.run_available(S.dedupe_snapshots(stream, "3650 days"), path))
+        S.run_available(S.dedupe_snapshots(stream), path))
 
 
 query("stream_snapshot_dedupe", duck("SELECT * FROM fx_snapshots"))(stream_dedupe)
@@ -34,7 +36,7 @@ query("stream_snapshot_dedupe", duck("SELECT * FROM fx_snapshots"))(stream_dedup
 def stream_volume(f):
     stream, path = landed(f, f.fx_posts, "volume")
     return f.spark.read.parquet(
-        S.run_available(S.daily_volume(stream, "36500 days"), path, "complete"))
+        S.run_available(S.daily_volume(stream), path, "complete"))
 
 
 query("stream_daily_volume", duck(f"""
@@ -46,27 +48,35 @@ SELECT {DAY.format('published_at')} AS day, platform, count(*) AS n_posts,
 FROM fx_posts WHERE published_at IS NOT NULL GROUP BY 1, 2"""))(stream_volume)
 
 
-def stream_upsert(f):
+def stream_upsert(f, null_overwrites=True):
     updates = both(f, UPDATES, orders=f.orders)
     stream, path = landed(f, updates, "upsert")
     S.upsert_log(stream, ["id"], "seq", path).awaitTermination()
     base = both(f, BASE, customer=f.customer)
-    # First-seen times depend on batch borders when a row is new in the stream, so they are
-    # left to the batch query.
-    return S.merged(f.spark, base.drop("fetched_at"), path, updates.schema, ["id"], "seq")
+    return S.merged(f.spark, base, path, updates.schema, ["id"], "seq", null_overwrites)
 
 
-query("stream_upsert", duck("""
-SELECT COALESCE(b.id, l.id) AS id, b.title,
-  CASE WHEN l.id IS NULL THEN b.content ELSE l.content END AS content,
-  COALESCE(l.likes, b.likes) AS likes FROM base b FULL JOIN last l ON b.id = l.id""",
-    **MERGED))(stream_upsert)
+query("stream_upsert", merged_sql(
+    "CASE WHEN l.id IS NULL THEN b.content ELSE l.content END"))(stream_upsert)
+query("stream_upsert_keep_nulls", merged_sql("COALESCE(s.content, b.content)"))(
+    lambda f: stream_upsert(f, null_overwrites=False))
 
 
 def stream_growth(f):
-    stream, path = landed(f, f.fx_snapshots, "growth", per_trigger=4)
+    stream, path = landed(f, f.fx_snapshots, "growth")
+    S.growth_batches(stream, path).awaitTermination()
+    return S.growth_result(f.spark, path)
+
+
+def stream_growth_late(f):
+    # Newest first, and every snapshot lands twice.
+    twice = f.fx_snapshots.unionByName(f.fx_snapshots)
+    path = scratch_path(f.spark, "growth-late")
+    twice.repartitionByRange(4, F.desc("fetched_at")).write.parquet(f"{path}/in")
+    stream = f.spark.readStream.schema(twice.schema).option(
+        "maxFilesPerTrigger", 1).parquet(f"{path}/in")
     S.growth_batches(stream, path).awaitTermination()
-    return f.spark.read.parquet(f"{path}/out").drop(S.BATCH)
+    return S.growth_result(f.spark, path)
 
 
 def stream_growth_stateful(f):
@@ -79,4 +89,5 @@ SELECT platform, post_id, fetched_at, fetched_at - lag(fetched_at) OVER w AS sec
   {', '.join(f'{c} - lag({c}) OVER w AS {c}_delta' for c in M.COUNTERS)}
 FROM fx_snapshots WINDOW w AS (PARTITION BY platform, post_id ORDER BY fetched_at)""")
 query("stream_growth", GROWTH)(stream_growth)
+query("stream_growth_late", GROWTH)(stream_growth_late)
 query("stream_growth_stateful", GROWTH)(stream_growth_stateful)

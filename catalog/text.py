@@ -227,8 +227,7 @@ HOT = {
     "weighed": """
 SELECT word, round(n * ln((nt + 1) / (df + 1)) / total, 9) AS weight
 FROM freq, (SELECT CAST(sum(n) AS BIGINT) AS total FROM freq),
-  (SELECT count(*) AS nt FROM units)
-ORDER BY weight DESC, word LIMIT 90""",
+  (SELECT count(*) AS nt FROM units)""",
 }
 
 
@@ -256,8 +255,7 @@ query("top_keywords_idf_table", duck(
         "med": "SELECT quantile_disc(idf, 0.5) AS med FROM idf",
         "w2": "SELECT word, round(n * COALESCE(idf, med) / total, 9) AS weight FROM freq "
               "LEFT JOIN idf USING (word), med, "
-              "(SELECT CAST(sum(n) AS BIGINT) AS total FROM freq) "
-              "ORDER BY weight DESC, word LIMIT 90"}))(
+              "(SELECT CAST(sum(n) AS BIGINT) AS total FROM freq)"}))(
     lambda f: hot(f, idf=H.corpus_idf(f.documents, ["doc_id"], "text", TOKENS)))
 
 RAW_SQL = """

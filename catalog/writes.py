@@ -50,7 +50,7 @@ MERGED = {
 }
 
 
-def _merged_sql(content: str) -> str:
+def merged_sql(content: str) -> str:
     return duck(f"""
 SELECT COALESCE(b.id, l.id) AS id, b.title, {content} AS content,
   COALESCE(l.likes, b.likes) AS likes, COALESCE(b.fetched_at, f.fetched_at) AS fetched_at
@@ -58,10 +58,10 @@ FROM base b FULL JOIN last l ON b.id = l.id LEFT JOIN first f ON f.id = l.id
 LEFT JOIN lastset s ON s.id = COALESCE(b.id, l.id)""", **MERGED)
 
 
-query("upsert_merge", _merged_sql("CASE WHEN l.id IS NULL THEN b.content ELSE l.content END"))(
+query("upsert_merge", merged_sql("CASE WHEN l.id IS NULL THEN b.content ELSE l.content END"))(
     lambda f: G.upsert(both(f, BASE, customer=f.customer), both(f, UPDATES, orders=f.orders),
                        ["id"], "seq"))
-query("upsert_merge_keep_nulls", _merged_sql("COALESCE(s.content, b.content)"))(
+query("upsert_merge_keep_nulls", merged_sql("COALESCE(s.content, b.content)"))(
     lambda f: G.upsert(both(f, BASE, customer=f.customer), both(f, UPDATES, orders=f.orders),
                        ["id"], "seq", null_overwrites=False))
 query("upsert_latest_wins", duck(

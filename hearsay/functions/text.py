@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 from typing import Callable, Iterable
 
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 CLAUSE_REGEX = "[，。！？；：、\\.,!?;:\\n\\r\\t…~　\\s]+|[~～]+"
 CJK_REGEX = "[一-鿿㐀-䶿]"
 
-# Named character references found in social text; '&amp;' is decoded last.
+# The usual named character references; all others come from the standard library.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
     ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&middot;", "·"),
@@ -21,37 +23,56 @@ ENTITIES = [
 ]
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
-_TAG_RUN = r"(?s)(?:<[a-zA-Z/!?][^>]*>)+"
+# One tag at a time: a repeated group would recurse once per tag. Only single characters repeat.
+_TAG = r"<[a-zA-Z/!?][^>]*+>"
 _SPACES = r"\s\x{0085}\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}"
 _NODE = "\u0001"  # stands for one or more tags between two text nodes
 _BOUNDARY = "\u0002"  # token that stands for a clause boundary
+# Every character that is blank in Unicode.
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_LEGACY = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True)
+
+
+def _numeric(piece: Column) -> Column:
+    """``#20013;`` and ``#x4e2d;`` as characters; an unknown code stays as it is."""
+    number = F.regexp_extract(piece, r"^#(x?)([0-9a-fA-F]++);", 2)
+    code = F.when(piece.startswith("#x"), F.conv(number, 16, 10)).when(
+        number.rlike("^[0-9]++$"), number
+    ).try_cast("bigint")
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    rest = F.regexp_replace(piece, r"^#x?[0-9a-fA-F]++;", "")
+    return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+
+def _named(piece: Column) -> Column:
+    """``lt;`` and all other named references as characters, and the old names that need no
+    semicolon; an unknown name stays as it is."""
+    # A constant: it is folded to one map when the query is planned.
+    known = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+    name = F.regexp_extract(piece, r"^[a-zA-Z0-9]++;", 0)
+    short = F.regexp_extract(piece, "^(?:" + "|".join(_LEGACY) + ")", 0)
+    found = F.when(name != "", F.try_element_at(known, name))
+    old = F.when(short != "", F.try_element_at(known, short))
+    usual = F.lit(None).cast("string")
+    for entity, char in [*ENTITIES, ("&amp;", "&")]:
+        usual = F.when(name == entity[1:], char).otherwise(usual)
+    size = F.char_length(piece)
+    return F.coalesce(
+        F.concat(F.coalesce(usual, found), F.substring(piece, F.char_length(name) + 1, size)),
+        F.concat(old, F.substring(piece, F.char_length(short) + 1, size)),
+        F.concat(F.lit("&"), piece),
+    )
 
 
-def _decode_numeric(text: Column) -> Column:
-    """Decode ``&#20013;`` and ``&#x4e2d;``; an unknown code stays as it is."""
-    def decode(piece: Column) -> Column:
-        number = F.regexp_extract(piece, r"^(x?)([0-9a-fA-F]+);", 2)
-        code = F.when(piece.startswith("x"), F.conv(number, 16, 10)).when(
-            number.rlike("^[0-9]+$"), number
-        ).try_cast("bigint")
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^x?[0-9a-fA-F]+;", "")
-        return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
-
-    # The text before the first "&#" is no reference.
-    pieces = F.transform(F.split(text, "&#"), lambda x, i: F.when(i == 0, x).otherwise(decode(x)))
-    return F.array_join(pieces, "")
-
-
-def _decode_amp(text: Column) -> Column:
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
-
+def _decoded(text: Column) -> Column:
+    """Character references decoded once, from left to right."""
+    def decode(piece: Column, i: Column) -> Column:
+        return F.when(i == 0, piece).when(piece.startswith("#"), _numeric(piece)).otherwise(
+            _named(piece))
 
-def _decode_named(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    # The text before the first "&" is no reference.
+    return F.array_join(F.transform(F.split(text, "&"), decode), "")
 
 
 def strip_html(text: Column, sep: str = " ", strip: bool = False) -> Column:
@@ -60,22 +81,18 @@ def strip_html(text: Column, sep: str = " ", strip: bool = False) -> Column:
     Text without '<' is returned as it is, NULL as ''.
     """
     visible = F.regexp_replace(text, _HIDDEN, _NODE)
-    nodes = F.regexp_replace(F.regexp_replace(visible, _TAG_RUN, _NODE), f"{_NODE}+", _NODE)
+    nodes = F.regexp_replace(F.regexp_replace(visible, _TAG, _NODE), f"{_NODE}++", _NODE)
     if strip:
-        nodes = F.regexp_replace(nodes, f"[{_SPACES}{_NODE}]*{_NODE}[{_SPACES}{_NODE}]*", _NODE)
-        nodes = F.trim(nodes, F.lit(f"{_NODE} \t\n\r\f\u000b"))
+        nodes = F.regexp_replace(nodes, f"{_NODE}[{_SPACES}{_NODE}]*+", _NODE)
+        nodes = F.array_join(F.filter(F.transform(
+            F.split(nodes, _NODE), lambda n: F.trim(n, F.lit(_BLANKS))), lambda n: n != ""), _NODE)
     else:
         nodes = F.trim(nodes, F.lit(_NODE))
     plain = F.replace(nodes, F.lit(_NODE), F.lit(sep))
-    named = _decode_named(plain)
     text = F.coalesce(text, F.lit(""))
     # Cheap tests of the source decide, so most texts take a short branch.
-    return (
-        F.when(~text.contains("<"), text)
-        .when(~text.contains("&"), plain)
-        .when(~text.contains("&#"), _decode_amp(named))
-        .otherwise(_decode_amp(_decode_numeric(named)))
-    )
+    return F.when(~text.contains("<"), text).when(~text.contains("&"), plain).otherwise(
+        _decoded(plain))
 
 
 def drop_tags(text: Column) -> Column:

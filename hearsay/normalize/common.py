@@ -66,3 +66,8 @@ def pages_until_empty(
         .where(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last")))
         .drop("_last")
     )
+
+
+def first_of(items: Column, most: int | None) -> Column:
+    """The first ``most`` elements of an array, all of them for None."""
+    return items if most is None else F.slice(items, 1, most)

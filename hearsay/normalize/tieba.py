@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearsay.functions.scalars import URL_PREFIX, first_non_empty, lenient_int_variant
 from hearsay.functions.text import drop_tags, strip_html
 from hearsay.normalize.common import (
-    array_at, each, epoch_or_null, get, pages_until_empty, parsed, raw, text, truthy,
+    array_at, each, epoch_or_null, first_of, get, pages_until_empty, parsed, raw, text, truthy,
 )
 from hearsay.operators.merge import first_wins
 
@@ -82,10 +82,10 @@ def _replies() -> Column:
     )
 
 
-def norm_floors(payloads: DataFrame, max_replies: int) -> DataFrame:
+def norm_floors(payloads: DataFrame, max_replies: int | None = None) -> DataFrame:
     """Reply floors of thread payloads (tid, body): posts after the first that have an id, at
-    most ``max_replies`` per thread."""
-    first = F.slice(_replies(), 1, max_replies)
+    most ``max_replies`` per thread if given."""
+    first = first_of(_replies(), max_replies)
     rows = each(_thread_payloads(payloads), ["tid"], first)
     return rows.select(
         text("item", "id", "post_id").alias("pid"), "tid", _int("item", "floor").alias("floor"),
@@ -97,14 +97,16 @@ def norm_floors(payloads: DataFrame, max_replies: int) -> DataFrame:
     )
 
 
-def norm_thread(hits: DataFrame, payloads: DataFrame, max_replies: int = 0) -> DataFrame:
+def norm_thread(
+    hits: DataFrame, payloads: DataFrame, max_replies: int | None = None
+) -> DataFrame:
     """Thread rows: detail payload first, search hit as the fallback for every field.
 
     A thread whose payload is missing or bad keeps its search metadata.
     """
     details = _thread_payloads(payloads).select(
         "tid", "v", F.get("posts", F.lit(0)).alias("op"),
-        F.least(F.size(_replies()), F.lit(max_replies)).cast("bigint").alias("kept"),
+        F.size(first_of(_replies(), max_replies)).cast("bigint").alias("kept"),
     )
     rows = hits.select(*HIT_COLUMNS).join(details, "tid", "left")
     has_op = F.col("op").isNotNull()

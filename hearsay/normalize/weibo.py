@@ -69,10 +69,11 @@ def long_text_override(posts: DataFrame, extended: DataFrame) -> DataFrame:
 
 
 def norm_hotflow(
-    payloads: DataFrame, as_of: Column | int, max_count: int = 20, utc_offset_seconds: int = 0
+    payloads: DataFrame, as_of: Column | int, max_count: int | None = None,
+    utc_offset_seconds: int = 0,
 ) -> DataFrame:
     """Comment rows from comment pages (post_id, page_no, body), at most ``max_count`` per
-    post in page order. Pages with ok = 0 count as blocked and give none."""
+    post in page order if given. Pages with ok = 0 count as blocked and give none."""
     open_pages = parsed(payloads).where(F.coalesce(get("v", "ok", "bigint"), F.lit(1)) != 0)
     rows = each(open_pages, ["post_id", "page_no"], array_at("v", "data.data"))
     created = text("item", "created_at")
@@ -87,6 +88,8 @@ def norm_hotflow(
         parse_post_time(created, _as_of(as_of), utc_offset_seconds).alias("created_ts"),
         raw("item").alias("raw"),
     ).where(F.col("comment_id") != "")
+    if max_count is None:
+        return comments.drop("page_no", "pos")
     first = top_k_per_key(comments, ["post_id"], [F.asc("page_no"), F.asc("pos")], max_count)
     return first.drop("page_no", "pos", "rank")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions.scalars import first_present
 from hearsay.functions.text import strip_html
-from hearsay.normalize.common import array_at, each, get, parsed, raw, text
+from hearsay.normalize.common import array_at, each, first_of, get, parsed, raw, text
 
 # Fixed value: where a rendered page keeps its data.
 STATE_REGEX = r'(?s)<script[^>]*id="js-initialData"[^>]*>(.+?)</script>'
@@ -111,10 +111,10 @@ def norm_column(payloads: DataFrame) -> DataFrame:
 
 
 def norm_answer_comments(
-    payloads: DataFrame, max_comments: int = 20, zero_is_missing: bool = False
+    payloads: DataFrame, max_comments: int | None = None, zero_is_missing: bool = False
 ) -> DataFrame:
-    """The first comments of each answer payload (answer_id, body)."""
-    first = F.slice(array_at("v", "data"), 1, max_comments)
+    """The comments of each answer payload (answer_id, body), the first ones if capped."""
+    first = first_of(array_at("v", "data"), max_comments)
     rows = each(parsed(payloads), ["answer_id"], first)
     likes = first_present(
         get("item", "like_count", "bigint"), get("item", "vote_count", "bigint"),
@@ -171,9 +171,9 @@ def embedded_questions(pages: DataFrame, zero_is_missing: bool = False) -> DataF
 
 
 def embedded_answers(
-    pages: DataFrame, max_answers: int = 10, zero_is_missing: bool = False
+    pages: DataFrame, max_answers: int | None = None, zero_is_missing: bool = False
 ) -> DataFrame:
-    """The most voted answers of each rendered page, of the page's own question."""
+    """The answers of each rendered page to the page's own question, the most voted if capped."""
     def count(camel: str, snake: str) -> Column:
         return _first("a", "bigint", camel, snake, zero_is_missing=zero_is_missing)
 
@@ -185,7 +185,7 @@ def embedded_answers(
     order = F.array_sort(F.transform("own", lambda a, i: F.struct(
         (-F.coalesce(get(a, "voteupCount", "bigint"), F.lit(0))).alias("down"), i.alias("i"))))
     best = listed.select(
-        "question_id", "own", F.explode(F.slice(order, 1, max_answers)).alias("o")
+        "question_id", "own", F.explode(first_of(order, max_answers)).alias("o")
     ).select("question_id", F.get("own", F.col("o.i")).alias("a"))
     return best.select(
         get("a", "id", "bigint").alias("id"), "question_id",

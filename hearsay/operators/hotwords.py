@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from hearsay.functions.text import CJK_REGEX, Tokenizer, is_word, regex_tokenizer
+from hearsay.functions.text import (
+    CJK_REGEX, Tokenizer, clean_text, is_word, regex_tokenizer,
+)
 
 
 def explode_tokens(
@@ -94,16 +95,14 @@ def top_keywords(
 
     tf is the share of a word among all tokens of two or more characters. ``idf`` is a table
     (word, idf); unseen words take its median. Without one, the document frequencies of the
-    corpus itself serve. As three times ``k`` candidates are weighed before noise, stopwords
-    and ``exclude`` are dropped, the result may be shorter than ``k``. The corpus is never
-    put together in one place.
+    corpus itself serve. Noise, stopwords and ``exclude`` (cleaned as texts are) go before the
+    ``k`` heaviest are taken. The corpus is never put together in one place.
 
-    The counts are read twice, for the totals and for the weights: they are persisted (one
-    small row per distinct word), so the texts are cleaned and tokenized once. Unpersist
-    ``counts`` when done.
+    The counts are read twice, for the totals and for the weights; both reads share the exchange
+    of the aggregate that made them.
     """
     tokenizer = tokenizer or regex_tokenizer()
-    counted = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    counted = counts
     is_mark = F.col("word") == ""
     total = counted.agg(F.sum(F.when(~is_mark, F.col("n")))).scalar()
     if idf is None:
@@ -115,16 +114,14 @@ def top_keywords(
             "idf", F.coalesce("idf", median)
         )
     score = F.round(F.col("n") * F.col("idf") / total, 9)
-    candidates = (
-        weighed.select("word", F.when(~is_mark, score).alias("weight"))
-        .orderBy(F.desc_nulls_last("weight"), "word").limit(3 * k)
-        .where(F.col("weight").isNotNull() & is_word(F.col("word"), must_contain, min_length))
-    )
+    candidates = weighed.where(~is_mark & is_word(F.col("word"), must_contain, min_length)).select(
+        "word", score.alias("weight"))
     if stopwords is not None:
         candidates = candidates.join(stopwords.select("word").distinct(), "word", "left_anti")
     if exclude:
         spark = counts.sparkSession
         terms = spark.range(1).select(F.explode(F.array(*map(F.lit, exclude))).alias("term"))
+        terms = terms.select(clean_text(F.col("term")).alias("term"))
         dropped = terms.select("term").unionByName(
             terms.select(F.explode(tokenizer(F.col("term"))).alias("term"))
         ).select(F.col("term").alias("word"))

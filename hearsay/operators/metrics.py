@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearsay.functions.scalars import shorten, utc_day, utc_text
@@ -109,8 +108,8 @@ def engagement_histogram(c: Corpus, keyword: str, metric: str = "like_count",
                          bins: int = 29) -> DataFrame:
     """Log-spaced histogram of a positive metric over posts and nested answers.
 
-    Values are counted first and the counts persisted: the range and the bins both come from
-    the distinct values, so the posts are read once. The last bin includes its right edge.
+    Values are counted first: the range and the bins both come from the distinct values and
+    share the exchange of their aggregate. The last bin includes its right edge.
     """
     direct = linked_posts(c, _by_keyword(keyword)).select(
         F.col(metric).alias("value"), "n_links"
@@ -121,7 +120,7 @@ def engagement_histogram(c: Corpus, keyword: str, metric: str = "like_count",
     counted = (
         direct.unionByName(answers).where(F.col("value") > 0)
         .groupBy("value").agg(F.sum("n_links").alias("n"))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
     value = F.col("value").cast("double")
     low = F.ln(counted.agg(F.min(value)).scalar())
     high = F.ln(counted.agg(F.max(value) + 1).scalar())

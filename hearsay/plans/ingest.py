@@ -18,11 +18,11 @@ from hearsay.schema import SCHEMAS, TABLE_KEYS
 
 
 def normalize_batch(
-    payloads: DataFrame, as_of: int, max_answers: int = 10, max_comments: int = 20,
-    max_replies: int = 20,
+    payloads: DataFrame, as_of: int, max_answers: int | None = None,
+    max_comments: int | None = None, max_replies: int | None = None,
 ) -> dict[str, DataFrame]:
     """Normalized rows per table of one batch fetched at ``as_of``, and the engagement
-    snapshots it implies. Unusable responses are left out; each table reads only its own
+    snapshots it implies. What has landed is kept whole unless a cap is given. Unusable responses are left out; each table reads only its own
     platform and endpoints."""
     usable = classify(payloads).where(F.col("outcome") == "OK").drop("outcome")
 

@@ -11,14 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 from hearsay.functions.scalars import utc_day
 from hearsay.operators.merge import first_wins, latest_wins, upsert
 from hearsay.operators.metrics import COUNTERS
-from hearsay.operators.shared import previous_in_blocks
+from hearsay.operators.shared import previous_in_blocks, semi_join
 
 SNAPSHOT_KEY = ("platform", "post_id", "fetched_at")
 
 
-def dedupe_snapshots(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Snapshots with repeats of a (platform, post, second) dropped while they are within
-    ``delay`` of the watermark; state for older ones is let go."""
+def dedupe_snapshots(stream: DataFrame, delay: str | None = None) -> DataFrame:
+    """Snapshots with repeats of a (platform, post, second) dropped.
+
+    By default every key is remembered, so nothing is lost however late it comes. A ``delay``
+    bounds the state instead: repeats are only known while they are within it, and rows that
+    are later than it are dropped.
+    """
+    if delay is None:
+        return stream.dropDuplicates(list(SNAPSHOT_KEY))
     timed = stream.withColumn("event_time", F.timestamp_seconds("fetched_at"))
     return (
         timed.withWatermark("event_time", delay)
@@ -26,31 +32,29 @@ def dedupe_snapshots(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def daily_volume(stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Posts and their counters per publish day (UTC) and platform; rows later than the
-    watermark are dropped. Write in update or append mode; complete keeps every day."""
-    timed = stream.where(F.col("published_at").isNotNull()).withColumn(
-        "event_time", F.timestamp_seconds("published_at")
-    )
+def daily_volume(stream: DataFrame) -> DataFrame:
+    """Posts and their counters per publish day (UTC) and platform, of all posts whenever they
+    were published. The state is one row per day and platform, so it needs no watermark; write
+    in complete mode."""
     total = {n: F.coalesce(F.sum(c), F.lit(0)).cast("bigint") for n, c in (
         ("total_comments", "comment_count"), ("total_likes", "like_count"),
         ("total_favorites", "favorite_count"), ("total_views", "view_count"))}
     return (
-        timed.withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", "1 day"), "platform")
+        stream.where(F.col("published_at").isNotNull())
+        .groupBy(utc_day(F.col("published_at")).alias("day"), "platform")
         .agg(F.count(F.lit(1)).alias("n_posts"), *[v.alias(k) for k, v in total.items()])
-        .select(utc_day(F.unix_seconds("window.start")).alias("day"), "platform", "n_posts",
-                *total)
     )
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append",
-                  options: dict[str, str] | None = None) -> str:
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> str:
     """Process what is there and stop; returns the folder of the results.
 
     Append streams go to the exactly-once file sink. In complete mode each batch replaces
-    the result folder, which only ever holds one whole result.
+    the result folder, which only ever holds one whole result. Update mode is refused: a batch
+    would replace rows that it does not hold.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"mode {mode!r}: only append and complete results are whole")
     out = f"{path}/out"
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(
         availableNow=True
@@ -73,12 +77,12 @@ BATCH = "batch_id"
 def upsert_log(stream: DataFrame, keys: Sequence[str], seq: str, path: str) -> StreamingQuery:
     """Collect updates of a table from a stream, ready for :func:`merged`.
 
-    A batch keeps its last row per key and replaces its own folder of the log, so a repeated
-    batch changes nothing and no batch rewrites the table. Columns of a row are taken as a
-    whole.
+    A batch writes its rows to a folder of its own, so a repeated batch changes nothing and no
+    batch rewrites the table. Rows are kept as they came (equal ones once): an earlier value that
+    a later NULL must not hide, and the first-seen time, are only known when all are merged.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
-        latest_wins(batch, keys, seq).write.mode("overwrite").parquet(
+        batch.distinct().write.mode("overwrite").parquet(
             f"{path}/log/{BATCH}={batch_id}"
         )
 
@@ -104,35 +108,47 @@ def compact(merged_table: DataFrame, path: str, version: int) -> str:
 
 # ---- growth -----------------------------------------------------------------------------
 
+BUCKETS = 64
+
+
 def growth_batches(stream: DataFrame, path: str, block_seconds: int = 86400) -> StreamingQuery:
     """Change of every counter since the post's previous snapshot, batch by batch.
 
-    The state, the last snapshot of each post, is a folder per batch. A batch joins the
-    previous state to its own rows and differences them in time blocks, so neither the rows
-    of a busy post nor its history pass through one task. Batches are replaced as a whole
-    when repeated. Rows older than a post's last snapshot only get a difference within their
-    own batch.
+    Every batch appends its new snapshots to the state, in hash buckets of the post, and emits
+    the changes of the new rows and, again, of stored rows that a late one now precedes;
+    :func:`growth_result` takes the last of each. A batch reads the touched buckets' rows of the touched
+    posts and differences them in time blocks, so neither a busy post nor its history passes
+    through one task. Repeated snapshots change nothing; a repeated batch replaces its folders.
     """
     key = ["platform", "post_id"]
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def difference(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        schema = batch.select(*SNAPSHOT_KEY, *COUNTERS, bucket).schema
         rows = first_wins(batch.select(*SNAPSHOT_KEY, *COUNTERS), list(SNAPSHOT_KEY),
-                          list(COUNTERS)).withColumn("is_new", F.lit(True))
+                          list(COUNTERS)).select("*", bucket)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+        stored = spark.createDataFrame([], schema)
         if batch_id > 0:
-            state = spark.read.parquet(f"{path}/state/{BATCH}={batch_id - 1}")
-            fresh = rows.join(state.select(*SNAPSHOT_KEY), list(SNAPSHOT_KEY), "left_anti")
-            rows = fresh.unionByName(state.withColumn("is_new", F.lit(False)))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read for the changes and the state
-        changes = previous_in_blocks(rows, key, "fetched_at", COUNTERS, block_seconds)
-        changes.where("is_new").select(
+            stored = (
+                spark.read.schema(schema.add(BATCH, "long")).option("basePath", f"{path}/state")
+                .parquet(f"{path}/state").where(F.col("bucket").isin(touched))
+                .where(F.col(BATCH) < batch_id).select(rows.columns)
+            )
+        fresh = rows.join(stored, ["bucket", *SNAPSHOT_KEY], "left_anti").select(rows.columns)
+        history = semi_join(stored, fresh.select(*key).distinct(), key, ["fetched_at"])
+        both = fresh.withColumn("is_new", F.lit(True)).unionByName(
+            history.withColumn("is_new", F.lit(False)))
+        changes = previous_in_blocks(both, key, "fetched_at", [*COUNTERS, "is_new"],
+                                     block_seconds)
+        changes.where(F.col("is_new") | F.coalesce("prev.is_new", F.lit(False))).select(
             *SNAPSHOT_KEY, (F.col("fetched_at") - F.col("prev.fetched_at")).alias("seconds"),
             *[(F.col(c) - F.col(f"prev.{c}")).alias(f"{c}_delta") for c in COUNTERS],
         ).write.mode("overwrite").parquet(f"{path}/out/{BATCH}={batch_id}")
-        values = F.struct("fetched_at", *COUNTERS)
-        rows.groupBy(*key).agg(F.max_by(values, "fetched_at").alias("last")).select(
-            *key, "last.*"
-        ).write.mode("overwrite").parquet(f"{path}/state/{BATCH}={batch_id}")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{path}/state/{BATCH}={batch_id}")
         rows.unpersist()
 
     return (
@@ -141,13 +157,19 @@ def growth_batches(stream: DataFrame, path: str, block_seconds: int = 86400) ->
     )
 
 
+def growth_result(spark: SparkSession, path: str) -> DataFrame:
+    """The last change that :func:`growth_batches` has given for every snapshot."""
+    return latest_wins(spark.read.parquet(f"{path}/out"), list(SNAPSHOT_KEY), BATCH).drop(BATCH)
+
+
 def growth_stateful(stream: DataFrame) -> DataFrame:
     """The same changes with the last snapshot of each post in Spark's state store.
 
     Only posts of the current batch are touched, which suits very many posts of which few
     change. One task orders the rows a post has in a batch (at most one per second), so bound
     the batch (``maxFilesPerTrigger``) or take :func:`growth_batches` where single posts are
-    extremely busy.
+    extremely busy. A snapshot that comes after a newer one of its post has no difference here:
+    it is emitted with NULLs (:func:`growth_batches` corrects them).
     """
     import pandas as pd
 
@@ -162,6 +184,13 @@ def growth_stateful(stream: DataFrame) -> DataFrame:
         rows = rows.drop_duplicates("fetched_at").sort_values("fetched_at")
         if state.exists:
             last = pd.DataFrame([state.get], columns=columns).astype("Int64")
+            late = rows[rows["fetched_at"] < last["fetched_at"].iloc[0]]
+            if len(late):
+                yield pd.DataFrame({"platform": key[0], "post_id": key[1],
+                                    "fetched_at": late["fetched_at"].to_numpy(),
+                                    "seconds": pd.array([None] * len(late), "Int64")}
+                                   | {f"{c}_delta": pd.array([None] * len(late), "Int64")
+                                      for c in names})
             rows = rows[rows["fetched_at"] > last["fetched_at"].iloc[0]]
             before = pd.concat([last, rows])
         else:

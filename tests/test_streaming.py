@@ -29,24 +29,32 @@ def test_duplicates_over_batches(spark, tmp_path, rows):
         ("a", 10), ("a", 11), ("b", 10)]
 
 
-def test_late_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
+def test_volume_counts_every_post_whenever_published(spark, tmp_path):
     schema = "platform string, published_at bigint, comment_count bigint, like_count bigint, " \
              "favorite_count bigint, view_count bigint"
     day = 86400
     land(spark, tmp_path, "1", [("bili", 100 * day, 1, 1, 1, 1)], schema)
-    first = S.daily_volume(stream(spark, tmp_path, schema), "1 day")
-    S.run_available(first, str(tmp_path), "update")
-    # The next run starts with the watermark of this one.
+    S.run_available(S.daily_volume(stream(spark, tmp_path, schema)), str(tmp_path), "complete")
     land(spark, tmp_path, "2", [("bili", 10 * day, 1, 1, 1, 1), ("bili", 100 * day, 2, 2, 2, 2),
                                 ("bili", None, 1, 1, 1, 1)], schema)
-    query = (S.daily_volume(stream(spark, tmp_path, schema), "1 day").writeStream
-             .option("checkpointLocation", f"{tmp_path}/checkpoint").outputMode("update")
-             .trigger(availableNow=True)
-             .foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{tmp_path}/seen"))
-             .start())
-    query.awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/seen").collect()
-    assert [(r.n_posts, r.total_comments) for r in got] == [(2, 3)]
+    out = S.run_available(S.daily_volume(stream(spark, tmp_path, schema)), str(tmp_path),
+                          "complete")
+    got = sorted((r.n_posts, r.total_comments) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 1), (2, 3)]
+    with pytest.raises(ValueError):
+        S.run_available(S.daily_volume(stream(spark, tmp_path, schema)), str(tmp_path), "update")
+
+
+def test_growth_of_late_and_repeated_snapshots(spark, tmp_path, rows):
+    files = [[snap("a", 10, 1, 1), snap("a", 30, 4, 1)], [snap("a", 20, 3, 2), snap("a", 40, 9, 5)],
+             [snap("a", 10, 1, 1), snap("a", 5, 0, 0), snap("b", 1, 1, 1)]]
+    for i, data in enumerate(files):
+        land(spark, tmp_path, str(i), data)
+        S.growth_batches(stream(spark, tmp_path), str(tmp_path)).awaitTermination()
+    whole = spark.createDataFrame(sum(files, []), SNAP).distinct()
+    columns = ["post_id", "fetched_at", "seconds", *[f"{c}_delta" for c in M.COUNTERS]]
+    assert rows(S.growth_result(spark, str(tmp_path)), *columns) == rows(
+        M.engagement_growth(whole), *columns)
 
 
 @pytest.mark.parametrize("form", ["batches", "stateful"])
@@ -62,7 +70,8 @@ def test_growth_over_batches_equals_one_batch(spark, tmp_path, rows, form):
         for i, data in enumerate(files):
             land(spark, tmp_path, str(i), data)
             S.growth_batches(stream(spark, tmp_path), str(tmp_path)).awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
+    got = (spark.read.parquet(f"{tmp_path}/out") if form == "stateful"
+           else S.growth_result(spark, str(tmp_path)))
     whole = spark.createDataFrame(sum(files, []), SNAP).distinct()
     columns = ["post_id", "fetched_at", "seconds", *[f"{c}_delta" for c in M.COUNTERS]]
     assert rows(got, *columns) == rows(M.engagement_growth(whole), *columns)
@@ -83,12 +92,23 @@ def test_upsert_log_is_idempotent(spark, tmp_path, rows):
     assert rows(S.merged(spark, compacted, str(tmp_path), schema, ["id"], "seq")) == want
 
 
+def test_upsert_log_keeps_values_and_first_seen_times(spark, tmp_path, rows):
+    schema = "id string, title string, fetched_at bigint, seq bigint"
+    land(spark, tmp_path, "1", [("a", "new", 5, 1), ("a", None, 6, 2), ("b", "x", 7, 3)], schema)
+    land(spark, tmp_path, "2", [("b", None, 8, 4)], schema)
+    S.upsert_log(stream(spark, tmp_path, schema), ["id"], "seq", str(tmp_path)).awaitTermination()
+    base = spark.createDataFrame([("a", "old", 1)], "id string, title string, fetched_at bigint")
+    read = lambda keep: rows(S.merged(spark, base, str(tmp_path), schema, ["id"], "seq", keep))
+    assert read(False) == [("a", "new", 1), ("b", "x", 7)]
+    assert read(True) == [("a", None, 1), ("b", None, 7)]
+
+
 def test_daily_volume_stream_equals_batch(spark, tmp_path, rows):
     from catalog.fixtures import Fixtures
     f = Fixtures(spark, "/root/testdata/sf0.001")
     posts = f.fx_posts
     posts.repartition(3).write.parquet(f"{tmp_path}/in")
-    out = S.run_available(S.daily_volume(stream(spark, tmp_path, posts.schema), "36500 days"),
+    out = S.run_available(S.daily_volume(stream(spark, tmp_path, posts.schema)),
                           str(tmp_path), "complete")
     batch = M._volume(posts, [], F.lit(1).cast("bigint"))
     assert rows(spark.read.parquet(out)) == rows(batch.select(spark.read.parquet(out).columns))

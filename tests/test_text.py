@@ -94,3 +94,19 @@ def test_max_match(spark):
         pass
     else:
         raise AssertionError("an oversized dictionary must be refused")
+
+
+def test_adjacent_tags_comments_and_references(spark):
+    import html
+
+    many = "a" + "<b></i>" * 50_000 + "z"
+    texts = [many, "<!-- " + "never closed " * 20_000, "<p>x</p>" + "<" * 50_000,
+             "<i>&eacute;&notin;&frac12;&AMP;&amp;lt;&copy 1&unknown;&;&#x1F600;&#65 &</i>",
+             "\u3000\u00a0lead<b>\u3000mid\u2003</b>\u3000"]
+    plain = column(spark, texts, X.strip_html)
+    assert plain[0] == "a z"
+    assert plain[3] == html.unescape("&eacute;&notin;&frac12;&AMP;&amp;lt;&copy 1&unknown;&;"
+                                     "&#x1F600;") + "&#65 &"
+    tight = column(spark, texts, lambda c: X.strip_html(c, "", strip=True))
+    assert tight[0] == "az" and tight[4] == "leadmid"
+    assert column(spark, texts[:1], X.clean_text) == ["a z"]
