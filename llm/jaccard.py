@@ -50,6 +50,8 @@ LEAF = 1024
 MAYBE = 0.6
 # Texts per block of the two comparisons.
 SKETCH_BLOCK, TEXT_BLOCK = 512, 256
+# Pairs a task holds at a time (one group of two blocks may exceed it).
+PAIRS = 1 << 19
 _U = np.uint64
 _RANDOM = np.random.default_rng(29).integers(1, 1 << 63, (2, HASHES), np.uint64) * _U(2) + _U(1)
 
@@ -134,20 +136,34 @@ def near_pairs(alike: Callable, bounds: np.ndarray, own: np.ndarray, apart: np.n
     return np.concatenate(left or none), np.concatenate(right or none)
 
 
+def near_edges(alike: Callable, table: pa.Table, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the near pairs of every group of a table with columns node, own, lo
+    and hi. Groups are taken together only up to ``PAIRS`` pairs, whatever the batch holds."""
+    node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+    bounds = group_bounds(table, keys)
+    apart = (table.column("lo").to_numpy() != table.column("hi").to_numpy())[bounds[:-1]]
+    pairs = np.concatenate([[0], np.cumsum(np.square(np.diff(bounds)) // 2)])
+    first = 0
+    while first < len(apart):
+        last = int(np.searchsorted(pairs, pairs[first] + PAIRS, "right")) - 1
+        last = min(len(apart), max(first + 1, last))
+        lo, hi = bounds[first], bounds[last]
+        a, b = near_pairs(lambda i, j: alike(i + lo, j + lo), bounds[first : last + 1] - lo,
+                          own[lo:hi], apart[first:last])
+        name = node[lo:hi]
+        root = roots(hi - lo, a, b, name)
+        edge = np.unique(np.stack([name, root], 1)[root != name], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
+        first = last
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task a spanning forest of the pairs that may be similar."""
-    keys = ["path", "lo", "hi"]
+    keys, least = ["path", "lo", "hi"], math.ceil(MAYBE * HASHES)
     for table in whole_groups(batches, keys):
-        node = table.column("node").to_numpy()
-        bounds = group_bounds(table, keys)
-        apart = (table.column("lo").to_numpy() != table.column("hi").to_numpy())[bounds[:-1]]
         sketch = matrix(table.column("sketch"), np.uint8, HASHES)
-        least = math.ceil(MAYBE * HASHES)
-        a, b = near_pairs(lambda i, j: np.count_nonzero(sketch[i] == sketch[j], 1) >= least,
-                          bounds, table.column("own").to_numpy(), apart)
-        root = roots(len(node), a, b, node)
-        edge = np.unique(np.stack([node, root], 1)[root != node], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
+        yield from near_edges(
+            lambda i, j: np.count_nonzero(sketch[i] == sketch[j], 1) >= least, table, keys)
 
 
 def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from llm import words
 from llm.components import components, roots
-from llm.jaccard import in_blocks, near_pairs
+from llm.jaccard import in_blocks, near_edges
 from llm.shared import arrow, cut, group_bounds, whole_groups
 from llm.vectors import by_length, rows_of, unit, usable
 
@@ -117,19 +117,13 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ["cell", "lo", "hi"]
     for table in whole_groups(batches, keys):
-        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
-        bounds = group_bounds(table, keys)
-        apart = (table.column("lo").to_numpy() != table.column("hi").to_numpy())[bounds[:-1]]
         length = pa.concat_arrays(table.column("v").chunks).value_lengths().to_numpy()
-        padded = np.zeros((len(node), length.max()), np.float32)
+        padded = np.zeros((table.num_rows, length.max()), np.float32)
         for rows, v in by_length(table.column("v")):
             padded[rows, : v.shape[1]] = unit(v)
-        a, b = near_pairs(
+        yield from near_edges(
             lambda i, j: (np.einsum("ij,ij->i", padded[i], padded[j]) >= MAYBE)
-            & (length[i] == length[j]), bounds, own, apart)
-        root = roots(len(node), a, b, node)
-        edge = np.unique(np.stack([node, root], 1)[root != node], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
+            & (length[i] == length[j]), table, keys)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

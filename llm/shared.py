@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hearsay.session import shared_folder
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared folder."""
     return f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
@@ -109,8 +112,15 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype, width: int) -> np.ndarray:
 
 
 def arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function over record batches."""
-    _ship(df.sparkSession)
+    """``mapInArrow`` with a function over record batches.
+
+    Whole texts pass through, so batches are made smaller than Spark's default unless the session
+    has another size.
+    """
+    spark = df.sparkSession
+    _ship(spark)
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "2000")
     return df.mapInArrow(fn, schema)
 
 
