@@ -108,7 +108,7 @@ def compact(merged_table: DataFrame, path: str, version: int) -> str:
 
 # ---- growth -----------------------------------------------------------------------------
 
-BUCKETS = 64
+BUCKETS = 16
 
 
 def growth_batches(stream: DataFrame, path: str, block_seconds: int = 86400) -> StreamingQuery:
@@ -147,7 +147,7 @@ def growth_batches(stream: DataFrame, path: str, block_seconds: int = 86400) ->
             *SNAPSHOT_KEY, (F.col("fetched_at") - F.col("prev.fetched_at")).alias("seconds"),
             *[(F.col(c) - F.col(f"prev.{c}")).alias(f"{c}_delta") for c in COUNTERS],
         ).write.mode("overwrite").parquet(f"{path}/out/{BATCH}={batch_id}")
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
             f"{path}/state/{BATCH}={batch_id}")
         rows.unpersist()
 
