@@ -6,9 +6,6 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-SEQ = "_seq"
-
-
 def latest_wins(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """One row per key: the one with the highest ``seq``. Combined map-side, so a key with
     very many updates does not collect in one task."""
@@ -35,30 +32,35 @@ def upsert(
     Only columns that ``updates`` has are overwritten; columns it lacks keep their value.
     A supplied NULL overwrites unless ``null_overwrites`` is False. ``kept`` columns hold
     their first value (first-seen time). ``seq`` orders the updates of a key; the result
-    keeps the schema of ``base``. One union and one aggregate with map-side combine: no join,
-    and repeated updates of one key collapse before the shuffle.
+    keeps the schema of ``base``, which has one row per key and no NULL in a key.
+
+    Only the updates are aggregated, with map-side combine, and joined to the base. Where the base
+    is bucketed on the key (``write_table``), it is neither shuffled nor rebuilt: only the reduced
+    updates move. Keys are unique on both sides of the join, so no key is hot there.
     """
-    supplied = [c for c in base.columns if c in updates.columns]
-    old = base.withColumn(SEQ, F.lit(None).cast("bigint"))
-    new = updates.select(*supplied, F.col(seq).cast("bigint").alias(SEQ))
-    rows = old.unionByName(new, allowMissingColumns=True)
-    stored = F.col(SEQ).isNull()
-    # The stored row ranks before every update.
-    rank = F.struct(F.when(stored, 0).otherwise(1).alias("update"), F.col(SEQ).alias("seq"))
-    merged = []
-    for c in base.columns:
+    order = F.col(seq)
+    reduced, merged = [F.lit(True).alias("_there")], []
+    for n, c in enumerate(base.columns):
         if c in keys:
-            continue
-        if c in kept:
-            value = F.min_by(c, F.when(F.col(c).isNotNull(), rank))
-        elif c not in supplied:
-            value = F.max_by(c, F.when(stored, rank))
-        elif null_overwrites:
-            value = F.max_by(c, rank)
+            merged.append(F.col(c))
+        elif c not in updates.columns:
+            merged.append(F.col(f"_b.{c}").alias(c))
         else:
-            value = F.max_by(c, F.when(F.col(c).isNotNull(), rank))
-        merged.append(value.alias(c))
-    return rows.groupBy(*keys).agg(*merged).select(*base.columns)
+            old, new, given = F.col(f"_b.{c}"), F.col(f"_u{n}"), F.col(c).isNotNull()
+            if c in kept:
+                reduced.append(F.min_by(c, F.when(given, order)).alias(f"_u{n}"))
+                value = F.coalesce(old, new)
+            elif null_overwrites:
+                reduced.append(F.max_by(c, order).alias(f"_u{n}"))
+                value = F.when(F.col("_there"), new).otherwise(old)
+            else:
+                reduced.append(F.max_by(c, F.when(given, order)).alias(f"_u{n}"))
+                value = F.coalesce(new, old)
+            merged.append(value.cast(base.schema[c].dataType).alias(c))
+    changes = updates.groupBy(*keys).agg(*reduced)
+    values = [c for c in base.columns if c not in keys]
+    stored = base.select(*keys, F.struct(*values).alias("_b")) if values else base
+    return stored.join(changes, list(keys), "full_outer").select(*merged)
 
 
 def insert_ignore(

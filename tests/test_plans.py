@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from catalog.fixtures import CLAUSES, LETTER, TOKEN_REGEX, Fixtures
-from catalog.registry import QUERIES
+from catalog.registry import ORACLES, QUERIES
 from hearsay.functions.text import regex_tokenizer
 from hearsay.operators import metrics, sentiment
 from hearsay.plans.report import all_keywords_report, keyword_report
@@ -86,4 +86,33 @@ def test_all_keywords_equal_single_keywords(spark, rows):
 
 
 def test_every_query_has_an_oracle_but_the_dump():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"export_json_rows"}
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == {"export_json_rows"}
+
+
+def test_merge_moves_only_the_updates(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from hearsay.operators.merge import upsert
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = spark.range(2000).select(
+            F.col("id").cast("string").alias("id"), F.lit("t").alias("title"),
+            F.col("id").alias("fetched_at"))
+        base.write.bucketBy(8, "id").sortBy("id").option("path", f"{tmp_path}/base").saveAsTable(
+            "merge_base", mode="overwrite")
+        updates = spark.range(50).select(
+            (F.col("id") * 3).cast("string").alias("id"), F.lit("new").alias("title"),
+            F.lit(9).alias("fetched_at"), F.col("id").alias("seq"))
+        out = upsert(spark.table("merge_base"), updates, ["id"], "seq")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        initial = plan.split("Initial Plan")[-1]
+        scan = initial[: initial.index("merge_base")]
+        # Above the scan of the base up to the join there is no exchange.
+        assert "Exchange" not in scan.split("SortMergeJoin")[-1]
+        got = {r.id: (r.title, r.fetched_at) for r in out.collect()}
+        assert len(got) == 2000 and got["3"] == ("new", 3) and got["1"] == ("t", 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS merge_base")
