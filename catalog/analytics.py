@@ -148,6 +148,15 @@ SELECT count(*) AS n_posts, {', '.join(
   {DAY.format('min(published_at)')} AS first_day, {DAY.format('max(published_at)')} AS last_day
 FROM linked WHERE keyword = '{KW}'""", "pairs", "linked"))(
     lambda f: M.overview_kpis(f.corpus, KW))
+query("overview_kpis_all_keywords", sql(f"""
+SELECT keyword, count(*) AS n_posts, {', '.join(
+    f"count(*) FILTER (platform = '{p}') AS n_{p}" for p in PLATFORMS)},
+  CAST(sum(COALESCE(comment_count, 0)) AS BIGINT) AS total_comments,
+  CAST(sum(COALESCE(like_count, 0)) AS BIGINT) AS total_likes,
+  CAST(sum(COALESCE(view_count, 0)) AS BIGINT) AS total_views,
+  {DAY.format('min(published_at)')} AS first_day, {DAY.format('max(published_at)')} AS last_day
+FROM linked GROUP BY keyword""", "pairs", "linked"))(
+    lambda f: M.overview_kpis_all_keywords(f.corpus))
 query("platform_counts", sql(f"""
 SELECT platform, count(*) AS n_posts FROM linked WHERE keyword = '{KW}' GROUP BY 1""",
     "pairs", "linked"))(lambda f: M.platform_counts(f.corpus, KW))
@@ -157,6 +166,26 @@ SELECT '{m}' AS metric, replace(replace(platform, '_question', ''), '_answer', '
   CAST(COALESCE(sum({m}), 0) AS BIGINT) AS total FROM linked WHERE keyword = '{KW}'
 GROUP BY 2""" for m in METRICS), "pairs", "linked"))(
     lambda f: M.platform_comparison(f.corpus, KW))
+query("platform_comparison_all_keywords", sql(" UNION ALL ".join(f"""
+SELECT keyword, '{m}' AS metric,
+  replace(replace(platform, '_question', ''), '_answer', '') AS platform,
+  CAST(COALESCE(sum({m}), 0) AS BIGINT) AS total FROM linked
+GROUP BY 1, 3""" for m in METRICS), "pairs", "linked"))(
+    lambda f: M.platform_comparison_all_keywords(f.corpus))
+query("engagement_histogram_all_keywords", sql("""
+SELECT keyword, bin, round(exp(lo + bin * step), 6) AS left_edge,
+  round(exp(lo + (bin + 1) * step), 6) AS right_edge, count(*) AS n
+FROM (SELECT keyword, lo, step, CAST(greatest(0, least(28, floor((ln(v) - lo) / step))) AS BIGINT)
+        AS bin
+      FROM (SELECT *, ln(min(v) OVER k) AS lo,
+              (ln(max(v) OVER k + 1) - ln(min(v) OVER k)) / 29 AS step
+            FROM (SELECT keyword, CAST(like_count AS DOUBLE) AS v FROM linked WHERE like_count > 0
+                  UNION ALL SELECT a.keyword, p.like_count FROM fx_posts p
+                  JOIN (SELECT DISTINCT keyword, post_id FROM answer_ids) a USING (post_id)
+                  WHERE platform = 'zhihu_answer' AND like_count > 0)
+            WINDOW k AS (PARTITION BY keyword)))
+GROUP BY keyword, bin, lo, step""", "pairs", "linked", "answer_ids"))(
+    lambda f: M.engagement_histogram_all_keywords(f.corpus))
 query("engagement_histogram", sql(f"""
 , vals AS (
   SELECT CAST(like_count AS DOUBLE) AS v FROM linked WHERE keyword = '{KW}' AND like_count > 0

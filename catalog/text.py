@@ -206,6 +206,12 @@ SELECT {DAY.format('published_at')} AS day, count(*) AS n, round(avg(score), 3)
   count(*) FILTER (label = 'neg') AS neg
 FROM rows WHERE published_at IS NOT NULL GROUP BY 1"""))(
     lambda f: N.sentiment_by_day(scored(f)))
+query("sentiment_by_day_all_keywords", unit_sql(f"""
+SELECT keyword, {DAY.format('published_at')} AS day, count(*) AS n,
+  round(avg(score), 3) AS mean_score, count(*) FILTER (label = 'pos') AS pos,
+  count(*) FILTER (label = 'neu') AS neu, count(*) FILTER (label = 'neg') AS neg
+FROM rows WHERE published_at IS NOT NULL GROUP BY 1, 2""", ""))(
+    lambda f: N.sentiment_by_day_all_keywords(f.texts, f.lexicon, TOKENS, CLAUSES))
 query("sentiment_breakdown", unit_sql("""
 SELECT label, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM rows), 1) AS percent
 FROM rows GROUP BY 1"""))(lambda f: N.sentiment_breakdown(scored(f)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearsay.functions.scalars import shorten, utc_day, utc_text
 from hearsay.operators.retrieve import (
-    Corpus, answers_for_keyword, linked_posts, newest_first, posts_for_keyword,
+    Corpus, answer_ids, answers_for_keyword, linked_posts, newest_first, posts_for_keyword,
 )
 from hearsay.operators.shared import previous_in_blocks, repeat_rows, top_k_per_key
 from hearsay.schema import PLATFORMS
@@ -65,10 +65,9 @@ def volume_pivot(c: Corpus, keyword: str) -> DataFrame:
     )
 
 
-def overview_kpis(c: Corpus, keyword: str) -> DataFrame:
-    """One row: posts in total and per platform, counter sums, publish range."""
+def _kpis() -> list[Column]:
     n = F.col("n_links")
-    return linked_posts(c, _by_keyword(keyword)).agg(
+    return [
         F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n_posts"),
         *[
             F.coalesce(F.sum(F.when(F.col("platform") == p, n)), F.lit(0)).cast("bigint")
@@ -79,7 +78,17 @@ def overview_kpis(c: Corpus, keyword: str) -> DataFrame:
           if name != "total_favorites"],
         utc_day(F.min("published_at")).alias("first_day"),
         utc_day(F.max("published_at")).alias("last_day"),
-    )
+    ]
+
+
+def overview_kpis(c: Corpus, keyword: str) -> DataFrame:
+    """One row: posts in total and per platform, counter sums, publish range."""
+    return linked_posts(c, _by_keyword(keyword)).agg(*_kpis())
+
+
+def overview_kpis_all_keywords(c: Corpus) -> DataFrame:
+    """The same row for every keyword that reaches a post, in one pass."""
+    return linked_posts(c, by=["keyword"]).groupBy("keyword").agg(*_kpis()).orderBy("keyword")
 
 
 def platform_counts(c: Corpus, keyword: str) -> DataFrame:
@@ -91,16 +100,52 @@ def platform_counts(c: Corpus, keyword: str) -> DataFrame:
     )
 
 
-def platform_comparison(c: Corpus, keyword: str) -> DataFrame:
-    """Counter totals per metric and platform, with both zhihu kinds as one."""
+def _comparison(posts: DataFrame, keys: Sequence[str]) -> DataFrame:
     rolled = F.when(F.col("platform").startswith("zhihu_"), "zhihu").otherwise(F.col("platform"))
     return (
-        linked_posts(c, _by_keyword(keyword))
-        .groupBy(rolled.alias("platform"))
+        posts.groupBy(*keys, rolled.alias("platform"))
         .agg(*[_total(col, F.col("n_links")).alias(col) for col in _TOTALS.values()])
-        .unpivot("platform", list(_TOTALS.values()), "metric", "total")
-        .select("metric", "platform", "total")
-        .orderBy("metric", "platform")
+        .unpivot([*keys, "platform"], list(_TOTALS.values()), "metric", "total")
+        .select(*keys, "metric", "platform", "total")
+        .orderBy(*keys, "metric", "platform")
+    )
+
+
+def platform_comparison(c: Corpus, keyword: str) -> DataFrame:
+    """Counter totals per metric and platform, with both zhihu kinds as one."""
+    return _comparison(linked_posts(c, _by_keyword(keyword)), [])
+
+
+def platform_comparison_all_keywords(c: Corpus) -> DataFrame:
+    """The same for every keyword in one pass."""
+    return _comparison(linked_posts(c, by=["keyword"]), ["keyword"])
+
+
+def engagement_histogram_all_keywords(c: Corpus, metric: str = "like_count",
+                                      bins: int = 29) -> DataFrame:
+    """:func:`engagement_histogram` of every keyword. Equal values of a keyword are one counted
+    row before the range of the keyword is joined to them."""
+    direct = linked_posts(c, by=["keyword"]).select(
+        "keyword", F.col(metric).alias("value"), "n_links")
+    answers = c.posts.where(F.col("platform") == "zhihu_answer").join(
+        answer_ids(c, c.links, ["keyword"]), "post_id"
+    ).select("keyword", F.col(metric).alias("value"), F.lit(1).cast("bigint").alias("n_links"))
+    counted = (
+        direct.unionByName(answers).where(F.col("value") > 0)
+        .groupBy("keyword", "value").agg(F.sum("n_links").alias("n"))
+    )
+    value = F.col("value").cast("double")
+    ranges = counted.groupBy("keyword").agg(
+        F.ln(F.min(value)).alias("lo"),
+        ((F.ln(F.max(value) + 1) - F.ln(F.min(value))) / bins).alias("step"))
+    number = F.floor((F.ln(value) - F.col("lo")) / F.col("step"))
+    edge = lambda i: F.round(F.exp(F.col("lo") + (F.col("bin") + i) * F.col("step")), 6)
+    return (
+        counted.join(ranges, "keyword")
+        .withColumn("bin", F.least(F.greatest(number, F.lit(0)), F.lit(bins - 1)).cast("bigint"))
+        .groupBy("keyword", "bin", "lo", "step").agg(F.sum("n").cast("bigint").alias("n"))
+        .select("keyword", "bin", edge(0).alias("left_edge"), edge(1).alias("right_edge"), "n")
+        .orderBy("keyword", "bin")
     )
 
 

@@ -154,9 +154,13 @@ def comments_for_keyword(c: Corpus, keyword: str, ordered: bool = True) -> DataF
     return out.orderBy(*most_liked_first()) if ordered else out
 
 
-def comments_for_post(c: Corpus, post_id: str) -> DataFrame:
-    """Comments of one post, most liked first."""
-    return c.comments.where(F.col("post_id") == post_id).orderBy(*most_liked_first())
+def comments_for_post(c: Corpus, post_id: str, platform: str | None = None) -> DataFrame:
+    """Comments of one post, most liked first. Without ``platform``, posts of several platforms
+    that share the id count as one."""
+    own = F.col("post_id") == post_id
+    if platform is not None:
+        own &= F.col("platform") == platform
+    return c.comments.where(own).orderBy(*most_liked_first())
 
 
 def posts_for_run(c: Corpus, run_id: int) -> DataFrame:

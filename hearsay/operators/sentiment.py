@@ -246,54 +246,77 @@ def sentiment_weighted(scored: DataFrame, weight: str = "length") -> DataFrame:
     )
 
 
-def sentiment_summary_all_keywords(
-    c: Corpus, lexicon: DataFrame, tokenizer: Tokenizer | None = None,
-    clause_regex: str = CLAUSE_REGEX,
+def keyword_reach(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """(keyword, platform, post_id, times) of every post and answer a keyword reaches, and of
+    every post whose comments it reaches."""
+    one = F.lit(1).cast("bigint").alias("times")
+    direct = c.links.groupBy("keyword", "platform", "post_id").agg(
+        F.count(F.lit(1)).alias("times")
+    ).withColumn("platform", F.explode(unified_platforms(F.col("platform"))))
+    nested = answer_ids(c, c.links, ["keyword"]).select(
+        "keyword", F.lit("zhihu_answer").alias("platform"), "post_id", one
+    )
+    under = comment_keys(c, c.links, ["keyword"]).select("keyword", "platform", "post_id", one)
+    return direct.unionByName(nested), under
+
+
+def _keyword_sums(
+    c: Corpus, lexicon: DataFrame, tokenizer: Tokenizer | None, clause_regex: str,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The summary of every keyword in one job.
+    """keyword, ``keys``, n, pos, neu, neg and total (sum of scores) in one job.
 
     Each text is scored once, however many keywords reach it, and the scores are summed per
-    post before the keywords are joined, so a hot post or keyword is one row at that join.
+    post (and ``keys``) before the keywords are joined, so a hot post or keyword is one row at
+    that join.
     """
-    def per_post(units: DataFrame, keys: list[str]) -> DataFrame:
-        units = units.withColumn("length", F.char_length("text"))
-        scored = score_texts(units, keys, "text", lexicon, tokenizer, clause_regex, ["length"])
+    def per_post(rows: DataFrame, unit: list[str], *texts: str) -> DataFrame:
+        units = rows.select(
+            *unit, "published_at", clean_text(row_text(*map(F.col, texts))).alias("text")
+        ).withColumn("length", F.char_length("text")).withColumn(
+            "day", utc_day(F.col("published_at")))
+        scored = score_texts(units, unit, "text", lexicon, tokenizer, clause_regex,
+                             ["length", "day"])
         one = F.lit(1).cast("bigint")
-        return scored.where(F.col("length") > 0).groupBy("platform", "post_id").agg(
+        return scored.where(F.col("length") > 0).groupBy("platform", "post_id", *keys).agg(
             F.count(F.lit(1)).alias("units"), F.sum("score").alias("score"),
             *_label_counts(one),
         )
 
-    posts = per_post(
-        c.posts.select("platform", "post_id",
-                       clean_text(row_text(F.col("title"), F.col("content"))).alias("text")),
-        ["platform", "post_id"],
-    )
-    comments = per_post(
-        c.comments.select("platform", "post_id", "comment_id",
-                          clean_text(row_text(F.col("content"))).alias("text")),
-        ["platform", "post_id", "comment_id"],
-    )
-    one = F.lit(1).cast("bigint").alias("times")
-    direct = c.links.groupBy("keyword", "platform", "post_id").agg(
-        F.count(F.lit(1)).alias("times")
-    ).withColumn("platform", F.explode(unified_platforms(F.col("platform"))))
-    nested = answer_ids(c, c.links, ["keyword"]).select(
-        "keyword", F.lit("zhihu_answer").alias("platform"), "post_id", one
-    )
-    under = comment_keys(c, c.links, ["keyword"]).select("keyword", "platform", "post_id", one)
     on = ["platform", "post_id"]
-    reached = direct.unionByName(nested).join(posts, on).unionByName(under.join(comments, on))
+    posts = per_post(c.posts, on, "title", "content")
+    comments = per_post(c.comments, [*on, "comment_id"], "content")
+    reached, under = keyword_reach(c)
+    both = reached.join(posts, on).unionByName(under.join(comments, on))
     times = F.col("times")
-    sums = reached.groupBy("keyword").agg(
+    return both.groupBy("keyword", *keys).agg(
         F.sum(F.col("units") * times).cast("bigint").alias("n"),
         *[F.sum(F.col(x) * times).cast("bigint").alias(x) for x in ("pos", "neu", "neg")],
         F.sum(F.col("score") * times).alias("total"),
     )
+
+
+def sentiment_summary_all_keywords(
+    c: Corpus, lexicon: DataFrame, tokenizer: Tokenizer | None = None,
+    clause_regex: str = CLAUSE_REGEX,
+) -> DataFrame:
+    """The summary of every keyword in one job."""
     mean = F.col("total") / F.col("n")
-    return sums.select(
+    return _keyword_sums(c, lexicon, tokenizer, clause_regex).select(
         "keyword", "n", "pos", "neu", "neg",
         F.round(F.col("pos") / F.col("n"), 3).alias("pos_share"),
         F.round(F.col("neg") / F.col("n"), 3).alias("neg_share"),
         F.round(mean, 3).alias("mean_score"), label_for(mean).alias("tendency"),
     ).orderBy("keyword")
+
+
+def sentiment_by_day_all_keywords(
+    c: Corpus, lexicon: DataFrame, tokenizer: Tokenizer | None = None,
+    clause_regex: str = CLAUSE_REGEX,
+) -> DataFrame:
+    """Mean score and label counts per publish day (UTC) of every keyword in one job."""
+    sums = _keyword_sums(c, lexicon, tokenizer, clause_regex, ["day"])
+    return sums.where(F.col("day").isNotNull()).select(
+        "keyword", "day", "n", F.round(F.col("total") / F.col("n"), 3).alias("mean_score"),
+        "pos", "neu", "neg",
+    ).orderBy("keyword", "day")

@@ -80,7 +80,7 @@ def keyword_report(
     }
     if c.runs is not None:
         tables["runs"] = retrieve.run_summary(c.runs, keyword).limit(10)
-    return Report(tables, [scored, counts], c)
+    return Report(tables, [scored], c)
 
 
 def all_keywords_report(
@@ -89,11 +89,17 @@ def all_keywords_report(
 ) -> Report:
     """The tables that exist for all keywords at once; one job each, not one per keyword."""
     return Report({
+        "overview": metrics.overview_kpis_all_keywords(c),
+        "platform_comparison": metrics.platform_comparison_all_keywords(c),
+        "engagement_distribution": metrics.engagement_histogram_all_keywords(c),
         "volume_by_day": metrics.volume_by_day_all_keywords(c),
         "top_posts": metrics.top_posts_all_keywords(c),
         "sentiment_summary": sentiment.sentiment_summary_all_keywords(
             c, lexicon, tokenizer, clause_regex
         ),
+        "sentiment_by_day": sentiment.sentiment_by_day_all_keywords(
+            c, lexicon, tokenizer, clause_regex
+        ),
         "coverage": metrics.keyword_coverage(c.links),
         "top_keywords": metrics.top_linked_keywords(c.links),
     })
