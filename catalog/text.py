@@ -293,7 +293,7 @@ WHERE regexp_matches(term, '^\p{L}+$') AND length(term) >= len
              "term NOT IN (SELECT term FROM polar) AND term NOT IN "
              "(SELECT term FROM valid WHERE bucket = 'negation') UNION ALL "
              "SELECT * FROM valid WHERE bucket = 'negation' UNION "
-             "(SELECT 'stopword', unnest([" + ", ".join(f"'{w}'" for w in L.STOPWORD_CORE)
+             "(SELECT 'stopword', unnest([" + ", ".join(f"'{w}'" for w in STOPWORDS)
              + "]), 1.0 UNION SELECT * FROM valid WHERE bucket = 'stopword')",
 }
 
@@ -318,10 +318,10 @@ def raw_lexicon(f: Fixtures):
 
 query("lexicon_build", duck(
     "SELECT bucket, term, CAST(value AS DOUBLE) AS value FROM built", **BUILT))(
-    lambda f: L.lexicon_build(raw_lexicon(f), r"^\p{L}+$"))
+    lambda f: L.lexicon_build(raw_lexicon(f), r"^\p{L}+$", f.words(STOPWORDS)))
 query("lexicon_stats", duck(
     "SELECT bucket, count(*) AS n_terms FROM built GROUP BY 1", **BUILT))(
-    lambda f: L.lexicon_stats(L.lexicon_build(raw_lexicon(f), r"^\p{L}+$")))
+    lambda f: L.lexicon_stats(L.lexicon_build(raw_lexicon(f), r"^\p{L}+$", f.words(STOPWORDS))))
 query("sentiment_scores_built_lexicon", duck("""
 SELECT doc_id, round(score, 6) AS score, label, pos_hits, neg_hits FROM labelled""",
     docs=f"SELECT doc_id, {cleaned('text')} AS text FROM documents", **BUILT, **{
@@ -329,7 +329,7 @@ SELECT doc_id, round(score, 6) AS score, label, pos_hits, neg_hits FROM labelled
         + "FROM built WHERE bucket <> 'stopword' GROUP BY term"}))(
     lambda f: N.score_texts(
         f.documents.select("doc_id", X.clean_text(F.col("text")).alias("text")), ["doc_id"],
-        "text", L.lexicon_build(raw_lexicon(f), r"^\p{L}+$"), TOKENS, CLAUSES,
+        "text", L.lexicon_build(raw_lexicon(f), r"^\p{L}+$", f.words(STOPWORDS)), TOKENS, CLAUSES,
     ).select("doc_id", F.round("score", 6).alias("score"), "label", "pos_hits", "neg_hits"))
 
 # ---- scalar functions -------------------------------------------------------------------

@@ -262,6 +262,28 @@ def export_run(f):
         F.col("comment_count").cast("bigint").alias("comment_count"))
 
 
+def export_all(f, name, *columns):
+    paths = sinks.export_all_runs(f.corpus, scratch_path(f.spark, "runs"), chinese=False)
+    rows = f.spark.read.options(header=True, escape='"', multiLine=True).csv(paths[name])
+    rows = rows.select(*(F.col(f"`{c}`").alias(c.lstrip(sinks.BOM)) for c in rows.columns))
+    return rows.select(F.col("run_id").cast("bigint").alias("run_id"), *columns)
+
+
+def _all_runs_sql():
+    from catalog.analytics import sql
+    return sql("""
+SELECT run_id, platform, post_id, url, title FROM (
+  SELECT DISTINCT run_id, platform, post_id, url, title FROM linked UNION ALL
+  SELECT a.run_id, platform, post_id, url, title FROM fx_posts
+  JOIN (SELECT DISTINCT run_id, post_id FROM answer_ids) a USING (post_id)
+  WHERE platform = 'zhihu_answer')
+WHERE run_id IN (SELECT run_id FROM fx_runs)""", "pairs", "linked", "answer_ids")
+
+
+query("export_all_runs", _all_runs_sql())(
+    lambda f: export_all(f, "posts", "platform", "post_id", "url", "title"))
+
+
 def _run_sql():
     from catalog.analytics import sql
     return sql("""

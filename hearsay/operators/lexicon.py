@@ -18,12 +18,6 @@ BOUNDS = {"positive": (1.0, 2.0), "negative": (1.0, 2.0), "degree": (0.3, 2.5)}
 MIN_LENGTH = {"positive": 2, "negative": 2}
 TERM_REGEX = "^[一-鿿㐀-䶿]+$"
 
-# Stopwords every lexicon has.
-STOPWORD_CORE = (
-    "的 了 是 我 你 他 她 它 这 那 和 与 就 都 也 在 对 把 被 给 吗 呢 吧 啊 "
-    "什么 怎么 可以 没有 不是 一个 我们 他们"
-).split()
-
 
 def read_raw_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Rows (category, term, value) from JSON of the form {category: [{term, value}, ...]},
@@ -46,15 +40,18 @@ def read_raw_lexicon(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def lexicon_build(raw: DataFrame, term_regex: str = TERM_REGEX) -> DataFrame:
+def lexicon_build(
+    raw: DataFrame, term_regex: str = TERM_REGEX, stopwords: DataFrame | None = None
+) -> DataFrame:
     """Clean rows (category, term, value text) into the lexicon (bucket, term, value).
 
+    ``stopwords`` (a table ``word``) are stopwords whatever ``raw`` says.
+
     Terms must match ``term_regex`` and the bucket's shortest length; weights are numbers,
     clamped and rounded to two places, the largest one kept. A term with both polarities is
     dropped from both; a degree word that carries sentiment or negates is no degree word.
     Everything is decided in one aggregate per term, whose groups are combined map-side.
     """
-    spark = raw.sparkSession
     bucket = F.element_at(
         F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv]), F.col("category")
     )
@@ -74,12 +71,11 @@ def lexicon_build(raw: DataFrame, term_regex: str = TERM_REGEX) -> DataFrame:
     def present(name: str) -> Column:
         return F.max(F.when(F.col("bucket") == name, F.lit(1.0)))
 
-    core = spark.range(1).select(
-        F.lit("stopword").alias("bucket"),
-        F.explode(F.array(*map(F.lit, STOPWORD_CORE))).alias("term"),
-        F.lit(1.0).alias("value"),
-    )
-    per_term = rows.unionByName(core).groupBy("term").agg(
+    if stopwords is not None:
+        rows = rows.unionByName(stopwords.select(
+            F.lit("stopword").alias("bucket"), F.col("word").alias("term"),
+            F.lit(1.0).alias("value")))
+    per_term = rows.groupBy("term").agg(
         *[largest(b).alias(b) for b in BOUNDS],
         present("negation").alias("negation"), present("stopword").alias("stopword"),
     )

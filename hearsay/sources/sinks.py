@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from typing import Mapping
+from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from hearsay.functions.scalars import sanitize_keyword
 from hearsay.operators.merge import lists_to_json
-from hearsay.operators.retrieve import Corpus, comments_for_run, posts_for_run
+from hearsay.operators.retrieve import (
+    Corpus, answer_ids, comment_keys, comments_for_run, linked_posts, posts_for_run,
+)
 from hearsay.schema import to_zh
 
 BOM = "\ufeff"
@@ -32,14 +34,15 @@ def export_json(tables: Mapping[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
 
 
-def export_csv(df: DataFrame, path: str, bom: bool = False) -> None:
-    """CSV with a header; with ``bom`` every part file starts with a UTF-8 byte order mark."""
+def export_csv(df: DataFrame, path: str, bom: bool = False, by: Sequence[str] = ()) -> None:
+    """CSV with a header; with ``bom`` every part file starts with a UTF-8 byte order mark.
+    ``by`` names columns that become folders."""
     flat = lists_to_json(df)
     if bom:
-        first = flat.columns[0]
+        first = next(c for c in flat.columns if c not in by)
         flat = flat.withColumnRenamed(first, BOM + first)
     # Quotes are doubled and empty strings kept apart from NULL, as spreadsheets expect.
-    flat.write.mode("overwrite").options(
+    flat.write.mode("overwrite").partitionBy(*by).options(
         header=True, escape='"', quoteAll=False, emptyValue='""', nullValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
@@ -64,18 +67,48 @@ def export_run(
     export_csv(rename(posts_for_run(c, run_id)), paths["posts"], bom=True)
     if include_comments:
         comments = comments_for_run(c, run_id)
-        if not comments.isEmpty():
+        keys = comment_keys(c, c.links.where(F.col("run_id") == run_id))
+        # Whether there are any is asked of the unsorted rows.
+        if not c.comments.join(keys, ["platform", "post_id"], "left_semi").isEmpty():
             paths["comments"] = f"{base}_comments.csv"
             export_csv(rename(comments), paths["comments"], bom=True)
     return paths
 
 
-def export_all_runs(c: Corpus, out_dir: str) -> None:
-    """Posts of every run in one job, partitioned by keyword and run."""
-    from hearsay.operators.retrieve import linked_posts
-    runs = c.runs.select("run_id", sanitize_keyword(F.col("keyword")).alias("keyword_key"))
-    posts = linked_posts(c, by=["run_id"]).drop("n_links").join(runs, "run_id")
-    # Rows of one run are spread over several files, so a large run has several writers.
-    spread = posts.repartition("keyword_key", "run_id", F.pmod(F.xxhash64("post_id"), F.lit(8)))
-    spread.write.mode("overwrite").partitionBy("keyword_key", "run_id").option(
-        "header", True).csv(out_dir)
+def all_run_posts(c: Corpus) -> DataFrame:
+    """run_id and the posts of every run, followed by the answers under its questions."""
+    direct = linked_posts(c, by=["run_id"]).select("run_id", *c.posts.columns)
+    answers = c.posts.where(F.col("platform") == "zhihu_answer").join(
+        answer_ids(c, c.links, ["run_id"]).distinct(), "post_id")
+    return direct.unionByName(answers.select("run_id", *c.posts.columns))
+
+
+def all_run_comments(c: Corpus) -> DataFrame:
+    """run_id and the comments of every run's posts."""
+    keys = comment_keys(c, c.links, ["run_id"])
+    return c.comments.join(keys, ["platform", "post_id"]).select("run_id", *c.comments.columns)
+
+
+def export_all_runs(
+    c: Corpus, out_dir: str, include_comments: bool = True, chinese: bool = True
+) -> dict[str, str]:
+    """Posts (answers included) and comments of every run in one job each, as
+    :func:`export_run` writes them, in folders of keyword and run.
+
+    The keyword's folder carries a hash, so keywords that share their first characters do not
+    share a folder.
+    """
+    runs = c.runs.select("run_id", F.concat_ws(
+        "-", sanitize_keyword(F.col("keyword")), F.substring(F.md5("keyword"), 1, 8)
+    ).alias("keyword_key"))
+    rename = to_zh if chinese else (lambda df: df)
+    tables = {"posts": all_run_posts(c)}
+    if include_comments:
+        tables["comments"] = all_run_comments(c)
+    paths = {}
+    for name, rows in tables.items():
+        # One writer per run, several where adaptive execution measures a large one.
+        spread = rows.join(runs, "run_id").hint("rebalance", "keyword_key", "run_id")
+        paths[name] = f"{out_dir.rstrip('/')}/{name}.csv"
+        export_csv(rename(spread), paths[name], bom=True, by=["keyword_key", "run_id"])
+    return paths

@@ -124,9 +124,13 @@ def test_export_run(spark, tmp_path):
     assert spark.read.option("header", True).csv(paths["posts"]).columns[1] == "帖子ID"
     with pytest.raises(ValueError):
         sinks.export_run(c, 5, str(tmp_path))
-    sinks.export_all_runs(c, str(tmp_path / "all"))
-    back = spark.read.option("header", True).csv(str(tmp_path / "all"))
-    assert [(r.keyword_key, r.run_id, r.post_id) for r in back.collect()] == [("电动车", 4, "1")]
+    paths = sinks.export_all_runs(c, str(tmp_path / "all"), chinese=False)
+    assert set(paths) == {"posts", "comments"}
+    back = spark.read.option("header", True).csv(paths["posts"])
+    first = next((tmp_path / "all").rglob("posts.csv/*/*/part-*.csv"))
+    assert first.read_bytes().startswith(sinks.BOM.encode())
+    row = back.first()
+    assert row.keyword_key.startswith("电动车-") and (row.run_id, row.post_id) == (4, "1")
 
 
 def test_json_dump(spark, tmp_path):
