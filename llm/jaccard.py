@@ -308,9 +308,13 @@ def join(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with one of each class left, the one with the smallest id; texts without
     words all stay."""
-    rows = _keyed(docs, F.struct(*docs.columns).alias("doc")).drop("text")
-    found = rows.join(classes(docs), ["k1", "k2"]).where(~F.col("some") | (F.col("id") == F.col("class_id")))
-    # Equal rows of the smallest id: the join has put them side by side already.
-    again = Window.partitionBy("k1", "k2").orderBy("id")
-    one = found.where("some").withColumn("_n", F.row_number().over(again)).where("_n = 1")
-    return one.select("doc.*").union(found.where(~F.col("some")).select("doc.*"))
+    rows = _keyed(docs, F.struct(*docs.columns).alias("doc")).withColumn(
+        "some", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).drop("text")
+    first = classes(docs).where(F.col("some") & (F.col("node") == F.col("class_id"))).select(
+        F.col("node").alias("id"), "k1", "k2")
+    # Joined by id and text: the copies of a text spread over all tasks.
+    found = rows.where("some").join(first, ["id", "k1", "k2"])
+    # Rows that repeat the id and the text.
+    again = Window.partitionBy("id", "k1", "k2").orderBy("some")
+    one = found.withColumn("_n", F.row_number().over(again)).where("_n = 1")
+    return one.select("doc.*").union(rows.where("not some").select("doc.*"))
