@@ -61,7 +61,7 @@ def materialise(docs: DataFrame, stride: int = STRIDE, shard_rows: int = SHARD_R
     """slot, shard, position (record in the shard), doc_id, piece, length, ids_crc32 (of the
     stored ids) and record (padded ids), each shard whole and sorted within one partition."""
     pieces = packing.pieces(docs, stride, path, with_ids=True, store=TYPE).drop("start")
-    table = cut(pieces, "tokens")
+    table = cut(pieces, "tokens", codec="zstd")
     rows = table.select("*", F.col("_metadata.file_name").alias("_file"),
                         F.col("_metadata.row_index").alias("_row"))
     # One row per written file.
