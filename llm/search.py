@@ -3,7 +3,7 @@
 Nearness is the inner product. A vector x is extended by one component to the length of the
 longest vector, a query by zero; then the largest inner products are the smallest distances.
 
-1. Lists: centroids are fitted (k-means on directions) on at most ``SAMPLE`` vectors chosen by a hash of their ids;
+1. Lists: centroids are fitted (k-means on directions) on about ``SAMPLE`` vectors chosen by a hash of the rows;
    every vector is put in the list of its nearest centroid. A list of more than ``SLICE_ROWS``
    vectors is cut into slices, so a list with a third of all vectors is many tasks.
 2. A query looks at the sample and probes the ``PROBES`` share of the lists whose centroids are
@@ -11,13 +11,14 @@ longest vector, a query by zero; then the largest inner products are the smalles
 3. Within a list, vectors are rotated at random and read in blocks of ``BLOCK`` columns. After d of D
    columns the partial distance, scaled by D/d, estimates the whole; a candidate is abandoned when
    a test says that the whole is beyond the query's limit with high probability. The limit is the
-   k-th smallest distance of the query to the sample, a true bound on its answer.
+   distance of the query to the k-th nearest other id of the sample, a true bound on its answer.
 4. Survivors are ranked by the inner product of the original vectors in double precision.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part;
 neither do rows without an id, nor vectors whose length is not the most frequent one (ties: the
 shortest); rows that share an id ask together, count once as a candidate (by their best score) and
-never answer their own id; fewer candidates give fewer rows; an empty table gives none.
+never answer their own id; rows equal in id and vector are one before anything is cut to k, and
+every cut is to k distinct ids; fewer candidates give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ class Index:
     """Centroids, rotation and sample; its size does not depend on the table."""
 
     def __init__(self, ids: np.ndarray, sample: np.ndarray, longest: float, rows: int):
+        """``ids`` are sorted; one id may have several vectors."""
         self.longest, self.ids, self.plain = longest, ids, sample
+        self.distinct, self.starts = np.unique(ids, return_index=True)
         n = sample.shape[1] + 1
         rng = np.random.default_rng(31)
         self.rotation = np.linalg.qr(rng.normal(size=(n, n)))[0]
@@ -68,12 +71,18 @@ class Index:
         v = v * (self.longest / np.sqrt(np.square(v).sum(1, keepdims=True)))
         return np.concatenate([v, np.zeros((len(v), 1))], 1) @ self.rotation
 
-    def limits(self, q: np.ndarray, k: int) -> np.ndarray:
-        """The squared distance within which each query's ``k`` nearest lie. The query itself may be in the
-        sample, so one more is counted."""
-        if len(self.sample) <= k:
+    def limits(self, asks: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """The squared distance within which the ``k`` nearest other ids of each query (its id and
+        vector) lie: an id of the sample counts once, the query's own does not."""
+        if len(self.distinct) < k:
             return np.full(len(q), np.inf)
-        return np.partition(_squares(q, self.sample), k, 1)[:, k] * (1 + 1e-9)
+        d = _squares(q, self.sample)
+        if len(self.distinct) < len(self.ids):
+            d = np.minimum.reduceat(d, self.starts, axis=1)
+        at = np.minimum(np.searchsorted(self.distinct, asks), len(self.distinct) - 1)
+        own = np.flatnonzero(self.distinct[at] == asks)
+        d[own, at[own]] = np.inf
+        return np.partition(d, k - 1, 1)[:, k - 1] * (1 + 1e-9)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,8 +119,9 @@ def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, n
 
 
 def build(vectors: DataFrame) -> tuple[DataFrame, Index | None]:
-    """The usable vectors (vec_id, v) and the index fitted on their sample."""
+    """The usable vectors (vec_id, v), equal rows once, and the index fitted on their sample."""
     good = doubles(vectors).where(F.col("vec_id").isNotNull())
+    good = cut(good.select("vec_id", "v").distinct(), "vectors")
     size = F.size("v")
     shape = good.groupBy(size.alias("n")).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -121,8 +131,9 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Index | None]:
         return good, None
     good = good.where(size == shape["n"])
     share = min(1.0, SAMPLE / shape["rows"])
-    pick = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = (good if share == 1 else good.where(pick)).limit(2 * SAMPLE).collect()
+    # By id and vector, so the many vectors of one id do not enter together.
+    pick = F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = (good if share == 1 else good.where(pick)).collect()
     rows.sort(key=lambda r: (r["vec_id"], r["v"]))
     ids, v = np.array([r["vec_id"] for r in rows], np.int64), [r["v"] for r in rows]
     return good, Index(ids, np.array(v).reshape(len(v), shape["n"]), shape["longest"],
@@ -174,15 +185,21 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, probes: floa
                 x = index.stored(v[: m - a])
                 for lo in range(m - a, b - a, 128):
                     ask = v[lo : lo + 128]
-                    q = index.asked(ask)
-                    i, j = scan(q, x, index.limits(q, k))
-                    yield best(ids[a + lo : a + lo + 128], ask, ids[a:m], v, i, j)
+                    q, asks = index.asked(ask), ids[a + lo : a + lo + len(ask)]
+                    i, j = scan(q, x, index.limits(asks, q, k))
+                    yield best(asks, ask, ids[a:m], v, i, j)
 
     def best(asks, ask, ids, v, i, j) -> pa.RecordBatch:
-        """The ``k`` best of the pairs (query i, candidate j) of every query."""
+        """The ``k`` best ids of the pairs (query i, candidate j) of every query."""
         other = asks[i] != ids[j]
         i, j = i[other], j[other]
         score = np.einsum("ij,ij->i", ask[i], v[j])
+        # The best pair of every query and id, then the best ids.
+        order = np.lexsort((-score, ids[j], i))
+        i, j, score = i[order], j[order], score[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])
+        i, j, score = i[new], j[new], score[new]
         order = np.lexsort((ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         top = np.arange(len(i)) - np.searchsorted(i, i) < k
@@ -195,9 +212,10 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, probes: floa
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 ask = rows_of(part.column("v"))
-                limit = index.limits(index.asked(ask), k)[:, None]
+                asks = part.column("vec_id").to_numpy()
+                limit = index.limits(asks, index.asked(ask), k)[:, None]
                 i, j = np.nonzero(_squares(index.asked(ask), index.sample) <= limit)
-                yield best(part.column("vec_id").to_numpy(), ask, index.ids, index.plain, i, j)
+                yield best(asks, ask, index.ids, index.plain, i, j)
 
     rows = cut(arrow(good.select("vec_id", "v"), place,
                      "list int, query boolean, vec_id bigint, v array<double>"), "lists")
@@ -207,7 +225,7 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, probes: floa
     every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     spread = sized.where("not query").select(
         "list", "query", "vec_id", "v",
-        F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("slices")).cast("int").alias("slice"),
+        F.pmod(F.xxhash64("vec_id", "v", F.lit(5)), F.col("slices")).cast("int").alias("slice"),
     ).union(sized.where("query").select("list", "query", "vec_id", "v", every))
     found = arrow(
         spread.repartition("list", "slice").sortWithinPartitions("list", "slice", "query"),

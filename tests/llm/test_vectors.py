@@ -149,3 +149,31 @@ def test_scan_abandons_few_of_the_near_ones():
     i, j = search.scan(q, x, limit)
     assert (d[i, j] <= limit[i] * (1 + 1e-9) + 1e-9).all()
     assert len(i) >= 0.97 * 20 * 31
+
+
+@pytest.mark.parametrize("repeat", ["equal", "different"])
+@pytest.mark.parametrize("sample", [4000, 60])
+def test_search_with_one_id_in_a_hundred_rows(spark, monkeypatch, repeat, sample):
+    """An id of many rows takes one place, as a candidate and beside its own query."""
+    monkeypatch.setattr(search, "SAMPLE", sample)
+    rng = np.random.default_rng(6)
+    rows = [(i, (np.ones(6) + rng.normal(0, 0.2, 6)).tolist()) for i in range(200)]
+    long = 3 * np.ones(6)
+    for i in (401, 420):  # 420 asks as well
+        rows += [(i, (long + (0 if repeat == "equal" else rng.normal(0, 0.01, 6))).tolist())
+                 for _ in range(100)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = answers(search.nearest(docs, probes=1.0))
+    values = {}
+    for i, v in rows:
+        values.setdefault(i, []).append(np.array(v))
+    assert set(got) == {i for i in values if i % 20 == 0}
+    hit = 0
+    for q, found in got.items():
+        score = {i: max(float(a @ b) for a in values[q] for b in w)
+                 for i, w in values.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert len({i for i, _ in found}) == len(found) == 20
+        assert all(abs(s - score[i]) < 1e-9 for i, s in found)
+        hit += len({i for i, _ in found} & set(want))
+    assert hit >= 0.95 * 20 * len(got)
