@@ -5,7 +5,8 @@ longest vector, a query by zero; then the largest inner products are the smalles
 
 1. Lists: centroids are fitted (k-means on directions) on about ``SAMPLE`` vectors chosen by a hash of the rows;
    every vector is put in the list of its nearest centroid. A list of more than ``SLICE_ROWS``
-   vectors is cut into slices, so a list with a third of all vectors is many tasks.
+   vectors is cut into slices, so a list with a third of all vectors is many tasks. A task holds the
+   candidates of one slice; the queries that probe it stream past them.
 2. A query looks at the sample and probes the ``PROBES`` share of the lists whose centroids are
    nearest.
 3. Within a list, vectors are rotated at random and read in blocks of ``BLOCK`` columns. After d of D
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from llm.shared import arrow, cut, group_bounds, whole_groups
+from llm.shared import arrow, cut, group_bounds
 from llm.vectors import doubles, rows_of
 
 QUERY_STEP = 20
@@ -118,6 +119,58 @@ def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, n
     return i, j
 
 
+def in_lists(batches: Iterator[pa.RecordBatch], index: Index, k: int
+             ) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best of every query among the candidates of its (list, slice). Rows are sorted by
+    list, slice and query: the candidates of a group are held, and the queries behind them, of
+    which there may be any number, pass batch by batch."""
+    keys, group, held, x = ["list", "slice", "query"], None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        bounds = group_bounds(table, keys)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            at = (batch.column("list")[a].as_py(), batch.column("slice")[a].as_py())
+            if at != group:
+                group, held, x = at, [], None
+            part = batch.slice(a, b - a)
+            if not part.column("query")[0].as_py():
+                held.append(part)
+                continue
+            if not held:
+                continue
+            if x is None:
+                own = pa.Table.from_batches(held)
+                ids, v = own.column("vec_id").to_numpy(), rows_of(own.column("v"))
+                x = index.stored(v)
+            for lo in range(0, part.num_rows, 128):
+                some = part.slice(lo, 128)
+                ask, asks = rows_of(some.column("v")), some.column("vec_id").to_numpy()
+                q = index.asked(ask)
+                i, j = scan(q, x, index.limits(asks, q, k))
+                yield _best(k, asks, ask, ids, v, i, j)
+
+
+def _best(k, asks, ask, ids, v, i, j) -> pa.RecordBatch:
+    """The ``k`` best ids of the pairs (query i, candidate j) of every query."""
+    other = asks[i] != ids[j]
+    i, j = i[other], j[other]
+    score = np.einsum("ij,ij->i", ask[i], v[j])
+    # The best pair of every query and id, then the best ids.
+    order = np.lexsort((-score, ids[j], i))
+    i, j, score = i[order], j[order], score[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])
+    i, j, score = i[new], j[new], score[new]
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return pa.RecordBatch.from_arrays(
+        [pa.array(asks[i[top]]), pa.array(ids[j[top]]), pa.array(score[top])],
+        ["query_id", "vec_id", "score"])
+
+
 def build(vectors: DataFrame) -> tuple[DataFrame, Index | None]:
     """The usable vectors (vec_id, v), equal rows once, and the index fitted on their sample."""
     good = doubles(vectors).where(F.col("vec_id").isNotNull())
@@ -173,39 +226,7 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, probes: floa
                     ["list", "query", "vec_id", "v"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["list", "slice"]):
-            bounds = group_bounds(table, ["list", "slice"])
-            query = table.column("query").to_numpy()
-            ids = table.column("vec_id").to_numpy()
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                m = a + int((~query[a:b]).sum())  # candidates come first
-                if m in (a, b):
-                    continue
-                v = rows_of(table.column("v").slice(a, b - a))
-                x = index.stored(v[: m - a])
-                for lo in range(m - a, b - a, 128):
-                    ask = v[lo : lo + 128]
-                    q, asks = index.asked(ask), ids[a + lo : a + lo + len(ask)]
-                    i, j = scan(q, x, index.limits(asks, q, k))
-                    yield best(asks, ask, ids[a:m], v, i, j)
-
-    def best(asks, ask, ids, v, i, j) -> pa.RecordBatch:
-        """The ``k`` best ids of the pairs (query i, candidate j) of every query."""
-        other = asks[i] != ids[j]
-        i, j = i[other], j[other]
-        score = np.einsum("ij,ij->i", ask[i], v[j])
-        # The best pair of every query and id, then the best ids.
-        order = np.lexsort((-score, ids[j], i))
-        i, j, score = i[order], j[order], score[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])
-        i, j, score = i[new], j[new], score[new]
-        order = np.lexsort((ids[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        top = np.arange(len(i)) - np.searchsorted(i, i) < k
-        return pa.RecordBatch.from_arrays(
-            [pa.array(asks[i[top]]), pa.array(ids[j[top]]), pa.array(score[top])],
-            ["query_id", "vec_id", "score"])
+        return in_lists(batches, index, k)
 
     def in_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +236,7 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, probes: floa
                 asks = part.column("vec_id").to_numpy()
                 limit = index.limits(asks, index.asked(ask), k)[:, None]
                 i, j = np.nonzero(_squares(index.asked(ask), index.sample) <= limit)
-                yield best(asks, ask, index.ids, index.plain, i, j)
+                yield _best(k, asks, ask, index.ids, index.plain, i, j)
 
     rows = cut(arrow(good.select("vec_id", "v"), place,
                      "list int, query boolean, vec_id bigint, v array<double>"), "lists")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm import lattice, search
@@ -177,3 +178,34 @@ def test_search_with_one_id_in_a_hundred_rows(spark, monkeypatch, repeat, sample
         assert all(abs(s - score[i]) < 1e-9 for i, s in found)
         hit += len({i for i, _ in found} & set(want))
     assert hit >= 0.95 * 20 * len(got)
+
+
+def test_queries_of_a_list_stream_past_its_candidates():
+    """A task answers each batch of queries before it reads the next, across batch borders."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(60, 8))
+    index = search.Index(np.arange(60), v, float(np.sqrt(np.square(v).sum(1)).max()), 60)
+    read = []
+
+    def batches():
+        parts = [(0, 0, 30), (0, 30, 60)] + [(1, a, a + 5) for a in range(0, 60, 5)]
+        for group in (0, 1):  # the second list holds every vector again
+            for query, a, b in parts:
+                read.append(query)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(b - a, group, np.int32)),
+                     pa.array(np.zeros(b - a, np.int32)), pa.array(np.full(b - a, bool(query))),
+                     pa.array(np.arange(a, b)), pa.array(v[a:b].tolist())],
+                    ["list", "slice", "query", "vec_id", "v"])
+
+    out = []
+    for batch in search.in_lists(batches(), index, 3):
+        out.append(batch)
+        assert sum(read) == len(out)
+    assert len(out) == 24
+    for half in (out[:12], out[12:]):
+        got = pa.Table.from_batches(half).to_pydict()
+        for q in range(60):
+            want = sorted((-(v[q] @ v[i]), i) for i in range(60) if i != q)[:3]
+            assert [i for a, i in zip(got["query_id"], got["vec_id"]) if a == q] == [
+                i for _, i in want]
