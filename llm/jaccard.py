@@ -21,7 +21,9 @@ similarity is at least 0.8. Equal texts are one node with a number of copies.
 Defined results: a text with fewer than five words has one shingle, all its words; a text without
 words (null, empty, blanks) is linked with nothing and is its own class; copies of a text are
 linked with each other; a row without an id is known by a negative number made from its text; rows
-with equal id and text are copies; an empty table gives no rows. Only doc_id and text are read.
+with equal id and text are copies; different texts under one id are different texts, each with its
+own links; a class is named by its smallest id, and of two texts of a class under that id only one
+is kept; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -263,20 +265,23 @@ def _keyed(docs: DataFrame, *extra: Column) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per distinct text: k1, k2 (its key), some (it has words), node (its smallest id),
-    class_id (smallest id reachable by links) and n_links (linked rows besides itself)."""
+    """One row per distinct text: k1, k2 (its key), some (it has words), first (its smallest id),
+    class_id (smallest id reachable by links), leads (it stands for its class: the text of that
+    id) and n_links (linked rows besides itself)."""
     rows = _keyed(docs)
     sketched = arrow(rows, _sketch,
                      "id bigint, k1 bigint, k2 bigint, some boolean, tokens binary")
     texts = cut(sketched.groupBy("k1", "k2").agg(
-        F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"),
-        F.first("some").alias("some"), F.first("tokens").alias("tokens")), "texts")
+        F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"),
+        F.first("some").alias("some"), F.first("tokens").alias("tokens")
+    ).withColumn("node", F.xxhash64("k1", "k2")), "texts")
     groups = candidate_groups(texts.where("some"))
     groups = groups.join(
         groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
-    wanted = texts.where("some").select("k1", "k2", "node", "copies").join(groups, "node")
+    wanted = texts.where("some").select(
+        F.col("first").alias("id"), "k1", "k2", "node", "copies").join(groups, "node")
     members = rows.join(
-        wanted.withColumn("id", F.col("node")), ["id", "k1", "k2"]
+        wanted, ["id", "k1", "k2"]
     ).select("component", "node", "copies", "n", "text")
     spread = in_blocks(members, "component", "n", TEXT_BLOCK)
     found = cut(arrow(
@@ -285,11 +290,15 @@ def classes(docs: DataFrame) -> DataFrame:
         _links, "node bigint, links bigint, root bigint"), "links")
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     total = found.groupBy("node").agg(F.sum("links").alias("links"))
+    named = linked.join(texts.select("node", "first"), "node")
+    named = named.join(named.groupBy("component").agg(
+        F.min(F.struct("first", "node")).alias("lead")), "component").select("node", "lead")
     return (
-        texts.select("k1", "k2", "some", "node", "copies")
-        .join(total, "node", "left").join(linked, "node", "left")
-        .select("k1", "k2", "some", "node",
-                F.coalesce("component", "node").alias("class_id"),
+        texts.select("k1", "k2", "some", "node", "first", "copies")
+        .join(total, "node", "left").join(named, "node", "left")
+        .select("k1", "k2", "some", "first",
+                F.coalesce("lead.first", "first").alias("class_id"),
+                F.coalesce(F.col("lead.node") == F.col("node"), F.lit(True)).alias("leads"),
                 (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
 
@@ -302,7 +311,7 @@ def join(docs: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", own.alias("class_id"),
         F.when(F.col("some"), F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
-        (F.col("id") == own).alias("kept"))
+        (~F.col("some") | (F.col("leads") & (F.col("id") == own))).alias("kept"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -310,8 +319,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     words all stay."""
     rows = _keyed(docs, F.struct(*docs.columns).alias("doc")).withColumn(
         "some", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).drop("text")
-    first = classes(docs).where(F.col("some") & (F.col("node") == F.col("class_id"))).select(
-        F.col("node").alias("id"), "k1", "k2")
+    first = classes(docs).where(F.col("some") & F.col("leads")).select(
+        F.col("first").alias("id"), "k1", "k2")
     # Joined by id and text: the copies of a text spread over all tasks.
     found = rows.where("some").join(first, ["id", "k1", "k2"])
     # Rows that repeat the id and the text.

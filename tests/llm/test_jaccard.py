@@ -124,3 +124,21 @@ def test_overlaps(sets):
 def test_roots():
     got = roots(5, np.array([0, 1]), np.array([1, 3]), np.array([9, 4, 5, 2, 7]))
     assert got.tolist() == [2, 2, 5, 2, 7]
+
+
+def test_one_id_with_two_texts(spark):
+    """Each text has its own links and class, and a clean one is not deleted with the other."""
+    def text(name, changed=0):
+        return " ".join([f"{name}{k}" for k in range(100 - changed)] + ["end"] * changed)
+
+    rows = [(0, text("a")), (3, text("a", 2)), (3, text("b")), (5, text("b", 2)), (6, text("c")),
+            (3, text("d")), (7, text("e")), (7, text("e", 2)), (8, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in jaccard.join(docs).select(
+        "doc_id", "class_id", "n_links").collect())
+    assert got == [(0, 0, 1), (3, 0, 1), (3, 3, 0), (3, 3, 1), (5, 3, 1), (6, 6, 0), (7, 7, 1 + 1),
+                   (7, 7, 2), (8, 7, 2)]
+    kept = sorted((r.doc_id, r.text) for r in jaccard.dedup(docs).collect())
+    assert kept[:-1] == sorted([rows[0], rows[2], rows[4], rows[5]])
+    assert kept[-1] in rows[6:8]
+    assert sum(r.kept for r in jaccard.join(docs).collect()) == len(kept)
