@@ -81,8 +81,9 @@ def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token record of every sequence of every document in its slot of the training order."""
-    return training_order.materialise(table(spark, sf_dir, "documents"))
+    """The token record of every sequence of every document in its slot of the training order, as
+    read from the shards that it writes."""
+    return training_order.shards(table(spark, sf_dir, "documents"))
 
 
 @_query

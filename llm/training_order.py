@@ -1,13 +1,14 @@
 """Training-order materialisation of token ids.
 
 Documents are tokenized and cut into sequences of at most ``STRIDE`` ids. The sequences are
-numbered 0 .. n-1 by their place in the written token table (file, row), a keyed Feistel network
+numbered 0 .. n-1 in an order of the data (hash slice, doc_id, piece, ids), a keyed Feistel network
 permutes the numbers (numbers beyond n walk on along their cycle), and the image is the
 sequence's slot in training order. Shard s holds the slots s * rows .. (s + 1) * rows - 1 as
 records of one width, so a reader finds slot i at a computed byte and can stop and go on anywhere.
 
 Slots are a permutation, so shards are equally large whatever the documents are. Records depend on
-the table and the key only; a task that runs again writes the same bytes.
+the rows and the key only, not on files, splits or cores; a task that runs again writes the same
+bytes. Partitions hold ranges of whole shards, in slot order.
 
 Defined results: a null text is an empty one, and every document closes with the id 0, so it has a
 sequence; equal rows have sequences of their own; an empty table has no sequence. Records are
@@ -21,10 +22,10 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from llm import packing, words
-from llm.shared import arrow, cut, group_bounds, whole_groups
+from llm.shared import arrow, binary, cut, group_bounds, scratch, whole_groups
 
 STRIDE = 512
 # Two bytes hold every id of the tokenizer (49,408).
@@ -32,6 +33,10 @@ TYPE, WIDTH = "<u2", 2
 SHARD_ROWS = 8_192
 KEY = 0x5EED
 ROUNDS = 6
+# Hash slices in which sequences are ranked; their counts come to the driver.
+SLICES = 4_096
+# Tasks that write shards, at most.
+PARTS = 10_000
 _U = np.uint64
 
 
@@ -61,37 +66,52 @@ def materialise(docs: DataFrame, stride: int = STRIDE, shard_rows: int = SHARD_R
     """slot, shard, position (record in the shard), doc_id, piece, length, ids_crc32 (of the
     stored ids) and record (padded ids), each shard whole and sorted within one partition."""
     pieces = packing.pieces(docs, stride, path, with_ids=True, store=TYPE).drop("start")
-    table = cut(pieces, "tokens", codec="zstd")
-    rows = table.select("*", F.col("_metadata.file_name").alias("_file"),
-                        F.col("_metadata.row_index").alias("_row"))
-    # One row per written file.
-    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_at"))
-    n = files.agg(F.sum("_rows")).first()[0] or 0
-    numbered = rows.join(offsets, "_file").select(
-        "doc_id", "piece", "length", "ids_crc32", "ids",
-        (F.col("_at") + F.col("_row")).alias("number"))
+    pieces = pieces.withColumn(
+        "_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(SLICES)).cast("int"))
+    # A slice is one run of rows of one file, whatever the number of files.
+    table = cut(pieces.repartition("_slice").sortWithinPartitions(
+        "_slice", "doc_id", "piece", "ids"), "tokens", codec="zstd")
+    rows = table.select("*", F.col("_metadata.row_index").alias("_row"))
+    counts, first = np.zeros(SLICES, np.int64), np.zeros(SLICES, np.int64)
+    for r in rows.groupBy("_slice").agg(F.count(F.lit(1)), F.min("_row")).collect():
+        counts[r[0]], first[r[0]] = r[1], r[2]
+    n = int(counts.sum())
+    base = np.cumsum(counts) - counts - first
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = permute(batch.column("number").to_numpy(), n, key)
+            number = base[batch.column("_slice").to_numpy()] + batch.column("_row").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot)] + [batch.column(c) for c in names], ["slot", *names])
+                [pa.array(permute(number, n, key))] + [batch.column(c) for c in names],
+                ["slot", *names])
 
     names = ["doc_id", "piece", "length", "ids_crc32", "ids"]
-    slots = arrow(numbered, assign, "slot bigint, doc_id bigint, piece int, length bigint, "
-                                    "ids_crc32 bigint, ids binary")
-    shard = F.floor(F.col("slot") / F.lit(shard_rows))
+    slots = arrow(rows, assign, "slot bigint, doc_id bigint, piece int, length bigint, "
+                                "ids_crc32 bigint, ids binary")
+    shard = F.floor(F.col("slot") / F.lit(shard_rows)).cast("bigint")
+    shards = max(1, -(-n // shard_rows))
+    parts = min(PARTS, shards)
     return (
-        slots.withColumn("shard", shard.cast("bigint"))
-        .repartition("shard").sortWithinPartitions("slot")
+        slots.withColumn("shard", shard)
+        .repartitionById(parts, F.floor(F.col("shard") * parts / F.lit(shards)).cast("int"))
+        .sortWithinPartitions("slot")
         .select("slot", "shard", F.pmod("slot", F.lit(shard_rows)).alias("position"), "doc_id",
                 "piece", "length", "ids_crc32",
                 F.rpad("ids", F.lit(stride * WIDTH), F.lit(b"\0")).alias("record"))
     )
 
 
+def _put(store: fs.FileSystem, base: str, shard: int, records: pa.ChunkedArray) -> str:
+    """Write a shard; it appears under its name when it is complete."""
+    name = f"{base}/shard-{shard:08d}.bin"
+    part = f"{name}.{np.random.SeedSequence().entropy:x}"
+    with store.open_output_stream(part) as f:
+        for record in records:
+            f.write(record.as_py())
+    store.move(part, name)
+    return name
+
+
 def write_shards(records: DataFrame, folder: str) -> DataFrame:
     """Write every shard of :func:`materialise` as one file below ``folder`` (a URI that all
     executors reach) and return shard, path, rows. A shard appears under its name when it is complete."""
@@ -103,12 +123,7 @@ def write_shards(records: DataFrame, folder: str) -> DataFrame:
             out = []
             for a, b in zip(bounds[:-1], bounds[1:]):
                 shard = table.column("shard")[a].as_py()
-                name = f"{base}/shard-{shard:08d}.bin"
-                part = f"{name}.{np.random.SeedSequence().entropy:x}"
-                with store.open_output_stream(part) as f:
-                    for record in table.column("record").slice(a, b - a):
-                        f.write(record.as_py())
-                store.move(part, name)
+                name = _put(store, base, shard, table.column("record").slice(a, b - a))
                 out.append((shard, name, b - a))
             shard, name, rows = zip(*out)
             yield pa.RecordBatch.from_arrays(
@@ -119,6 +134,48 @@ def write_shards(records: DataFrame, folder: str) -> DataFrame:
                  "shard bigint, path string, rows bigint")
 
 
+def shards(docs: DataFrame, stride: int = STRIDE, shard_rows: int = SHARD_ROWS, key: int = KEY,
+           path: str | None = None, folder: str | None = None) -> DataFrame:
+    """Write the shards below ``folder`` (one of the shared folder, if none is given) and return
+    the rows of :func:`materialise` with their records read back from the shard files. The rows
+    without records are kept beside the shards; no record is stored twice."""
+    folder = folder or scratch(docs.sparkSession, "shards")
+    width = stride * WIDTH
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["shard"]):
+            bounds = group_bounds(table, ["shard"])
+            store, base = fs.FileSystem.from_uri(folder)
+            store.create_dir(base)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                _put(store, base, table.column("shard")[a].as_py(),
+                     table.column("record").slice(a, b - a))
+            yield from table.drop_columns(["record"]).to_batches()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            store, base = fs.FileSystem.from_uri(folder)
+            at = batch.column("position").to_numpy()
+            bounds = group_bounds(pa.Table.from_batches([batch]), ["shard"])
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                low, high = int(at[a:b].min()), int(at[a:b].max()) + 1
+                shard = batch.column("shard")[a].as_py()
+                with store.open_input_file(f"{base}/shard-{shard:08d}.bin") as f:
+                    f.seek(low * width)
+                    data = f.read((high - low) * width)
+                records = np.frombuffer(data, np.uint8).reshape(high - low, width)[at[a:b] - low]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    part.columns + [binary(records)], [*part.schema.names, "record"])
+
+    schema = ("slot bigint, shard bigint, position bigint, doc_id bigint, piece int, "
+              "length bigint, ids_crc32 bigint")
+    records = materialise(docs, stride, shard_rows, key, path)
+    return arrow(cut(arrow(records, write, schema), "slots"), read, schema + ", record binary")
+
+
 def read_slots(folder: str, first: int, count: int, stride: int = STRIDE,
                shard_rows: int = SHARD_ROWS) -> Iterator[np.ndarray]:
     """The padded ids of ``count`` slots from ``first`` on: sequential reads from any point."""

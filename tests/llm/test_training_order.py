@@ -92,3 +92,18 @@ def test_query_over_the_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(QUERIES["op3_training_order"](spark, sf).collect(), docs, to.STRIDE, to.SHARD_ROWS)
+
+
+def test_shards_are_written_and_slots_do_not_follow_the_input_splits(spark, tmp_path):
+    docs = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "one"), (3, "one")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    folder = f"file://{tmp_path}/out"
+    rows = to.shards(frame.repartition(5), 16, 64, folder=folder).collect()
+    check(rows, docs, 16, 64)
+    read = list(to.read_slots(folder, 0, len(rows), 16, 64))
+    assert [x.tobytes() for x in read] == [bytes(r.record) for r in sorted(rows)]
+    other = to.shards(frame.coalesce(1), 16, 64).collect()
+    assert sorted(rows) == sorted(other)
+    parts = to.materialise(frame, 16, 64).rdd.mapPartitions(
+        lambda p: [[r.slot for r in p]]).collect()
+    assert sum(parts, []) == list(range(len(rows)))  # slot order over all partitions
