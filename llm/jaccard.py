@@ -10,8 +10,9 @@ similarity is at least 0.8. Equal texts are one node with a number of copies.
    token is sampled next depends on the path so far. Texts on the same path form a bucket. A
    bucket of at most ``LEAF`` texts is a leaf, a larger one is split by the next token. At depth
    ``DEEPEST`` a bucket stays together, however large; it is then compared in blocks.
-   A similar pair shares a path of depth d with probability at least 0.8^d, so the runs reach the
-   target recall at every depth that occurs.
+   A similar pair shares a path of depth d with probability at least 0.8^d. All runs draw from the
+   same tokens, so they are not independent: over the number of equal tokens, Bin(64, 0.8), a pair at
+   0.8 meets with probability 0.998 at depth 4 and 0.992 at depth 5.
 3. Leaves are compared by the tokens' low bytes. Pairs that may be similar become edges (only a
    spanning forest leaves the task), and connected candidates become groups.
 4. In every group all pairs are compared exactly, on the whole shingle sets. Large groups are cut
