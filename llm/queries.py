@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm import (
-    chat, jaccard, lattice, mixing, packing, quality, repeats, search, toxicity, training_order,
+    chat, jaccard, lattice, mixing, packing, periods, quality, repeats, search, toxicity,
+    training_order,
 )
 
 QUERIES = {}
@@ -93,3 +94,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_chat"] = chat.SQL
+
+
+@_query
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of them looped by rule."""
+    docs = table(spark, sf_dir, "documents")
+    made = docs.select("doc_id", periods.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    return periods.digest(periods.detect(made))

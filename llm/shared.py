@@ -11,6 +11,7 @@ from typing import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from hearsay.session import shared_folder
 
@@ -111,7 +112,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype, width: int) -> np.ndarray:
     return np.frombuffer(flat.tobytes(), dtype).reshape(len(column), width)
 
 
-def arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function over record batches.
 
     Whole texts pass through, so batches are made smaller than Spark's default unless the session
