@@ -38,6 +38,7 @@ from pyspark.sql.types import StructType
 
 from llm import words
 from llm.shared import arrow
+from llm.suffixes import doubled
 
 MIN_LENGTH = 6
 MIN_EXPONENT = 4
@@ -60,33 +61,6 @@ def _repeating(h: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return np.unique(doc[at[order[1:][twice]]])
 
 
-def _doubling(ids: np.ndarray, doc: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Ranks by the first 1, 2, 4, ... words of every suffix of its text, until none is equal."""
-    n = len(ids)
-    live = np.arange(n)
-    rank = np.zeros(n, np.int64)
-    key, width, levels = doc * (int(ids.max()) + 1) + ids, 0, []
-    while True:
-        order = np.argsort(key)
-        live, key, old = live[order], key[order], rank[live[order]]
-        new = np.ones(len(live) + 1, bool)
-        new[1:-1] = key[1:] != key[:-1]
-        at = np.arange(len(live))
-        base = np.ones(len(live), bool)
-        base[1:] = old[1:] != old[:-1]
-        group = np.maximum.accumulate(np.where(new[:-1], at, 0))
-        rank[live] = old + group - np.maximum.accumulate(np.where(base, at, 0))
-        levels.append(rank.astype(np.int32))
-        live = live[~(new[:-1] & new[1:])]
-        if not len(live):
-            return levels
-        width = 2 * width or 1
-        ahead = live + width
-        inside = ahead < end[live]
-        ahead[~inside] = 0
-        key = rank[live] * (n + 1) + np.where(inside, rank[ahead] + 1, 0)
-
-
 def _common(levels: list[np.ndarray], i: np.ndarray, j: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Words that the suffixes ``i`` and ``j`` have in common."""
     length = np.zeros(len(i), np.int64)
@@ -148,7 +122,8 @@ def find(h: np.ndarray, first: np.ndarray, min_length: int = MIN_LENGTH,
     end = begin + np.repeat(size, size)
     where = np.arange(len(begin)) - begin + np.repeat(first[docs], size)
     ids = np.unique(h[where], return_inverse=True)[1]
-    levels = _doubling(ids, np.repeat(np.arange(len(docs)), size), end)
+    key = np.repeat(np.arange(len(docs)), size) * len(ids) + ids
+    levels = [rank.astype(np.int32) for _, rank in doubled(key, end, 1)]
     order = np.empty(len(ids), np.int64)
     order[levels[-1]] = np.arange(len(ids))
     slot = np.flatnonzero(levels[0][order[:-1]] == levels[0][order[1:]])

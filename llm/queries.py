@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm import (
-    chat, jaccard, lattice, mixing, packing, periods, quality, repeats, search, toxicity,
+    chat, jaccard, lattice, leaks, mixing, packing, periods, quality, repeats, search, toxicity,
     training_order,
 )
 
@@ -102,3 +102,13 @@ def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     made = docs.select("doc_id", periods.looped(F.col("doc_id"), F.col("text")).alias("text"))
     return periods.digest(periods.detect(made))
+
+
+@_query
+def op12_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that lie in a window of a benchmark item."""
+    return leaks.report(
+        leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+ORACLES["op12_leaks"] = leaks.SQL
