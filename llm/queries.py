@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from llm import (
-    chat, jaccard, lattice, leaks, mixing, packing, periods, quality, repeats, search, toxicity,
-    training_order,
+    alignment, chat, jaccard, lattice, leaks, mixing, packing, periods, quality, repeats,
+    search, toxicity, training_order,
 )
 
 QUERIES = {}
@@ -112,3 +112,10 @@ def op12_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_leaks"] = leaks.SQL
+
+
+@_query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every document."""
+    found = alignment.align(table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", *found.columns[1:])
