@@ -9,6 +9,7 @@ from catalog.registry import query
 from catalog.writes import both
 from hearsay.normalize import bili as B, common as C, responses as P, tieba as TB, weibo as WB
 from hearsay.normalize import zhihu as Z
+from hearsay.operators import chains as K
 
 # ---- video platform ---------------------------------------------------------------------
 
@@ -405,6 +406,85 @@ WHERE last IS NULL OR o_orderkey <= last""")(
     lambda f: C.pages_until_empty(
         f.orders.select("o_custkey", F.col("o_orderkey").alias("page_no"), "o_orderstatus"),
         ["o_custkey"], F.col("o_orderstatus") == "P", F.col("o_orderstatus") == "F"))
+# A user's events are pages, linked by cursors only: some say they are the last, some are empty,
+# and some name a page that never landed.
+CHAIN = """
+SELECT user_id, event_id, CASE WHEN lag(event_id) OVER w IS NULL THEN '' ELSE
+    concat('c', CAST(event_id AS STRING)) END AS cursor,
+  CASE WHEN event_id % 17 = 0 THEN concat('lost', CAST(event_id AS STRING))
+    ELSE concat('c', CAST(lead(event_id) OVER w AS STRING)) END AS next_cursor,
+  event_id % 23 = 0 AS ended, event_id % 19 = 0 AS is_empty
+FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+CHAIN_DUCK = (CHAIN.replace("AS STRING", "AS VARCHAR").replace("{events}", "events")
+              .replace("concat('c', CAST(lead(event_id) OVER w AS VARCHAR))",
+                       "'c' || lead(event_id) OVER w"))
+
+
+@query("pages_by_cursor", f"""
+WITH RECURSIVE linked AS ({CHAIN_DUCK}), walk AS (
+  SELECT user_id, event_id, CASE WHEN NOT ended THEN next_cursor END AS next_cursor,
+    1 AS page_no FROM linked WHERE cursor = '' AND NOT is_empty
+  UNION ALL
+  SELECT l.user_id, l.event_id, CASE WHEN NOT l.ended THEN l.next_cursor END, page_no + 1
+  FROM walk JOIN linked l ON l.user_id = walk.user_id AND l.cursor = walk.next_cursor
+  WHERE NOT l.is_empty)
+SELECT user_id, event_id, page_no FROM walk""")
+def pages_by_cursor(f):
+    pages = f.spark.sql(CHAIN, events=f.events)
+    kept = K.pages_by_cursor(pages, ["user_id"], "cursor", F.col("next_cursor"),
+                             F.col("is_empty"), F.col("ended"))
+    return kept.select("user_id", "event_id", "page_no")
+
+
+# The same rows as feeds and comment pages, with the cursors in their bodies.
+FEED_PAGES = """
+SELECT user_id AS mid, nullif(cursor, '') AS cursor, to_json(named_struct('data', named_struct(
+  'has_more', NOT ended, 'offset', next_cursor, 'items', CASE WHEN is_empty THEN array()
+    ELSE array(named_struct('id_str', CAST(event_id AS STRING))) END))) AS body FROM {chain}"""
+
+
+@query("norm_dynamics_by_cursor", f"""
+WITH RECURSIVE linked AS ({CHAIN_DUCK}), walk AS (
+  SELECT user_id, event_id, CASE WHEN NOT ended THEN next_cursor END AS next_cursor
+  FROM linked WHERE cursor = '' AND NOT is_empty
+  UNION ALL
+  SELECT l.user_id, l.event_id, CASE WHEN NOT l.ended THEN l.next_cursor END
+  FROM walk JOIN linked l ON l.user_id = walk.user_id AND l.cursor = walk.next_cursor
+  WHERE NOT l.is_empty)
+SELECT CAST(event_id AS VARCHAR) AS dynamic_id FROM walk""")
+def norm_dynamics_by_cursor(f):
+    pages = f.spark.sql(FEED_PAGES, chain=f.spark.sql(CHAIN, events=f.events))
+    return B.norm_dynamics(B.feed_pages(pages)).select("dynamic_id")
+
+
+HOTFLOW_CHAIN = """
+SELECT CAST(conv_id AS STRING) AS post_id,
+  CASE WHEN turn > 0 THEN CAST(turn AS STRING) END AS cursor,
+  to_json(named_struct('ok', CASE WHEN conv_id % 7 = 0 AND turn = 3 THEN 0 ELSE 1 END,
+    'data', named_struct('max_id', CASE WHEN role = 'system' THEN 0 ELSE turn + 1 END,
+      'data', array(named_struct('id', conv_id * 100 + turn, 'user', named_struct('id', turn,
+        'screen_name', role), 'text', text, 'created_at', '2024-01-02', 'like_count', turn)))))
+  AS body FROM {conversations}"""
+
+
+@query("norm_hotflow_by_cursor", """
+WITH RECURSIVE pages_ AS (
+  SELECT *, conv_id % 7 = 0 AND turn = 3 AS blocked FROM conversations),
+walk AS (
+  SELECT conv_id, turn, role, text FROM pages_ WHERE turn = 0 AND NOT blocked
+  UNION ALL
+  SELECT p.conv_id, p.turn, p.role, p.text FROM walk JOIN pages_ p
+  ON p.conv_id = walk.conv_id AND p.turn = walk.turn + 1
+  WHERE walk.role <> 'system' AND NOT p.blocked)
+SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS comment_id, CAST(conv_id AS VARCHAR) AS post_id,
+  CASE turn WHEN 0 THEN '0' ELSE CAST(turn AS VARCHAR) END AS user_id, role AS user_name, text,
+  turn AS like_count, '2024-01-02' AS created_at, 1704153600::BIGINT AS created_ts
+FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 4""")
+def norm_hotflow_by_cursor(f):
+    pages = f.spark.sql(HOTFLOW_CHAIN, conversations=f.conversations)
+    return WB.norm_hotflow(WB.hotflow_pages(pages), 1718000000, 4).drop("raw")
+
+
 # Every order is a response; its key chooses platform, endpoint, status and body.
 _CASES = [
     ("bili", "video", 200, '{"code": 0}', "OK"),

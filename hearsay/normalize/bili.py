@@ -6,7 +6,10 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hearsay.normalize.common import PAGE_BLOCK, array_at, each, get, parsed, raw, text
+from hearsay.normalize.common import (
+    PAGE_BLOCK, array_at, each, get, parsed, raw, text, truthy,
+)
+from hearsay.operators.chains import pages_by_cursor
 from hearsay.operators.shared import running_total
 
 STATS = ("view", "like", "coin", "favorite", "reply", "share", "danmaku")
@@ -87,6 +90,17 @@ def norm_dynamics(payloads: DataFrame) -> DataFrame:
     ).where(F.col("dynamic_id") != "")
 
 
+def feed_pages(payloads: DataFrame, keys: Sequence[str] = ("mid",)) -> DataFrame:
+    """Pages (keys, cursor, body) of activity feeds in reading order, with ``page_no``: every page
+    names the next one's offset; reading stops at a page without items or that says it is the
+    last."""
+    pages = parsed(payloads)
+    return pages_by_cursor(
+        pages, keys, "cursor", get("v", "data.offset"),
+        empty=F.size(array_at("v", "data.items")) == 0, ended=~truthy("v", "data.has_more"),
+    ).drop("v")
+
+
 def norm_search(payloads: DataFrame, keys: Sequence[str] = ("keyword",)) -> DataFrame:
     """Search hits with a rank that runs across the pages of a keyword.
 

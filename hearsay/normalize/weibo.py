@@ -10,6 +10,7 @@ from hearsay.functions.scalars import lenient_int_variant
 from hearsay.functions.text import strip_html
 from hearsay.functions.times import parse_post_time
 from hearsay.normalize.common import array_at, each, get, parsed, raw, text, truthy
+from hearsay.operators.chains import pages_by_cursor
 from hearsay.operators.shared import top_k_per_key
 
 
@@ -68,6 +69,17 @@ def long_text_override(posts: DataFrame, extended: DataFrame) -> DataFrame:
     )
 
 
+def hotflow_pages(payloads: DataFrame) -> DataFrame:
+    """Comment pages (post_id, cursor, body) in reading order, with ``page_no``: every page names
+    the ``max_id`` of the next; reading stops at a blocked page or one without comments."""
+    pages = parsed(payloads)
+    blocked = F.coalesce(get("v", "ok", "bigint"), F.lit(1)) == 0
+    return pages_by_cursor(
+        pages, ["post_id"], "cursor", F.nullif(get("v", "data.max_id"), F.lit("0")),
+        empty=blocked | (F.size(array_at("v", "data.data")) == 0), first=("", "0"),
+    ).drop("v")
+
+
 def norm_hotflow(
     payloads: DataFrame, as_of: Column | int, max_count: int | None = None,
     utc_offset_seconds: int = 0,
