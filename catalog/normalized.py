@@ -396,6 +396,26 @@ SELECT CAST(floor(c_custkey / 10) AS BIGINT) AS page_id, CAST(c_custkey AS VARCH
   'n' || c_nationkey AS author_name, '2024-01-01' AS created_at FROM customer""")(
     lambda f: TB.parse_search_html(f.spark.sql(RESULT_PAGE, customer=f.customer)).drop("pos"))
 
+# The same hits with nested markup, image links, open tags, comments and quoted brackets.
+NESTED_PAGE = """
+SELECT CAST(floor(c_custkey / 10) AS BIGINT) AS page_id, concat('<html><body><ul>', concat_ws('',
+  transform(array_sort(collect_list(struct(c_custkey, c_name, c_mktsegment, c_nationkey))), x ->
+    concat('<li><!-- <a href="/p/0">no</a> --><div title="a > b" class="s_post"><a href="/p/',
+      CAST(x.c_custkey AS STRING), '"><img src="i.png"></a><h3 class="p_title"><b><A HREF="/p/',
+      CAST(x.c_custkey AS STRING), '?pid=1"><img alt="x"/><span>', x.c_name,
+      '</span><i> <b>&lt;co&gt;</b></i></A></b></h3>',
+      '<div class="x p_content"><div><div>', x.c_mktsegment, '</div></div><script>"</div>"',
+      '</script> <p>in <b>bold</b></div><p class="p_date">2024-01-', CAST(1 + x.c_nationkey AS
+      STRING), '<a class="p_author" href="u"><span>n', CAST(x.c_nationkey AS STRING),
+      '</span></a></p></div>'))), '</ul></body></html>') AS html
+FROM {customer} GROUP BY 1"""
+query("parse_search_html_nested", """
+SELECT CAST(floor(c_custkey / 10) AS BIGINT) AS page_id, CAST(c_custkey AS VARCHAR) AS tid,
+  c_name || '<co>' AS title, c_mktsegment || ' in bold' AS excerpt, '' AS forum_name,
+  'n' || c_nationkey AS author_name, '2024-01-' || (1 + c_nationkey) || 'n' || c_nationkey
+    AS created_at FROM customer""")(
+    lambda f: TB.parse_search_html(f.spark.sql(NESTED_PAGE, customer=f.customer)).drop("pos"))
+
 # ---- pages and responses ----------------------------------------------------------------
 
 query("pages_until_empty", """

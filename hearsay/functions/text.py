@@ -27,6 +27,7 @@ _HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
 _TAG = r"<[a-zA-Z/!?][^>]*+>"
 _SPACES = r"\s\x{0085}\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}"
 _NODE = "\u0001"  # stands for one or more tags between two text nodes
+_OPEN = "\u0003"  # stands for "<" where no tag or comment can end any more
 _BOUNDARY = "\u0002"  # token that stands for a clause boundary
 # Every character that is blank in Unicode.
 _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -75,13 +76,33 @@ def _decoded(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "&"), decode), "")
 
 
+def _last(text: Column, mark: str) -> Column:
+    """The text up to its last ``mark``, included."""
+    rest = F.substring_index(text, mark, -1)
+    return F.left(text, F.char_length(text) - F.char_length(rest))
+
+
+def _closed(text: Column, mark: str, opening: str) -> Column:
+    """``opening`` made inert behind the last ``mark`` that could close it. A pattern that looks
+    for the mark then always finds it, so its scans do not add up to the square of the text."""
+    rest = F.substring_index(text, mark, -1)
+    return F.concat(_last(text, mark), F.replace(
+        rest, F.lit(opening), F.lit(opening.replace("<", _OPEN))))
+
+
+def _reopened(text: Column) -> Column:
+    return F.replace(text, F.lit(_OPEN), F.lit("<"))
+
+
 def strip_html(text: Column, sep: str = " ", strip: bool = False) -> Column:
     """Text nodes joined by ``sep``; with ``strip`` they are trimmed and blank ones dropped.
 
     Text without '<' is returned as it is, NULL as ''.
     """
-    visible = F.regexp_replace(text, _HIDDEN, _NODE)
-    nodes = F.regexp_replace(F.regexp_replace(visible, _TAG, _NODE), f"{_NODE}++", _NODE)
+    # An unclosed comment is a tag up to the next ">"; behind the last ">" nothing is.
+    shut = F.regexp_replace(_closed(_closed(text, ">", "<"), "-->", "<!--"), _HIDDEN, _NODE)
+    tags = F.regexp_replace(_closed(_reopened(shut), ">", "<"), _TAG, _NODE)
+    nodes = _reopened(F.regexp_replace(tags, f"{_NODE}++", _NODE))
     if strip:
         nodes = F.regexp_replace(nodes, f"{_NODE}[{_SPACES}{_NODE}]*+", _NODE)
         nodes = F.array_join(F.filter(F.transform(
@@ -97,7 +118,8 @@ def strip_html(text: Column, sep: str = " ", strip: bool = False) -> Column:
 
 def drop_tags(text: Column) -> Column:
     """Remove tags without putting anything in their place."""
-    return F.regexp_replace(text, "<[^>]+>", "")
+    head = _last(text, ">")
+    return F.concat(F.regexp_replace(head, "<[^>]+>", ""), F.substring_index(text, ">", -1))
 
 
 def clean_text(text: Column) -> Column:

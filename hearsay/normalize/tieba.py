@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions.scalars import URL_PREFIX, first_non_empty, lenient_int_variant
+from hearsay.functions.markup import search_hits_of
 from hearsay.functions.text import drop_tags, strip_html
 from hearsay.normalize.common import (
     array_at, each, epoch_or_null, first_of, get, pages_until_empty, parsed, raw, text, truthy,
@@ -145,19 +146,10 @@ def norm_thread(
     )
 
 
-# Markup of the search result page.
-_BLOCK = r"""<[a-z]+\b(?=[^>]*\bclass=["'][^"']*\bs_post\b)[^>]*>"""
+# Fixed value: the address of a thread.
 _THREAD_HREF = r"""/p/(\d+)"""
 
 
-def _anchor(condition: str) -> str:
-    return rf"""(?s)<a\b(?=[^>]*{condition})[^>]*>(.*?)</a>"""
-
-
-def _classed(name: str) -> str:
-    return (rf"""(?s)<([a-z]+)\b(?=[^>]*\bclass=["'][^"']*\b{name}\b)[^>]*>(.*?)</\1>""")
-
-
 def _inner(html: Column, sep: str = "") -> Column:
     """Text of inner HTML; the added tag makes entities count as markup."""
     return strip_html(F.concat(F.lit("<i>"), html), sep, strip=True)
@@ -167,7 +159,8 @@ def html_extract_links(
     pages: DataFrame, key: str, html: str, href: str = _THREAD_HREF
 ) -> DataFrame:
     """Links of a page whose address starts with ``href`` (its group is the id): (key, pos,
-    tid, title), titled ones only, the first per id."""
+    tid, title), titled ones only, the first per id. Patterns alone, so it stays in the JVM; where
+    links nest or hold images, :func:`hearsay.functions.markup.anchors_of` reads them all."""
     link = rf"""(?s)<a\b[^>]*\bhref=["']({href}[^"']*)["'][^>]*>.*?</a>"""
     found = pages.select(
         key, F.posexplode(F.regexp_extract_all(html, F.lit(link), 0)).alias("pos", "a")
@@ -181,35 +174,8 @@ def html_extract_links(
 def parse_search_html(pages: DataFrame) -> DataFrame:
     """Thread hits of result pages (page_id, html): from result blocks, or from all thread
     links of a page that has none."""
-    pieces = F.split(F.col("html"), _BLOCK)
-    blocks = pages.select("page_id", F.posexplode(pieces).alias("pos", "b")).where(
-        F.col("pos") > 0
-    )
-
-    def first(*patterns: tuple[str, int], sep: str = "") -> Column:
-        found = first_non_empty(*[F.regexp_extract("b", p, g) for p, g in patterns])
-        return F.when(found != "", _inner(found, sep)).otherwise("")
-
-    thread = _anchor(r"""\bhref=["'][^"']*/p/\d+""")
-    hits = blocks.select(
-        "page_id", "pos",
-        F.regexp_extract("b", r"""(?s)<a\b[^>]*\bhref=["'][^"']*/p/(\d+)""", 1).alias("tid"),
-        first((thread, 1)).alias("title"),
-        first((_classed("p_content"), 2), sep=" ").alias("excerpt"),
-        first((_anchor(r"""\bclass=["'][^"']*\bp_forum\b"""), 1),
-              (_anchor(r"""\bhref=["'][^"']*/f\?kw="""), 1)).alias("forum_name"),
-        first((_anchor(r"""\bclass=["'][^"']*\bp_author\b"""), 1),
-              (_anchor(r"""\bhref=["'][^"']*/home/main"""), 1)).alias("author_name"),
-        first((_classed("p_date"), 2)).alias("created_at"),
-    ).where(F.col("tid") != "")
-    in_blocks = first_wins(hits, ["page_id", "tid"], ["pos"])
-    with_hits = in_blocks.select("page_id").distinct()
-    plain = html_extract_links(
-        pages.join(with_hits, "page_id", "left_anti"), "page_id", "html"
-    )
-    return in_blocks.unionByName(plain, allowMissingColumns=True).fillna(
-        "", subset=["excerpt", "forum_name", "author_name", "created_at"]
-    )
+    hits = pages.select("page_id", F.posexplode(search_hits_of(F.col("html"))).alias("pos", "h"))
+    return first_wins(hits.select("page_id", "pos", "h.*"), ["page_id", "tid"], ["pos"])
 
 
 def snapshots(threads: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:

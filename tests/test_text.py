@@ -110,3 +110,24 @@ def test_adjacent_tags_comments_and_references(spark):
     tight = column(spark, texts, lambda c: X.strip_html(c, "", strip=True))
     assert tight[0] == "az" and tight[4] == "leadmid"
     assert column(spark, texts[:1], X.clean_text) == ["a z"]
+
+
+def test_markup_that_never_closes_is_linear(spark):
+    import re
+    import time
+
+    n = 100_000
+    texts = ["x<!--" * n, "<a" * n, "<script" * n, "<b" * n + "<!-- > -->", "<!-- > " * n,
+             "<!-->" * n, "</script  " * n, "<script>" * n + "</script " * n, "-->" * n + "<!--" * n,
+             "<" * n, "a<b>-->c<!-- d <i>e", "<!-- a --><script>b --> c", "p<!-- q -> r <b>s"]
+    start = time.time()
+    plain = column(spark, texts, X.strip_html)
+    column(spark, texts, X.clean_text)
+    dropped = column(spark, texts, X.drop_tags)
+    assert time.time() - start < 5 * 3
+    # Without a closing mark nothing changes; the short ones equal the plain patterns.
+    assert plain[0] == texts[0] and plain[1] == texts[1] and plain[2] == texts[2]
+    assert plain[3] == "<b" * n and plain[9] == texts[9]
+    assert plain[10:] == ["a -->c e", "", "p  r  s"]
+    assert dropped[:3] == texts[:3] and dropped[9] == texts[9]
+    assert dropped[10:] == [re.sub("<[^>]+>", "", t) for t in texts[10:]]
