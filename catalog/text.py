@@ -163,6 +163,67 @@ SELECT word, count(*) AS n FROM (
 WHERE length(word) >= 2 AND word NOT IN ({', '.join(repr(w) for w in STOPWORDS)})
 GROUP BY 1""")(
     lambda f: H.token_counts(f.documents, "text", TOKENS, f.words(STOPWORDS), LETTER))
+# The dictionary: the short words of the documents themselves, with their frequencies. Texts are cut
+# into them as if they had no spaces; no dictionary word holds one.
+LONGEST = 4
+SEGMENTED = rf"""
+WITH RECURSIVE met AS (
+  SELECT w, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM documents) GROUP BY 1),
+short AS (SELECT w, n FROM met WHERE length(w) <= {LONGEST}),
+dict AS (SELECT w, CAST(round(ln((SELECT sum(n) FROM short) / n) * 1000000) AS BIGINT) AS cost
+  FROM short),
+places AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM met),
+edges AS (
+  SELECT p.w, i, len, COALESCE(cost, CASE len WHEN 1 THEN CAST(round(ln((SELECT sum(n) FROM short))
+    * 1000000) AS BIGINT) END) AS cost, cost IS NOT NULL AS known
+  FROM places p, (SELECT unnest(range(1, {LONGEST + 1})) AS len) l
+  LEFT JOIN dict d ON d.w = substring(p.w, i, len)
+  WHERE i + len <= length(p.w) + 1 AND (cost IS NOT NULL OR len = 1)),
+options AS (SELECT w, i, list([cost, len]) AS o, max(len) FILTER (known OR len = 1) AS most
+  FROM edges GROUP BY w, i),
+"""
+BEST_PATH = SEGMENTED + """
+dp AS (
+  SELECT w, length(w) + 1 AS i, [0::BIGINT] AS best, []::BIGINT[] AS lens FROM met
+  UNION ALL
+  SELECT w, i, list_prepend(pick[1], best), list_prepend(-pick[2], lens) FROM (
+    SELECT dp.w, e.i, best, lens,
+      list_sort(list_transform(o, lambda x: [x[1] + best[x[2]], -x[2]]))[1] AS pick
+    FROM dp JOIN options e ON e.w = dp.w AND e.i = dp.i - 1)),
+walk AS (
+  SELECT w, lens, 1::BIGINT AS p FROM dp WHERE i = 1
+  UNION ALL
+  SELECT w, lens, p + lens[p] FROM walk WHERE p + lens[p] <= length(w))
+SELECT substring(w, p, lens[p]) AS word, CAST(sum(n) AS BIGINT) AS n FROM walk JOIN met USING (w)
+WHERE lens[p] >= 2 GROUP BY 1"""
+MAX_MATCH = SEGMENTED + """
+walk AS (
+  SELECT w, 1::BIGINT AS p FROM met
+  UNION ALL
+  SELECT walk.w, p + most FROM walk JOIN options o ON o.w = walk.w AND o.i = p
+  WHERE p + most <= length(walk.w))
+SELECT substring(w, p, most) AS word, CAST(sum(n) AS BIGINT) AS n
+FROM walk JOIN options o USING (w) JOIN met USING (w) WHERE o.i = p AND most >= 2 GROUP BY 1"""
+
+
+def _short_words(f: Fixtures):
+    words = X.regex_tokenizer(LETTER + "+")(F.col("text"))
+    return f.documents.select(F.explode(words).alias("word")).where(
+        F.char_length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _segmented(f: Fixtures, tokenizer: X.Tokenizer):
+    tokens = f.documents.select(F.explode(tokenizer(F.lower("text"))).alias("word"))
+    return tokens.where(X.is_word(F.col("word"), LETTER)).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+query("tokenize_best_path", BEST_PATH)(lambda f: _segmented(
+    f, X.best_path_tokenizer(f.spark, _short_words(f), whole_runs=False)))
+query("tokenize_max_match", MAX_MATCH)(lambda f: _segmented(
+    f, X.max_match_tokenizer(f.spark, [r.word for r in _short_words(f).collect()],
+                             whole_runs=False)))
 query("row_text_concat", f"""
 SELECT doc_id, {row_text_sql('source', 'text', 'lang', 'nullif(source, lang)')} AS text
 FROM documents""")(

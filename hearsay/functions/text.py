@@ -7,7 +7,7 @@ import json
 from typing import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 # Clause boundaries, and the characters a hot word must contain.
@@ -145,12 +145,14 @@ def regex_tokenizer(token_regex: str = r"\p{L}+", lower: bool = True) -> Tokeniz
 
 
 def max_match_tokenizer(
-    spark: SparkSession, words: Iterable[str], max_words: int = 1_000_000
+    spark: SparkSession, words: Iterable[str], max_words: int = 1_000_000,
+    whole_runs: bool = True,
 ) -> Tokenizer:
     """Longest dictionary word first, for text without spaces.
 
-    Runs of ASCII letters or digits stay together, other characters stand alone. The word
-    list is broadcast, so its length is checked; a larger dictionary is refused.
+    Runs of ASCII letters or digits stay together unless ``whole_runs`` is False, other characters
+    stand alone. The word list is broadcast, so its length is checked; a larger dictionary is
+    refused.
     """
     vocabulary = frozenset(words)
     if len(vocabulary) > max_words:
@@ -169,7 +171,7 @@ def max_match_tokenizer(
             out, i, n = [], 0, len(text)
             while i < n:
                 end = i + 1
-                if text[i].isascii() and text[i].isalnum():
+                if whole_runs and text[i].isascii() and text[i].isalnum():
                     while end < n and text[end].isascii() and text[end].isalnum():
                         end += 1
                 for j in range(min(n, i + longest), end, -1):
@@ -185,6 +187,81 @@ def max_match_tokenizer(
     return match
 
 
+# A word's cost is its negative log-likelihood in millionths, a whole number, so that equal paths
+# are equal on every machine.
+COST_UNIT = 1_000_000
+
+
+def word_costs(frequencies: DataFrame) -> DataFrame:
+    """Costs (word, cost) of a frequency table (word, n): the rarer, the dearer. Words met again
+    are summed; words without characters, and counts below one, are left out."""
+    n = frequencies.where((F.col("word") != "") & (F.col("n") > 0)).groupBy("word").agg(
+        F.sum("n").alias("n"))
+    total = F.lit(n.agg(F.sum("n")).first()[0] or 1)
+
+    def cost(count: Column) -> Column:
+        return F.round(F.ln(total / count) * COST_UNIT).cast("bigint")
+
+    return n.select("word", cost(F.col("n")).alias("cost"), cost(F.lit(1)).alias("unknown"))
+
+
+def best_path_tokenizer(
+    spark: SparkSession, frequencies: DataFrame, max_words: int = 1_000_000,
+    whole_runs: bool = True,
+) -> Tokenizer:
+    """The most likely words of a text without spaces, given a frequency table (word, n).
+
+    All dictionary words at all places make a word graph; the path with the least total cost wins,
+    of equal ones that with the longer first word. A character that is no word costs as much as a
+    word met once. Runs of ASCII letters or digits stay together unless ``whole_runs`` is False.
+    The table is broadcast, so its length is checked; a larger one is refused. Time grows with the
+    text times the longest word.
+    """
+    rows = word_costs(frequencies).limit(max_words + 1).collect()  # bounded
+    if len(rows) > max_words:
+        raise ValueError(f"the dictionary exceeds the broadcast bound of {max_words} words")
+    costs = {r.word: r.cost for r in rows}
+    begins = {w[:k] for w in costs for k in range(1, len(w))}
+    shared = spark.sparkContext.broadcast((costs, begins, rows[0].unknown if rows else 0))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def segment(texts: pd.Series) -> pd.Series:
+        costs, begins, unknown = shared.value
+
+        def cut(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            n = len(text)
+            best, size = [0] * (n + 1), [1] * n
+            run = n  # end of the run of ASCII letters or digits that holds the place
+            for i in range(n - 1, -1, -1):
+                if whole_runs and text[i].isascii() and text[i].isalnum():
+                    if i + 1 == n or not (text[i + 1].isascii() and text[i + 1].isalnum()):
+                        run = i + 1
+                    # A run is a word of its own; the path goes on behind it.
+                    best[i], size[i] = best[run], run - i
+                    continue
+                least, j = None, i + 1
+                while j <= n:
+                    word = text[i:j]
+                    cost = costs.get(word, unknown if j == i + 1 else None)
+                    if cost is not None and (least is None or cost + best[j] <= least):
+                        least, size[i] = cost + best[j], j - i
+                    if word not in begins:
+                        break
+                    j += 1
+                best[i] = least
+            out, i = [], 0
+            while i < n:
+                out.append(text[i : i + size[i]])
+                i += size[i]
+            return out
+
+        return texts.map(cut)
+
+    return segment
+
+
 def tokens_with_boundaries(
     text: Column, tokenizer: Tokenizer, clause_regex: str, gap: int
 ) -> Column:

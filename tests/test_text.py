@@ -131,3 +131,42 @@ def test_markup_that_never_closes_is_linear(spark):
     assert plain[10:] == ["a -->c e", "", "p  r  s"]
     assert dropped[:3] == texts[:3] and dropped[9] == texts[9]
     assert dropped[10:] == [re.sub("<[^>]+>", "", t) for t in texts[10:]]
+
+
+def paths(text, costs, unknown):
+    """All ways to cut a text, as (total cost, sizes negated, words)."""
+    if not text:
+        return [(0, (), ())]
+    out = []
+    for n in range(1, len(text) + 1):
+        cost = costs.get(text[:n], unknown if n == 1 else None)
+        if cost is not None:
+            out += [(cost + c, (-n, *s), (text[:n], *w)) for c, s, w in
+                    paths(text[n:], costs, unknown)]
+    return out
+
+
+def test_best_path_equals_all_paths(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [("研究", 50), ("研究生", 20), ("生命", 60), ("命", 9), ("起源", 30), ("的", 500),
+             ("生", 9), ("ab", 7), ("b1", 7), ("", 5), ("无", 0), ("命", 1)]
+    table = spark.createDataFrame(words, "word string, n bigint")
+    rows = X.word_costs(table).collect()
+    costs, unknown = {r.word: r.cost for r in rows}, rows[0].unknown
+    assert set(costs) == {w for w, _ in words} - {"", "无"}
+    texts = ["".join(rng.choice("研究生命起源的ab1") for _ in range(rng.randrange(12)))
+             for _ in range(60)]
+    cut = X.best_path_tokenizer(spark, table, whole_runs=False)
+    got = column(spark, texts, cut)
+    assert got == [list(min(paths(t, costs, unknown))[2]) for t in texts]
+    kept = column(spark, ["研究生命的起源", "研究ab12生命 c", None, "", "ab"],
+                  X.best_path_tokenizer(spark, table))
+    assert kept == [["研究", "生命", "的", "起源"], ["研究", "ab12", "生命", " ", "c"], None, [], ["ab"]]
+    try:
+        X.best_path_tokenizer(spark, table, max_words=3)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("an oversized dictionary must be refused")
