@@ -9,7 +9,7 @@ from catalog.registry import query
 from hearsay.operators import merge as G, worklist as W
 from hearsay.schema import SCHEMAS
 from hearsay.session import scratch_path
-from hearsay.sources import sinks, tables as T
+from hearsay.sources import buckets as BK, sinks, tables as T
 
 DAY_START = "EPOCH({0}) - EPOCH({0}) % 86400"
 
@@ -64,6 +64,21 @@ query("upsert_merge", merged_sql("CASE WHEN l.id IS NULL THEN b.content ELSE l.c
 query("upsert_merge_keep_nulls", merged_sql("COALESCE(s.content, b.content)"))(
     lambda f: G.upsert(both(f, BASE, customer=f.customer), both(f, UPDATES, orders=f.orders),
                        ["id"], "seq", null_overwrites=False))
+
+
+@query("upsert_touched_buckets", merged_sql(
+    "CASE WHEN l.id IS NULL THEN b.content ELSE l.content END"))
+def upsert_touched_buckets(f):
+    # The table is written in buckets; the older half of the updates is merged, then the newer.
+    root = scratch_path(f.spark, "buckets")
+    BK.create(both(f, BASE, customer=f.customer), root, ["id"], 16)
+    updates = both(f, UPDATES, orders=f.orders)
+    half = updates.agg(F.expr("max(seq) div 2")).first()[0]
+    BK.merge(f.spark, root, updates.where(F.col("seq") <= half), "seq")
+    BK.merge(f.spark, root, updates.where(F.col("seq") > half), "seq")
+    return BK.read(f.spark, root)
+
+
 query("upsert_latest_wins", duck(
     "SELECT id, content, likes, fetched_at, seq FROM last", **MERGED))(
     lambda f: G.latest_wins(both(f, UPDATES, orders=f.orders), ["id"], "seq"))

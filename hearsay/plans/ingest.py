@@ -7,14 +7,20 @@ or thread id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearsay.normalize import bili, tieba, weibo, zhihu
 from hearsay.normalize.common import get, parsed
 from hearsay.normalize.responses import classify
-from hearsay.operators.merge import append_snapshots, evolve, latest_wins, lists_to_json, upsert
+from hearsay.operators.merge import evolve, insert_ignore, latest_wins, lists_to_json, upsert
 from hearsay.operators.views import Tables
 from hearsay.schema import SCHEMAS, TABLE_KEYS
+from hearsay.sources import buckets as store
+
+# Tables whose first row of a key stays, with what orders the rows of a batch.
+FIRST_WINS = {
+    "engagement_snapshots": ["view_count", "like_count", "comment_count"],
+}
 
 
 def normalize_batch(
@@ -104,10 +110,9 @@ def apply_batch(
     """
     out = dict(base)
     for table, rows in batch.items():
-        if table == "engagement_snapshots":
-            out[table] = append_snapshots(
-                base[table], rows, ["view_count", "like_count", "comment_count"]
-            )
+        if table in FIRST_WINS:
+            out[table] = insert_ignore(
+                base[table], rows, TABLE_KEYS[table], FIRST_WINS[table])
         else:
             updates = rows.withColumn("_at", F.lit(as_of).cast("bigint"))
             out[table] = upsert(base[table], updates, TABLE_KEYS[table], "_at", null_overwrites)
@@ -120,3 +125,24 @@ def save_tables(tables: Tables, root: str, version: str) -> str:
     for table, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{table}")
     return out
+
+
+def merge_batch(
+    spark: SparkSession, root: str, batch: Tables, as_of: int, null_overwrites: bool = True,
+    buckets: int = 256,
+) -> dict[str, int]:
+    """Merge a batch into the bucketed tables below ``root``, making those that are missing; the
+    version of each afterwards. Only buckets with a row of the batch are rewritten. A table is
+    switched on its own; running a batch again after a failure completes it."""
+    out = {}
+    for table, rows in batch.items():
+        path = f"{root.rstrip('/')}/{table}"
+        if not store.versions(spark, path):
+            store.create(spark.createDataFrame([], SCHEMAS[table]), path, TABLE_KEYS[table], buckets)
+        if table in FIRST_WINS:
+            done = store.append_new(spark, path, rows, FIRST_WINS[table])
+        else:
+            updates = rows.withColumn("_at", F.lit(as_of).cast("bigint"))
+            done = store.merge(spark, path, updates, "_at", null_overwrites)
+        out[table] = done.number
+    return out
