@@ -84,6 +84,17 @@ def stream_growth_stateful(f):
     return f.spark.read.parquet(S.run_available(S.growth_stateful(stream), path))
 
 
+def stream_growth_timed(f):
+    # Newest first in four batches, and every snapshot lands twice.
+    twice = f.fx_snapshots.unionByName(f.fx_snapshots)
+    path = scratch_path(f.spark, "growth-timed")
+    twice.repartitionByRange(4, F.desc("fetched_at")).write.parquet(f"{path}/in")
+    stream = f.spark.readStream.schema(twice.schema).option(
+        "maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return S.growth_timed_result(f.spark.read.parquet(
+        S.run_available(S.growth_timed(stream), path)))
+
+
 GROWTH = duck(f"""
 SELECT platform, post_id, fetched_at, fetched_at - lag(fetched_at) OVER w AS seconds,
   {', '.join(f'{c} - lag({c}) OVER w AS {c}_delta' for c in M.COUNTERS)}
@@ -91,3 +102,4 @@ FROM fx_snapshots WINDOW w AS (PARTITION BY platform, post_id ORDER BY fetched_a
 query("stream_growth", GROWTH)(stream_growth)
 query("stream_growth_late", GROWTH)(stream_growth_late)
 query("stream_growth_stateful", GROWTH)(stream_growth_stateful)
+query("stream_growth_timed", GROWTH)(stream_growth_timed)

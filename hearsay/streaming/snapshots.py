@@ -5,8 +5,8 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from hearsay.functions.scalars import utc_day
 from hearsay.operators.merge import first_wins, latest_wins, upsert
@@ -210,3 +210,111 @@ def growth_stateful(stream: DataFrame) -> DataFrame:
     return stream.groupBy("platform", "post_id").applyInPandasWithState(
         update, output, state_type, "append", "NoTimeout"
     )
+
+
+# ---- growth in timed state ----------------------------------------------------------------
+
+DAY_SECONDS = 86400
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def growth_timed(stream: DataFrame, keep: str | None = None) -> DataFrame:
+    """Change of every counter since the post's previous snapshot, from keyed state.
+
+    The state of a (platform, post, day) maps its seconds to their counters. New snapshots are
+    emitted with their difference, and so is, again, a stored one that a late snapshot now
+    precedes; repeated ones change nothing. The first snapshot of a day is marked: its difference
+    reaches back to another key, and :func:`growth_timed_result` takes it from what that day
+    emitted last. So a busy post is as many keys as it has days, and no key has more than 86,400
+    entries.
+
+    With ``keep`` (such as "30 days") the state of a day is dropped by a timer when the event-time
+    watermark, that far behind the newest snapshot, passes the day's end; snapshots that come
+    later than that are dropped. Without it every snapshot is remembered. The state needs the
+    RocksDB store, which the session is told to use.
+    """
+    stream.sparkSession.conf.set(_STORE, _ROCKSDB)
+    timed = stream.select(
+        *SNAPSHOT_KEY, *COUNTERS, F.floor(F.col("fetched_at") / DAY_SECONDS).alias("day"),
+        *([F.timestamp_seconds("fetched_at").alias("event_time")] if keep else []))
+    if keep:
+        timed = timed.withWatermark("event_time", keep)
+    output = ", ".join([
+        "platform string", "post_id string", "fetched_at bigint", "day bigint", "opens boolean",
+        "seconds bigint", *(f"{c} bigint" for c in COUNTERS),
+        *(f"{c}_delta bigint" for c in COUNTERS), "version bigint"])
+    return timed.groupBy("platform", "post_id", "day").transformWithStateInPandas(
+        statefulProcessor=DayOfSnapshots(bool(keep)), outputStructType=output,
+        outputMode="Append", timeMode="EventTime" if keep else "None")
+
+
+class DayOfSnapshots(StatefulProcessor):
+    """State and differences of one post on one day."""
+
+    def __init__(self, expires: bool):
+        self.expires = expires
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        counters = ", ".join(f"{c} bigint" for c in COUNTERS)
+        self.seen = handle.getMapState("seen", "fetched_at bigint", counters)
+        self.version = handle.getValueState("version", "version bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        known = {k[0]: v for k, v in self.seen.iterator()} if self.seen.exists() else {}
+        found = pd.concat(list(rows)).drop_duplicates("fetched_at")
+        fresh = {}
+        for at, *values in found[["fetched_at", *COUNTERS]].astype(object).itertuples(index=False):
+            if int(at) not in known:
+                fresh[int(at)] = tuple(None if pd.isna(v) else int(v) for v in values)
+        if not fresh:
+            return
+        for at, values in fresh.items():
+            self.seen.updateValue((at,), values)
+        version = self.version.get()[0] + 1 if self.version.exists() else 1
+        self.version.update((version,))
+        if self.expires:
+            self.handle.registerTimer((key[2] + 1) * DAY_SECONDS * 1000)
+        known |= fresh
+        order = sorted(known)
+        out = []
+        for before, at in zip([None, *order], order):
+            if at not in fresh and before not in fresh:
+                continue
+            now, old = known[at], known.get(before, (None,) * len(COUNTERS))
+            delta = [None if a is None or b is None else a - b for a, b in zip(now, old)]
+            out.append((key[0], key[1], at, key[2], before is None,
+                        None if before is None else at - before, *now, *delta, version))
+        names = [*SNAPSHOT_KEY, "day", "opens", "seconds", *COUNTERS,
+                 *(f"{c}_delta" for c in COUNTERS), "version"]
+        frame = pd.DataFrame(out, columns=names)
+        numbers = [n for n in names if n not in ("platform", "post_id", "opens")]
+        yield frame.astype({n: "Int64" for n in numbers})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.seen.clear()
+        self.version.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def growth_timed_result(emitted: DataFrame) -> DataFrame:
+    """The last difference that :func:`growth_timed` gave for every snapshot, with those of the
+    first of each day taken from the last of the day before it that has any."""
+    last = latest_wins(emitted, list(SNAPSHOT_KEY), "version")
+    key = ["platform", "post_id"]
+    ends = last.groupBy(*key, "day").agg(
+        F.max_by(F.struct("fetched_at", *COUNTERS), "fetched_at").alias("end"))
+    before = ends.select(*key, "day", F.lag("end").over(
+        Window.partitionBy(*key).orderBy("day")).alias("prev"), F.lit(True).alias("opens"))
+    return last.join(before, [*key, "day", "opens"], "left").select(
+        *SNAPSHOT_KEY,
+        F.when(F.col("opens"), F.col("fetched_at") - F.col("prev.fetched_at"))
+        .otherwise(F.col("seconds")).alias("seconds"),
+        *[F.when(F.col("opens"), F.col(c) - F.col(f"prev.{c}")).otherwise(F.col(f"{c}_delta"))
+          .alias(f"{c}_delta") for c in COUNTERS])

@@ -112,3 +112,34 @@ def test_daily_volume_stream_equals_batch(spark, tmp_path, rows):
                           str(tmp_path), "complete")
     batch = M._volume(posts, [], F.lit(1).cast("bigint"))
     assert rows(spark.read.parquet(out)) == rows(batch.select(spark.read.parquet(out).columns))
+
+
+DAY = 86400
+
+
+def timed(spark, folder, keep=None):
+    return S.growth_timed_result(spark.read.parquet(
+        S.run_available(S.growth_timed(stream(spark, folder), keep), str(folder))))
+
+
+def test_timed_growth_of_late_and_repeated_snapshots(spark, tmp_path, rows):
+    files = [[snap("a", 10, 1, 1), snap("a", 30, 4, None)], [snap("a", 20, 3, 2)],
+             [snap("a", DAY + 5, 9, 5), snap("b", 7, 1, 1)], [snap("a", 3 * DAY, 20, 9)],
+             [snap("a", 10, 1, 1), snap("a", 5, 0, 0), snap("a", DAY + 1, 8, 5)],
+             [snap("a", 2 * DAY + 9, 12, 6)]]
+    columns = ["post_id", "fetched_at", "seconds", *[f"{c}_delta" for c in M.COUNTERS]]
+    for i, data in enumerate(files):
+        land(spark, tmp_path, str(i), data)
+        got = timed(spark, tmp_path)
+        whole = spark.createDataFrame(sum(files[: i + 1], []), SNAP).distinct()
+        assert rows(got, *columns) == rows(M.engagement_growth(whole), *columns)
+
+
+def test_timed_state_expires(spark, tmp_path, rows):
+    days = [0, 1, 40, 41, 0, 41]
+    for i, day in enumerate(days):
+        land(spark, tmp_path, str(i), [snap("a", day * DAY + 10 + i, i)])
+        got = rows(timed(spark, tmp_path, "10 days"), "fetched_at", "seconds")
+    # The state of the first days went with its timer; the late one is dropped.
+    assert sorted(got) == [(10, None), (DAY + 11, DAY + 1), (40 * DAY + 12, 39 * DAY + 1),
+                           (41 * DAY + 13, DAY + 1), (41 * DAY + 15, 2)]
