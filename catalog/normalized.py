@@ -9,7 +9,11 @@ from catalog.registry import query
 from catalog.writes import both
 from hearsay.normalize import bili as B, common as C, responses as P, tieba as TB, weibo as WB
 from hearsay.normalize import zhihu as Z
+from hearsay.functions.scalars import utc_day
 from hearsay.operators import chains as K
+from hearsay.plans import linkage as LK
+from hearsay.plans.ingest import normalize_batch
+from hearsay.session import scratch_path
 
 # ---- video platform ---------------------------------------------------------------------
 
@@ -544,3 +548,90 @@ FROM orders GROUP BY 1, 2, 3""")(
     lambda f: P.response_classes(f.orders.selectExpr(
         f"{_pick(0)} AS platform", f"{_pick(1)} AS endpoint", "1 AS page_no",
         f"{_pick(2)} AS status", "false AS has_cookie", f"{_pick(3)} AS body")))
+
+# ---- a whole batch: search pages, videos, their comments and forum feeds ----------------------
+
+BATCH = f"""
+SELECT 'bili' AS platform, 'search' AS endpoint, '' AS request_id, keyword, page_no + 1 AS page_no,
+  body FROM ({SEARCH})
+UNION ALL
+SELECT 'tieba', 'forum', '', keyword, page_no + 1, body FROM ({FORUM})
+UNION ALL
+SELECT 'bili', 'video', '', '', 1L, to_json(named_struct('code', 0, 'data', named_struct(
+  'bvid', concat('BV', CAST(c_custkey AS STRING)), 'aid', c_custkey, 'title', c_name,
+  'pubdate', 1700000000L + c_nationkey * 86400, 'stat', named_struct('view', c_custkey))))
+FROM {{customer}} WHERE c_custkey % 3 > 0
+UNION ALL
+SELECT 'bili', 'comments', CAST(o_custkey AS STRING), '', 1L, to_json(named_struct('code', 0,
+  'data', named_struct('replies', collect_list(named_struct('rpid', o_orderkey)))))
+FROM {{orders}} GROUP BY o_custkey
+UNION ALL
+SELECT 'weibo', 'search', '', 'blocked', 1L, '{{{{"ok": 1}}}}'"""
+BATCH_AT, BATCH_COUNT = 1718000000, 200
+HITS = f"""
+WITH hits AS (
+  SELECT o_orderpriority AS keyword, 'bili' AS platform, 'BV' || o_custkey AS post_id,
+    o_orderkey AS k FROM orders
+  UNION ALL
+  SELECT o_orderpriority, 'tieba', CAST(o_custkey AS VARCHAR), o_orderkey FROM orders
+  WHERE o_orderstatus <> 'P'),
+firsts AS (SELECT keyword, platform, post_id, min(k) AS k FROM hits GROUP BY 1, 2, 3),
+links AS (
+  SELECT keyword, platform, post_id,
+    row_number() OVER (PARTITION BY keyword, platform ORDER BY k) AS rank FROM firsts
+  QUALIFY rank <= {BATCH_COUNT})
+"""
+
+
+def _batch(f):
+    rows = f.spark.sql(BATCH, orders=f.orders, customer=f.customer).withColumns({
+        "status": F.lit(200), "has_cookie": F.lit(True)})
+    return LK.land(rows, scratch_path(f.spark, "landed"))
+
+
+def _linked(f, payloads):
+    none = f.spark.createDataFrame([], "keyword string, platform string, post_id string")
+    return LK.ingest_links(payloads, none, BATCH_AT, BATCH_COUNT)
+
+
+query("ingest_links", HITS + f"""
+SELECT keyword, platform, post_id, rank, {BATCH_AT}::BIGINT AS fetched_at FROM links""")(
+    lambda f: _linked(f, _batch(f)).drop("run_id"))
+
+
+@query("ingest_runs", HITS + f""", asked AS (
+  SELECT DISTINCT o_orderpriority AS keyword, platform
+  FROM orders, (VALUES ('bili'), ('tieba')) p(platform)
+  UNION ALL SELECT 'blocked', 'weibo'),
+videos AS (SELECT 'BV' || c_custkey AS post_id, c_custkey FROM customer WHERE c_custkey % 3 > 0),
+notes AS (SELECT post_id, count(*) AS n FROM orders JOIN videos ON c_custkey = o_custkey GROUP BY 1),
+counted AS (
+  SELECT keyword, platform, count(*) FILTER (platform = 'tieba' OR v.post_id IS NOT NULL) AS posts,
+    sum(n) AS comments FROM links LEFT JOIN videos v USING (post_id) LEFT JOIN notes USING (post_id)
+  GROUP BY 1, 2)
+SELECT keyword, platform, {BATCH_COUNT}::BIGINT AS requested_count, {BATCH_AT}::BIGINT AS started_at,
+  {BATCH_AT}::BIGINT AS finished_at, COALESCE(posts, 0) AS posts_fetched,
+  CAST(COALESCE(comments, 0) AS BIGINT) AS comments_fetched,
+  CASE keyword WHEN 'blocked' THEN 'SoftBanned' END AS error
+FROM asked LEFT JOIN counted USING (keyword, platform)""")
+def ingest_runs(f):
+    payloads = _batch(f)
+    runs = LK.ingest_runs(payloads, BATCH_AT, BATCH_COUNT)
+    done = LK.close_ingested(runs, payloads, _linked(f, payloads),
+                             normalize_batch(payloads, BATCH_AT), BATCH_AT)
+    return done.drop("run_id", "config")
+
+
+@query("ingest_volume_by_day", HITS + """
+SELECT keyword, strftime(to_timestamp(1700000000 + c_nationkey * 86400) AT TIME ZONE 'UTC',
+  '%Y-%m-%d') AS day, count(*) AS n_posts, sum(c_custkey)::BIGINT AS total_views
+FROM links JOIN customer ON post_id = 'BV' || c_custkey
+WHERE c_custkey % 3 > 0 GROUP BY 1, 2""")
+def ingest_volume_by_day(f):
+    # A keyword query straight over what was ingested.
+    payloads = _batch(f)
+    videos = normalize_batch(payloads, BATCH_AT)["bili_videos"]
+    posts = _linked(f, payloads).where("platform = 'bili'").join(
+        videos.withColumnRenamed("bvid", "post_id"), "post_id")
+    return posts.groupBy("keyword", utc_day(F.col("pubdate")).alias("day")).agg(
+        F.count(F.lit(1)).alias("n_posts"), F.sum("view").alias("total_views"))

@@ -12,7 +12,9 @@ PAGE_BLOCK = 1000
 
 
 def parsed(payloads: DataFrame) -> DataFrame:
-    """Add ``v``, the body as a variant; NULL when it is not JSON."""
+    """Add ``v``, the body as a variant; NULL when it is not JSON. Landed payloads have it."""
+    if "v" in payloads.columns:
+        return payloads
     return payloads.withColumn("v", F.try_parse_json("body"))
 
 

@@ -14,12 +14,14 @@ BLOCKED_STATUS = {"weibo": (403, 418, 432), "tieba": (403, 418, 412)}
 HTML_ENDPOINTS = ("page", "html_search")
 
 
-def classify(payloads: DataFrame, other: str = "OtherError") -> DataFrame:
+def classify(
+    payloads: DataFrame, other: str = "OtherError", keep_parsed: bool = False
+) -> DataFrame:
     """Payloads with ``outcome``: OK, RateLimited, SoftBanned, AuthRequired, CookieExpired,
     NotFound, ParseError, or ``other`` for any other failure.
 
     Needs platform, endpoint, page_no, status, has_cookie, body. A first search page without
-    hits is a soft block, not a miss.
+    hits is a soft block, not a miss. ``keep_parsed`` leaves the body as a variant in ``v``.
     """
     platform, endpoint = F.col("platform"), F.col("endpoint")
     status, cookie = F.col("status"), F.coalesce("has_cookie", F.lit(False))
@@ -77,7 +79,8 @@ def classify(payloads: DataFrame, other: str = "OtherError") -> DataFrame:
         .when(platform == "bili", bili).when(platform == "zhihu", zhihu)
         .when(platform == "weibo", weibo).when(platform == "tieba", tieba)
     )
-    return parsed(payloads).withColumn("outcome", F.coalesce(outcome, F.lit("OK"))).drop("v")
+    classed = parsed(payloads).withColumn("outcome", F.coalesce(outcome, F.lit("OK")))
+    return classed if keep_parsed else classed.drop("v")
 
 
 def response_classes(payloads: DataFrame) -> DataFrame:

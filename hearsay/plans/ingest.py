@@ -30,7 +30,8 @@ def normalize_batch(
     """Normalized rows per table of one batch fetched at ``as_of``, and the engagement
     snapshots it implies. What has landed is kept whole unless a cap is given. Unusable responses are left out; each table reads only its own
     platform and endpoints."""
-    usable = classify(payloads).where(F.col("outcome") == "OK").drop("outcome")
+    classed = payloads if "outcome" in payloads.columns else classify(payloads)
+    usable = classed.where(F.col("outcome") == "OK").drop("outcome")
 
     def of(platform: str, endpoint: str, **names: str) -> DataFrame:
         rows = usable.where((F.col("platform") == platform) & (F.col("endpoint") == endpoint))
