@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from hearsay.normalize.common import (
-    PAGE_BLOCK, array_at, each, get, parsed, raw, text, truthy,
+    PAGE_BLOCK, array_at, carried, each, get, parsed, raw, text, truthy,
 )
 from hearsay.operators.chains import pages_by_cursor
 from hearsay.operators.shared import running_total
@@ -26,7 +26,7 @@ def norm_video(payloads: DataFrame, tags: DataFrame | None = None) -> DataFrame:
         F.coalesce(get("v", "data.pubdate", "bigint"), zero).alias("pubdate"),
         F.coalesce(get("v", "data.duration", "bigint"), zero).alias("duration"),
         *[get("v", f"data.stat.{s}", "bigint").alias(s) for s in STATS],
-        raw(get("v", "data", "variant")).alias("raw"),
+        raw(get("v", "data", "variant")).alias("raw"), *carried(payloads),
     ).where(F.col("bvid").isNotNull())
     if tags is None:
         return rows.withColumn("tags", F.lit(None).cast("array<string>"))
@@ -51,7 +51,7 @@ def norm_comments(payloads: DataFrame) -> DataFrame:
         get("item", "member.uname").alias("uname"),
         get("item", "content.message").alias("message"),
         get("item", "ctime", "bigint").alias("ctime"),
-        get("item", "like", "bigint").alias("likes"), raw("item").alias("raw"),
+        get("item", "like", "bigint").alias("likes"), raw("item").alias("raw"), *carried(payloads),
     )
 
 
@@ -62,7 +62,7 @@ def norm_user_videos(payloads: DataFrame) -> DataFrame:
         "mid", "page_no", F.col("pos").cast("bigint").alias("pos"),
         get("item", "bvid").alias("bvid"), get("item", "aid", "bigint").alias("aid"),
         get("item", "title").alias("title"), get("item", "created", "bigint").alias("created"),
-        get("item", "play", "bigint").alias("play"), raw("item").alias("raw"),
+        get("item", "play", "bigint").alias("play"), raw("item").alias("raw"), *carried(payloads),
     )
 
 
@@ -86,7 +86,7 @@ def norm_dynamics(payloads: DataFrame) -> DataFrame:
         *[get(it, f"modules.module_stat.{s}.count", "bigint").alias(f"{s}_count")
           for s in ("like", "comment", "forward")],
         F.when(is_video, get(it, f"{dynamic}.major.archive.bvid")).alias("bvid"),
-        raw(it).alias("raw"),
+        raw(it).alias("raw"), *carried(payloads),
     ).where(F.col("dynamic_id") != "")
 
 
@@ -110,11 +110,11 @@ def norm_search(payloads: DataFrame, keys: Sequence[str] = ("keyword",)) -> Data
     groups = F.filter(array_at("v", "data.result"),
                       lambda g: get(g, "result_type") == "video")
     pages = parsed(payloads).select(
-        *keys, "page_no", array_at(F.get(groups, F.lit(0)), "data").alias("videos")
+        *keys, "page_no", *carried(payloads), array_at(F.get(groups, F.lit(0)), "data").alias("videos")
     ).withColumn("n", F.size("videos").cast("bigint"))
     pages = running_total(pages, keys, "page_no", "n", PAGE_BLOCK, "through")
     rows = pages.select(
-        *keys, (F.col("through") - F.col("n")).alias("before"),
+        *keys, *carried(payloads), (F.col("through") - F.col("n")).alias("before"),
         F.posexplode("videos").alias("pos", "item"),
     )
     marked = F.coalesce(get("item", "title"), F.lit(""))
@@ -123,7 +123,7 @@ def norm_search(payloads: DataFrame, keys: Sequence[str] = ("keyword",)) -> Data
     return rows.select(
         *keys, get("item", "bvid").alias("bvid"), title.alias("title"),
         get("item", "author").alias("author"), get("item", "play", "bigint").alias("play"),
-        (F.col("before") + F.col("pos") + 1).alias("rank"), raw("item").alias("raw"),
+        (F.col("before") + F.col("pos") + 1).alias("rank"), raw("item").alias("raw"), *carried(payloads),
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearsay.functions.scalars import first_non_empty
 
 PAGE_BLOCK = 1000
+# Where a record was met: struct(at, page, pos). Normalizers hand it on if the payloads have it.
+ORDER = "_order"
 
 
 def parsed(payloads: DataFrame) -> DataFrame:
@@ -36,9 +38,18 @@ def array_at(value: Column | str, path: str) -> Column:
     )
 
 
+def carried(df: DataFrame) -> list[str]:
+    """The column that says where a record was met, if there is one."""
+    return [ORDER] if ORDER in df.columns else []
+
+
 def each(df: DataFrame, keys: Sequence[str], items: Column) -> DataFrame:
     """One row per item with its position: keys, pos, item."""
-    return df.select(*keys, F.posexplode(items).alias("pos", "item"))
+    rows = df.select(*keys, *carried(df), F.posexplode(items).alias("pos", "item"))
+    if ORDER in df.columns:
+        place = F.struct(f"{ORDER}.at", f"{ORDER}.page", F.col("pos").cast("bigint").alias("pos"))
+        rows = rows.withColumn(ORDER, place)
+    return rows
 
 
 def truthy(value: Column | str, path: str) -> Column:

@@ -8,7 +8,7 @@ from hearsay.functions.scalars import URL_PREFIX, first_non_empty, lenient_int_v
 from hearsay.functions.markup import search_hits_of
 from hearsay.functions.text import drop_tags, strip_html
 from hearsay.normalize.common import (
-    array_at, each, epoch_or_null, first_of, get, pages_until_empty, parsed, raw, text, truthy,
+    array_at, carried, each, epoch_or_null, first_of, get, pages_until_empty, parsed, raw, text, truthy,
 )
 from hearsay.operators.merge import first_wins
 
@@ -71,7 +71,7 @@ def _thread_payloads(payloads: DataFrame) -> DataFrame:
     listed = array_at("v", "data.post_list")
     other = array_at("v", "data.postList")
     return usable.select(
-        "tid", "v", F.when(F.size(listed) > 0, listed).otherwise(other).alias("posts")
+        "tid", "v", *carried(payloads), F.when(F.size(listed) > 0, listed).otherwise(other).alias("posts")
     )
 
 
@@ -95,6 +95,7 @@ def norm_floors(payloads: DataFrame, max_replies: int | None = None) -> DataFram
         segments_to_text(get("item", "content", "variant")).alias("content"),
         F.lit("").alias("created_at"),
         epoch_or_null(_int("item", "time")).alias("created_ts"), raw("item").alias("raw"),
+        *carried(payloads),
     )
 
 
@@ -106,7 +107,7 @@ def norm_thread(
     A thread whose payload is missing or bad keeps its search metadata.
     """
     details = _thread_payloads(payloads).select(
-        "tid", "v", F.get("posts", F.lit(0)).alias("op"),
+        "tid", "v", *carried(payloads), F.get("posts", F.lit(0)).alias("op"),
         F.size(first_of(_replies(), max_replies)).cast("bigint").alias("kept"),
     )
     rows = hits.select(*HIT_COLUMNS).join(details, "tid", "left")
@@ -142,7 +143,7 @@ def norm_thread(
         replies.alias("reply_num"), F.coalesce("created_at", F.lit("")).alias("created_at"),
         created.alias("created_ts"),
         F.concat(F.lit(URL_PREFIX["tieba"]), "tid").alias("url"),
-        F.coalesce(raw(data), F.to_json(F.struct(*HIT_COLUMNS))).alias("raw"),
+        F.coalesce(raw(data), F.to_json(F.struct(*HIT_COLUMNS))).alias("raw"), *carried(payloads),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearsay.functions.scalars import lenient_int_variant
 from hearsay.functions.text import strip_html
 from hearsay.functions.times import parse_post_time
-from hearsay.normalize.common import array_at, each, get, parsed, raw, text, truthy
+from hearsay.normalize.common import array_at, carried, each, get, parsed, raw, text, truthy
 from hearsay.operators.chains import pages_by_cursor
 from hearsay.operators.shared import top_k_per_key
 
@@ -19,13 +19,13 @@ def norm_cards(payloads: DataFrame, keys: Sequence[str] = ("keyword", "page_no")
     cards = each(parsed(payloads), keys, array_at("v", "data.cards"))
     family = F.concat(F.array("item"), array_at("item", "card_group"))
     members = cards.select(
-        *keys, F.col("pos").alias("card"), F.posexplode(family).alias("member", "item")
+        *keys, *carried(payloads), F.col("pos").alias("card"), F.posexplode(family).alias("member", "item")
     )
     mblog = get("item", "mblog", "variant")
     return members.where(
         (get("item", "card_type", "bigint") == 9)
         & mblog.isNotNull() & ~F.is_variant_null(mblog)
-    ).select(*keys, "card", "member", mblog.alias("mblog"))
+    ).select(*keys, "card", "member", mblog.alias("mblog"), *carried(payloads))
 
 
 def _as_of(as_of: Column | int) -> Column:
@@ -51,7 +51,7 @@ def norm_micropost(
         text(m, "source").alias("source"),
         *[lenient_int_variant(get(m, c, "variant")).alias(c)
           for c in ("reposts_count", "comments_count", "attitudes_count")],
-        truthy(m, "isLongText").alias("is_long"), raw(m).alias("raw"),
+        truthy(m, "isLongText").alias("is_long"), raw(m).alias("raw"), *carried(posts),
     ).where(F.col("id") != "")
 
 
@@ -98,7 +98,7 @@ def norm_hotflow(
         .alias("like_count"),
         created.alias("created_at"),
         parse_post_time(created, _as_of(as_of), utc_offset_seconds).alias("created_ts"),
-        raw("item").alias("raw"),
+        raw("item").alias("raw"), *carried(payloads),
     ).where(F.col("comment_id") != "")
     if max_count is None:
         return comments.drop("page_no", "pos")

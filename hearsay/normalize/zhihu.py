@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions.scalars import first_present
 from hearsay.functions.text import strip_html
-from hearsay.normalize.common import array_at, each, first_of, get, parsed, raw, text
+from hearsay.normalize.common import (
+    array_at, carried, each, first_of, get, parsed, raw, text,
+)
 
 # Fixed value: where a rendered page keeps its data.
 STATE_REGEX = r'(?s)<script[^>]*id="js-initialData"[^>]*>(.+?)</script>'
@@ -41,6 +43,7 @@ def norm_question(payloads: DataFrame) -> DataFrame:
         get("v", "visit_count", "bigint").alias("view_count"),
         get("v", "created", "bigint").alias("created"),
         topic_names(array_at("v", "topics")).alias("topics"), raw("v").alias("raw"),
+        *carried(payloads),
     )
 
 
@@ -54,6 +57,7 @@ def norm_answers(payloads: DataFrame) -> DataFrame:
         *[get("item", c, "bigint").alias(c)
           for c in ("voteup_count", "comment_count", "created_time", "updated_time")],
         _lines("item", "content").alias("content"), raw("item").alias("raw"),
+        *carried(payloads),
     ).where(F.col("id").isNotNull())
 
 
@@ -68,6 +72,7 @@ def norm_general_search(payloads: DataFrame) -> DataFrame:
         text("item", "object.title", "object.question.title", "object.name").alias("title"),
         _lines("item", "object.excerpt", "object.excerpt_new").alias("excerpt"),
         get("item", "object.question.id").alias("parent_id"), raw("item").alias("raw"),
+        *carried(payloads),
     )
 
 
@@ -86,7 +91,8 @@ def _article(v: str, column_id: Column) -> list[Column]:
 
 def norm_article(payloads: DataFrame) -> DataFrame:
     """Article rows from single-article payloads."""
-    return parsed(payloads).select(*_article("v", F.lit(None).cast("string"))).where(
+    return parsed(payloads).select(
+        *_article("v", F.lit(None).cast("string")), *carried(payloads)).where(
         F.col("id").isNotNull()
     )
 
@@ -94,7 +100,8 @@ def norm_article(payloads: DataFrame) -> DataFrame:
 def norm_column_items(payloads: DataFrame) -> DataFrame:
     """Article rows from column listing pages (column_id, body)."""
     rows = each(parsed(payloads), ["column_id"], array_at("v", "data"))
-    return rows.select(*_article("item", F.col("column_id"))).where(F.col("id").isNotNull())
+    return rows.select(
+        *_article("item", F.col("column_id")), *carried(payloads)).where(F.col("id").isNotNull())
 
 
 def norm_column(payloads: DataFrame) -> DataFrame:
@@ -107,6 +114,7 @@ def norm_column(payloads: DataFrame) -> DataFrame:
         *[get("v", c, "bigint").alias(c)
           for c in ("articles_count", "followers", "created", "updated")],
         raw("v").alias("raw"),
+        *carried(payloads),
     )
 
 
@@ -126,6 +134,7 @@ def norm_answer_comments(
         get("item", "author.name").alias("author_name"),
         _lines("item", "content").alias("content"), likes.alias("like_count"),
         get("item", "created_time", "bigint").alias("created_time"), raw("item").alias("raw"),
+        *carried(payloads),
     ).where(F.col("comment_id").isNotNull())
 
 
@@ -137,8 +146,8 @@ def _entities(pages: DataFrame) -> DataFrame:
         f"initialState struct<entities: struct<questions: {entity}, answers: {entity}, "
         f"topics: {entity}>>",
     )
-    return pages.select("question_id", state.alias("s")).select(
-        "question_id", "s.initialState.entities.*"
+    return pages.select("question_id", *carried(pages), state.alias("s")).select(
+        "question_id", *carried(pages), "s.initialState.entities.*"
     )
 
 
@@ -152,7 +161,7 @@ def embedded_questions(pages: DataFrame, zero_is_missing: bool = False) -> DataF
         return _first("q", "bigint", camel, snake, zero_is_missing=zero_is_missing)
 
     found = _entities(pages).select(
-        "question_id", "topics",
+        "question_id", "topics", *carried(pages),
         F.try_element_at("questions", F.col("question_id").cast("string")).alias("q"),
     ).where(F.col("q").isNotNull())
     listed = F.when(F.size(array_at("q", "topics")) > 0, array_at("q", "topics")).otherwise(
@@ -166,7 +175,7 @@ def embedded_questions(pages: DataFrame, zero_is_missing: bool = False) -> DataF
         count("followerCount", "follower_count").alias("follower_count"),
         count("visitCount", "visit_count").alias("view_count"),
         get("q", "created", "bigint").alias("created"),
-        topic_names(listed, known).alias("topics"), raw("q").alias("raw"),
+        topic_names(listed, known).alias("topics"), raw("q").alias("raw"), *carried(pages),
     )
 
 
@@ -181,12 +190,12 @@ def embedded_answers(
         F.coalesce(F.map_values("answers"), F.array().cast("array<variant>")),
         lambda a: get(a, "question.id") == F.col("question_id").cast("string"),
     )
-    listed = _entities(pages).select("question_id", own.alias("own"))
+    listed = _entities(pages).select("question_id", *carried(pages), own.alias("own"))
     order = F.array_sort(F.transform("own", lambda a, i: F.struct(
         (-F.coalesce(get(a, "voteupCount", "bigint"), F.lit(0))).alias("down"), i.alias("i"))))
     best = listed.select(
-        "question_id", "own", F.explode(first_of(order, max_answers)).alias("o")
-    ).select("question_id", F.get("own", F.col("o.i")).alias("a"))
+        "question_id", *carried(pages), "own", F.explode(first_of(order, max_answers)).alias("o")
+    ).select("question_id", *carried(pages), F.get("own", F.col("o.i")).alias("a"))
     return best.select(
         get("a", "id", "bigint").alias("id"), "question_id",
         get("a", "author.id").alias("author_id"), get("a", "author.name").alias("author_name"),
@@ -194,7 +203,7 @@ def embedded_answers(
         count("commentCount", "comment_count").alias("comment_count"),
         count("createdTime", "created_time").alias("created_time"),
         count("updatedTime", "updated_time").alias("updated_time"),
-        _lines("a", "content").alias("content"), raw("a").alias("raw"),
+        _lines("a", "content").alias("content"), raw("a").alias("raw"), *carried(pages),
     ).where(F.col("id").isNotNull())
 
 

@@ -1,6 +1,7 @@
 """A batch of raw payloads into the normalized tables.
 
-Payload columns: platform, endpoint, request_id, keyword, page_no, status, has_cookie, body.
+Payload columns: platform, endpoint, request_id, keyword, page_no, status, has_cookie, body, and
+optionally fetched_at (epoch seconds); or payloads landed by :func:`hearsay.plans.linkage.land`.
 ``request_id`` is what was asked for: a video's aid or bvid, a question, answer, column, post
 or thread id.
 """
@@ -8,9 +9,10 @@ or thread id.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from hearsay.normalize import bili, tieba, weibo, zhihu
-from hearsay.normalize.common import get, parsed
+from hearsay.normalize.common import ORDER, get, parsed
 from hearsay.normalize.responses import classify
 from hearsay.operators.merge import evolve, insert_ignore, latest_wins, lists_to_json, upsert
 from hearsay.operators.views import Tables
@@ -31,7 +33,13 @@ def normalize_batch(
     snapshots it implies. What has landed is kept whole unless a cap is given. Unusable responses are left out; each table reads only its own
     platform and endpoints."""
     classed = payloads if "outcome" in payloads.columns else classify(payloads)
-    usable = classed.where(F.col("outcome") == "OK").drop("outcome")
+    zero = F.lit(0).cast("bigint")
+    met_at = F.lit(as_of) if "fetched_at" not in payloads.columns else F.coalesce(
+        "fetched_at", F.lit(as_of))
+    met = F.struct(met_at.cast("bigint").alias("at"),
+                   F.coalesce(F.col("page_no").cast("bigint"), zero).alias("page"),
+                   zero.alias("pos"))
+    usable = classed.where(F.col("outcome") == "OK").drop("outcome").withColumn(ORDER, met)
 
     def of(platform: str, endpoint: str, **names: str) -> DataFrame:
         rows = usable.where((F.col("platform") == platform) & (F.col("endpoint") == endpoint))
@@ -49,8 +57,9 @@ def normalize_batch(
     answers = zhihu.norm_answers(of("zhihu", "answers", question_id="bigint")).unionByName(
         zhihu.embedded_answers(pages, max_answers)
     )
-    found = weibo.norm_cards(of("weibo", "search")).select("mblog")
-    shown = parsed(of("weibo", "status")).select(get("v", "data", "variant").alias("mblog"))
+    found = weibo.norm_cards(of("weibo", "search")).select("mblog", ORDER)
+    shown = parsed(of("weibo", "status")).select(
+        get("v", "data", "variant").alias("mblog"), ORDER)
     posts = weibo.long_text_override(
         weibo.norm_micropost(found.unionByName(shown), as_of),
         of("weibo", "extend", id="string"),
@@ -87,12 +96,17 @@ def normalize_batch(
     }
     seen_at = F.lit(as_of).cast("bigint")
     out = {}
+    place = StructType.fromDDL("_at bigint, _page bigint, _pos bigint")
     for table, df in rows.items():
-        typed = evolve(lists_to_json(df).withColumn("fetched_at", seen_at), SCHEMAS[table])
-        # A record met twice in a batch counts once, whichever page it came from.
+        flat = df.withColumns({f"_{n}": F.col(f"{ORDER}.{n}") for n in ("at", "page", "pos")})
+        typed = evolve(
+            lists_to_json(flat.drop(ORDER)).withColumn("fetched_at", seen_at),
+            StructType([*SCHEMAS[table], *place]))
+        # Of a record met twice in a batch the later row counts: by time, page and position.
+        # Rows of one place, such as hits without a page, are ordered by their content.
         out[table] = latest_wins(
-            typed.withColumn("_order", F.xxhash64("raw")), TABLE_KEYS[table], "_order"
-        ).select(SCHEMAS[table].fieldNames())
+            typed.withColumn(ORDER, F.struct(*place.fieldNames(), F.xxhash64("raw"))),
+            TABLE_KEYS[table], ORDER).select(SCHEMAS[table].fieldNames())
     out["engagement_snapshots"] = (
         bili.snapshots(out["bili_videos"])
         .unionByName(zhihu.snapshots(out["zhihu_questions"]))

@@ -111,3 +111,37 @@ def test_nothing_landed(spark):
     none = spark.createDataFrame([], SCHEMA)
     links = L.ingest_links(none, spark.createDataFrame([], SCHEMAS["keyword_posts"]), AS_OF, 2)
     assert links.count() == 0 and L.ingest_runs(none, AS_OF, 2).count() == 0
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_the_later_row_of_a_batch_counts(spark, rows, reverse):
+    def video(title):
+        return {"code": 0, "data": {"bvid": "BV1", "aid": 3, "title": title}}
+
+    def replies(*messages):
+        return {"code": 0, "data": {"replies": [
+            {"rpid": 1, "content": {"message": m}} for m in messages]}}
+
+    timed = [
+        (*row("bili", "video", video("z old"), request_id="BV1"), 10),
+        (*row("bili", "video", video("a new"), request_id="BV1"), 20),
+        (*row("bili", "video", video("m mid"), request_id="BV1", page=9), 15),
+        (*row("bili", "comments", replies("x", "b"), request_id="3", page=2), None),
+        (*row("bili", "comments", replies("z", "y"), request_id="3"), None),
+        (*row("zhihu", "answers", {"data": [{"id": 8, "voteup_count": 9}]}, request_id="7"), 5),
+        (*row("zhihu", "answers", {"data": [{"id": 8, "voteup_count": 1}]}, request_id="7"), 6),
+        (*row("weibo", "search", {"ok": 1, "data": {"cards": [mblog(4)]}}), 7),
+        (*row("weibo", "status", {"ok": 1, "data": {"id": 4, "text": "shown"}}), 8),
+        (*row("tieba", "thread", {"data": {"post_list": [{"id": 1, "title": "one"}]}},
+              request_id="5"), 9),
+        (*row("tieba", "thread", {"data": {"post_list": [{"id": 1, "title": "two"}]}},
+              request_id="5"), 8),
+    ]
+    payloads = spark.createDataFrame(timed[::-1] if reverse else timed,
+                                     SCHEMA + ", fetched_at bigint")
+    got = normalize_batch(payloads, AS_OF)
+    assert rows(got["bili_videos"], "title") == [("a new",)]
+    assert rows(got["bili_comments"], "message") == [("b",)]
+    assert rows(got["zhihu_answers"], "voteup_count") == [(1,)]
+    assert rows(got["weibo_posts"], "text") == [("shown",)]
+    assert rows(got["tieba_threads"], "title") == [("one",)]
