@@ -30,6 +30,7 @@ import functools
 import hashlib
 import os
 from functools import partial
+from itertools import chain
 from typing import Iterator, NamedTuple
 
 import numpy as np
@@ -50,6 +51,7 @@ REMEMBERED_PAIRS = 8_000_000
 _STEP = 20_000
 _SPACE = "▁"
 
+_chain = chain.from_iterable
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 _CHUNK = ("chunk bigint, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
           "n_links array<bigint>, groups_sha256 array<string>, pairs array<bigint>, "
@@ -73,6 +75,12 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _different(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted; faster than hashing them."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
+
+
 def _spread(bounds: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all values of the given parts, and the number in ``parts`` of each."""
     size = bounds[parts + 1] - bounds[parts]
@@ -150,8 +158,10 @@ class Aligner:
     def _tokens_a(self, segments: list[str], raw: bytes, base: np.ndarray) -> Tokens:
         made = self.a.encode_batch(segments, add_special_tokens=False)
         bounds = np.cumsum([0] + [len(e) for e in made])
-        ids = np.fromiter((i for e in made for i in e.ids), np.int64, int(bounds[-1]))
-        spans = np.array([o for e in made for o in e.offsets], np.int64).reshape(-1, 2)
+        total = int(bounds[-1])
+        ids = np.fromiter(_chain(e.ids for e in made), np.int64, total)
+        spans = np.fromiter(_chain(_chain(e.offsets for e in made)), np.int64, 2 * total)
+        spans = spans.reshape(-1, 2)
         decoded, restored = self._joined(ids, self.bytes_a, bounds, raw, base)
         data = np.frombuffer(raw, np.uint8)
         character = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
@@ -163,14 +173,14 @@ class Aligner:
         return Tokens(ids, np.where(inside, decoded, character[end]), bounds, restored)
 
     def _tokens_b(self, segments: list[str], raw: bytes, base: np.ndarray) -> Tokens:
-        made = [[(p.id, p.end) for p in m.pieces] for m in self.b.encode(
-            segments, return_type="proto", num_threads=1)]
+        made = [m.pieces for m in self.b.encode(segments, return_type="proto", num_threads=1)]
         bounds = np.cumsum([0] + [len(m) for m in made])
-        rows = np.array([p for m in made for p in m], np.int64).reshape(-1, 2)
-        ids = rows[:, 0]
+        pieces = list(_chain(made))
+        ids = np.fromiter([p.id for p in pieces], np.int64, len(pieces))
+        coarse = np.fromiter([p.end for p in pieces], np.int64, len(pieces))
         decoded, restored = self._joined(ids, self.bytes_b, bounds, raw, base)
         # The model adds the space in front.
-        coarse = rows[:, 1] + 1 + np.repeat(base[:-1], np.diff(bounds))
+        coarse += 1 + np.repeat(base[:-1], np.diff(bounds))
         return Tokens(ids, np.where(self.fallback[ids], decoded, coarse), bounds, restored)
 
     def _learn(self, keys: np.ndarray, segments: list[bytes]) -> None:
@@ -332,9 +342,9 @@ def _align(batches: Iterator[pa.RecordBatch], path_a: str | None, path_b: str |
             there, which = _spread(tool.pairs.bounds, place)
             pairs, pair = np.unique(tool.pairs.values[there], return_inverse=True)
             segment_bounds = np.searchsorted(which, np.arange(len(place) + 1))
-            once = np.unique(text * len(place) + segment)
+            once = _different(text * len(place) + segment)
             inside, row = _spread(segment_bounds, once % max(1, len(place)))
-            held = np.unique((once // max(1, len(place)))[row] * len(pairs) + pair[inside])
+            held = _different((once // max(1, len(place)))[row] * len(pairs) + pair[inside])
             docs = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
             lists = [*map(pa.array, counts), pa.array(sha, pa.string()), pa.array(pairs),
                      pa.array(docs.astype(np.int64))]
