@@ -48,7 +48,8 @@ CHUNK_BYTES = 8 << 20
 # Segments and pairs that a Python worker remembers; forgotten segments are encoded again.
 REMEMBERED = 600_000
 REMEMBERED_PAIRS = 8_000_000
-_STEP = 20_000
+_STEP = 10_000
+_SHARE = 500_000
 _SPACE = "▁"
 
 _chain = chain.from_iterable
@@ -81,6 +82,16 @@ def _different(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
 
 
+def _shares(text: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts sorted rows into runs of whole texts of about ``_SHARE`` values together."""
+    if not len(text):
+        return
+    last = np.append(np.flatnonzero(text[1:] != text[:-1]) + 1, len(text))
+    filled = np.cumsum(size)[last - 1] // _SHARE
+    ends = last[np.append(filled[1:] != filled[:-1], True)]
+    yield from zip([0, *ends[:-1].tolist()], ends.tolist())
+
+
 def _spread(bounds: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all values of the given parts, and the number in ``parts`` of each."""
     size = bounds[parts + 1] - bounds[parts]
@@ -343,11 +354,15 @@ def _align(batches: Iterator[pa.RecordBatch], path_a: str | None, path_b: str |
             pairs, pair = np.unique(tool.pairs.values[there], return_inverse=True)
             segment_bounds = np.searchsorted(which, np.arange(len(place) + 1))
             once = _different(text * len(place) + segment)
-            inside, row = _spread(segment_bounds, once % max(1, len(place)))
-            held = _different((once // max(1, len(place)))[row] * len(pairs) + pair[inside])
-            docs = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
+            docs = np.zeros(len(pairs), np.int64)
+            for x, y in _shares(once // max(1, len(place)),
+                                np.diff(segment_bounds)[once % max(1, len(place))]):
+                part = once[x:y]
+                inside, row = _spread(segment_bounds, part % len(place))
+                held = _different((part // len(place))[row] * len(pairs) + pair[inside])
+                docs += np.bincount(held % len(pairs), minlength=len(pairs))
             lists = [*map(pa.array, counts), pa.array(sha, pa.string()), pa.array(pairs),
-                     pa.array(docs.astype(np.int64))]
+                     pa.array(docs)]
             packed = [bounds, segment, segment_bounds, pair, tool.times.values[there]]
             yield pa.RecordBatch.from_arrays(
                 [_one(batch.column("doc").slice(c.lo, c.hi - c.lo)), pa.array([number]),
