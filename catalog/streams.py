@@ -39,13 +39,24 @@ def stream_volume(f):
         S.run_available(S.daily_volume(stream), path, "complete"))
 
 
-query("stream_daily_volume", duck(f"""
+VOLUME = duck(f"""
 SELECT {DAY.format('published_at')} AS day, platform, count(*) AS n_posts,
   CAST(COALESCE(sum(comment_count), 0) AS BIGINT) AS total_comments,
   CAST(COALESCE(sum(like_count), 0) AS BIGINT) AS total_likes,
   CAST(COALESCE(sum(favorite_count), 0) AS BIGINT) AS total_favorites,
   CAST(COALESCE(sum(view_count), 0) AS BIGINT) AS total_views
-FROM fx_posts WHERE published_at IS NOT NULL GROUP BY 1, 2"""))(stream_volume)
+FROM fx_posts WHERE published_at IS NOT NULL GROUP BY 1, 2""")
+query("stream_daily_volume", VOLUME)(stream_volume)
+
+
+def stream_volume_update(f):
+    # Each of four batches emits the days it changed; they are merged into a bucketed table.
+    stream, path = landed(f, f.fx_posts, "volume-update")
+    return S.updated(f.spark, S.run_updates(
+        S.daily_volume(stream), ["day", "platform"], path, 8))
+
+
+query("stream_daily_volume_update", VOLUME)(stream_volume_update)
 
 
 def stream_upsert(f, null_overwrites=True):

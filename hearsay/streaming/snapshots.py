@@ -12,6 +12,7 @@ from hearsay.functions.scalars import utc_day
 from hearsay.operators.merge import first_wins, latest_wins, upsert
 from hearsay.operators.metrics import COUNTERS
 from hearsay.operators.shared import previous_in_blocks, semi_join
+from hearsay.sources import buckets
 
 SNAPSHOT_KEY = ("platform", "post_id", "fetched_at")
 
@@ -51,7 +52,7 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> str:
 
     Append streams go to the exactly-once file sink. In complete mode each batch replaces
     the result folder, which only ever holds one whole result. Update mode is refused: a batch
-    would replace rows that it does not hold.
+    would replace rows that it does not hold; :func:`run_updates` merges them by key.
     """
     if mode not in ("append", "complete"):
         raise ValueError(f"mode {mode!r}: only append and complete results are whole")
@@ -69,6 +70,44 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> str:
     return out
 
 
+_KEY = "_key"
+
+
+def run_updates(stream: DataFrame, keys: Sequence[str], path: str, n_buckets: int = 64) -> str:
+    """Process what is there in update mode and stop; returns the bucketed table of the results.
+
+    A batch emits the rows that it changed, whole. They are written to the batch's own folder, so
+    the stateful plan runs once a batch, and are then merged by ``keys`` into the buckets they touch
+    (:mod:`hearsay.sources.buckets`); rows of other buckets are neither read nor written. A batch
+    that is repeated after a crash replaces its folder and merges the same rows again, which
+    changes nothing. NULL keys are keys like others. Read the result with :func:`updated`.
+    """
+    root = f"{path}/table"
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        emitted = f"{path}/emitted/{BATCH}={batch_id}"
+        # JSON of the key: a text that is never NULL and differs where any part does.
+        keyed = batch.withColumn(_KEY, F.to_json(F.struct(*keys)))
+        keyed.write.mode("overwrite").parquet(emitted)
+        rows = spark.read.schema(keyed.schema).parquet(emitted)
+        if buckets.version(spark, root) is None:
+            buckets.create(rows, root, [_KEY], n_buckets)
+        else:
+            buckets.merge(spark, root, rows.withColumn(BATCH, F.lit(batch_id)), BATCH, kept=())
+            buckets.expire(spark, root)
+
+    stream.writeStream.outputMode("update").option(
+        "checkpointLocation", f"{path}/checkpoint"
+    ).trigger(availableNow=True).foreachBatch(apply).start().awaitTermination()
+    return root
+
+
+def updated(spark: SparkSession, root: str) -> DataFrame:
+    """The rows that :func:`run_updates` holds, one per key."""
+    return buckets.read(spark, root).drop(_KEY)
+
+
 # ---- upsert log -------------------------------------------------------------------------
 
 BATCH = "batch_id"

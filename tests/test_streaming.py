@@ -114,6 +114,48 @@ def test_daily_volume_stream_equals_batch(spark, tmp_path, rows):
     assert rows(spark.read.parquet(out)) == rows(batch.select(spark.read.parquet(out).columns))
 
 
+VOLUME = "platform string, published_at bigint, comment_count bigint, like_count bigint, " \
+         "favorite_count bigint, view_count bigint"
+
+
+def test_updates_are_merged_and_a_repeated_batch_is_harmless(spark, tmp_path, rows, monkeypatch):
+    day = 86400
+    files = [[("bili", 5, 1, 1, 1, 1), (None, 9, 1, 1, 1, 1), ("", 9, 1, 1, 1, 1)],
+             [("bili", 6, 2, 2, 2, 2), ("weibo", 3 * day, 1, None, 1, 1), (None, 8, 1, 1, 1, 1)],
+             [("bili", 7, 4, 4, 4, 4), ("bili", 9 * day, 1, 1, 1, 1)]]
+    run = lambda: S.run_updates(
+        S.daily_volume(stream(spark, tmp_path, VOLUME)), ["day", "platform"], str(tmp_path), 8)
+    land(spark, tmp_path, "0", files[0], VOLUME)
+    run()
+    land(spark, tmp_path, "1", files[1], VOLUME)
+    merge, seen = S.buckets.merge, []
+
+    def dies(spark, root, updates, *args, **kw):
+        seen.append(updates.count())
+        merge(spark, root, updates, *args, **kw)
+        raise RuntimeError("after the merge, before the batch is committed")
+
+    monkeypatch.setattr(S.buckets, "merge", dies)
+    with pytest.raises(Exception, match="after the merge"):
+        run()
+    assert seen == [3]  # only what the batch changed was emitted
+    monkeypatch.setattr(S.buckets, "merge", merge)
+    run()
+    land(spark, tmp_path, "2", files[2], VOLUME)
+    got = S.updated(spark, run())
+    whole = spark.createDataFrame(sum(files, []), VOLUME)
+    assert rows(got) == rows(S.daily_volume(whole).select(got.columns))
+    assert len(rows(got)) == 5
+
+
+def test_updates_of_nothing(spark, tmp_path):
+    land(spark, tmp_path, "0", [("bili", None, 1, 1, 1, 1)], VOLUME)
+    root = S.run_updates(S.daily_volume(stream(spark, tmp_path, VOLUME)), ["day", "platform"],
+                         str(tmp_path), 8)
+    got = S.updated(spark, root)
+    assert got.count() == 0 and "n_posts" in got.columns
+
+
 DAY = 86400
 
 
