@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from catalog.fixtures import duck
 from catalog.registry import query
-from hearsay.operators import metrics as M, retrieve as R, views as V
+from hearsay.operators import coverage as C, metrics as M, retrieve as R, views as V
 from hearsay.operators.views import COMMENT_COLUMNS, POST_COLUMNS
 from hearsay.schema import PLATFORMS
+from hearsay.session import scratch_path
 
 KW = "1-URGENT"
 RUN = 199711  # first-priority zhihu links of 1997
@@ -201,6 +203,33 @@ FROM (SELECT CAST(greatest(0, least(28, floor((ln(v) - lo) / step))) AS BIGINT)
 query("keyword_coverage", sql("""
 SELECT count(DISTINCT keyword) AS n_keywords, count(DISTINCT post_id) AS n_posts
 FROM fx_links"""))(lambda f: M.keyword_coverage(f.fx_links))
+
+
+def stored_coverage(f):
+    """Sketches of the links, stored in three batches of which one is written twice."""
+    root = scratch_path(f.spark, "coverage")
+    for batch in (0, 1, 2, 1):
+        part = f.fx_links.where(F.pmod("rank", F.lit(3)) == batch)
+        C.store_sketches(part, root, batch)
+    return C.stored_sketches(f.spark, root)
+
+
+@query("keyword_coverage_sketch", sql("""
+SELECT keyword, count(DISTINCT post_id) AS n_exact, true AS within_error
+FROM fx_links GROUP BY 1"""))
+def keyword_coverage_sketch(f):
+    exact = f.fx_links.groupBy("keyword").agg(F.countDistinct("post_id").alias("n_exact"))
+    off = F.abs(F.col("n_posts") - F.col("n_exact"))
+    return C.coverage(stored_coverage(f)).join(exact, "keyword").select(
+        "keyword", "n_exact",
+        (off <= F.ceil(C.stated_error() * F.col("n_exact"))).alias("within_error"))
+
+
+# The days of a year are small sets, which sketches count exactly.
+query("coverage_by_day_sketch", sql(f"""
+SELECT {DAY.format('fetched_at')} AS day, count(DISTINCT post_id) AS n_posts FROM fx_links
+WHERE {DAY.format('fetched_at')} BETWEEN '1996-01-01' AND '1996-12-31' GROUP BY 1"""))(
+    lambda f: C.coverage(stored_coverage(f), ["day"], "1996-01-01", "1996-12-31"))
 query("top_linked_keywords", sql("""
 SELECT keyword, count(*) AS n_links FROM fx_links GROUP BY 1
 ORDER BY n_links DESC, keyword LIMIT 5"""))(lambda f: M.top_linked_keywords(f.fx_links))
