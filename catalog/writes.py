@@ -9,7 +9,7 @@ from catalog.registry import query
 from hearsay.operators import merge as G, worklist as W
 from hearsay.schema import SCHEMAS
 from hearsay.session import scratch_path
-from hearsay.sources import buckets as BK, sinks, tables as T
+from hearsay.sources import buckets as BK, generations as GN, sinks, tables as T
 
 DAY_START = "EPOCH({0}) - EPOCH({0}) % 86400"
 
@@ -222,6 +222,25 @@ query("schema_evolve_union", duck("SELECT " + ", ".join(
     + ", ".join(f'"{c}"' for c in EVOLVED) + " FROM fx_bili_videos"))(
     lambda f: G.evolve(f.fx_bili_videos.select("bvid", "title", "aid"), SCHEMAS["bili_videos"])
     .unionByName(G.evolve(f.fx_bili_videos, SCHEMAS["bili_videos"])))
+
+
+@query("schema_generations", duck("""
+SELECT bvid, title, "view", NULL::VARCHAR AS tags, 0::BIGINT AS generation FROM fx_bili_videos
+UNION ALL SELECT bvid, NULL, "view", tags, 1 FROM fx_bili_videos
+UNION ALL SELECT bvid, title, "view" + 5000000000, tags, 2 FROM fx_bili_videos"""))
+def schema_generations(f):
+    # Three generations of a table on disk: views grow from int to bigint, ids from whole numbers
+    # to text, a column comes and another goes and comes back.
+    root = scratch_path(f.spark, "generations")
+    v = f.fx_bili_videos
+    GN.write_generation(v.select(F.col("bvid").cast("bigint"), "title",
+                                 F.col("view").cast("int")), root)
+    GN.write_generation(v.select("bvid", "view", "tags"), root)
+    GN.write_generation(v.select("tags", "bvid", "title",
+                                 (F.col("view") + 5_000_000_000).alias("view")), root)
+    return GN.read_generations(f.spark, root)
+
+
 query("scan_filter", duck("""
 SELECT * FROM fx_posts WHERE like_count > 500 AND (platform = 'bili' OR platform = 'weibo')"""))(
     lambda f: T.scan(f.fx_posts, "like_count > 500 AND (platform = 'bili' OR "
