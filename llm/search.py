@@ -7,12 +7,12 @@ longest vector, a query by zero; then the largest inner products are the smalles
    every vector is put in the list of its nearest centroid. A list of more than ``SLICE_ROWS``
    vectors is cut into slices, so a list with a third of all vectors is many tasks. A task holds the
    candidates of one slice; the queries that probe it stream past them.
-2. A query looks at the sample and probes the ``PROBES`` share of the lists whose centroids are
-   nearest.
-3. Within a list, vectors are rotated at random and read in blocks of ``BLOCK`` columns. After d of D
+2. A query probes the ``PROBES`` share of the lists whose centroids are nearest, in two turns. In the
+   ``FIRST`` share of these it meets all vectors; the k-th best id found there is a true bound on its
+   answer and the limit of the second turn.
+3. In the second turn, vectors are rotated at random and read in blocks of ``BLOCK`` columns. After d of D
    columns the partial distance, scaled by D/d, estimates the whole; a candidate is abandoned when
-   a test says that the whole is beyond the query's limit with high probability. The limit is the
-   distance of the query to the k-th nearest other id of the sample, a true bound on its answer.
+   a test says that the whole is beyond the query's limit with high probability.
 4. Survivors are ranked by the inner product of the original vectors in double precision.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part;
@@ -39,26 +39,27 @@ SAMPLE = 4_000
 # Lists for n vectors: this times the square root of n.
 LISTS = 0.4
 MOST_LISTS = 1_024
-SLICE_ROWS = 4_000
-PROBES = 0.6
+SLICE_ROWS = 16_000
+PROBES = 0.75
+FIRST = 0.15
 BLOCK = 16
 # Width of the hypothesis test: larger abandons less.
 EPSILON = 2.4
+# Pairs of queries and candidates that are looked at together.
+PAIRS = 1 << 19
 
 
 class Index:
-    """Centroids, rotation and sample; its size does not depend on the table."""
+    """Centroids and rotation; its size does not depend on the table."""
 
-    def __init__(self, ids: np.ndarray, sample: np.ndarray, longest: float, rows: int):
-        """``ids`` are sorted; one id may have several vectors."""
-        self.longest, self.ids, self.plain = longest, ids, sample
-        self.distinct, self.starts = np.unique(ids, return_index=True)
+    def __init__(self, sample: np.ndarray, longest: float, rows: int):
+        self.longest = longest
         n = sample.shape[1] + 1
         rng = np.random.default_rng(31)
         self.rotation = np.linalg.qr(rng.normal(size=(n, n)))[0]
-        self.sample = self.extended(sample) @ self.rotation
+        sample = self.stored(sample)
         lists = int(min(MOST_LISTS, np.ceil(LISTS * np.sqrt(rows)), len(sample)))
-        self.centroids = _means(self.sample, lists)
+        self.centroids = _means(sample, lists)
 
     def extended(self, v: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0, self.longest**2 - np.square(v).sum(1)))
@@ -72,18 +73,12 @@ class Index:
         v = v * (self.longest / np.sqrt(np.square(v).sum(1, keepdims=True)))
         return np.concatenate([v, np.zeros((len(v), 1))], 1) @ self.rotation
 
-    def limits(self, asks: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-        """The squared distance within which the ``k`` nearest other ids of each query (its id and
-        vector) lie: an id of the sample counts once, the query's own does not."""
-        if len(self.distinct) < k:
-            return np.full(len(q), np.inf)
-        d = _squares(q, self.sample)
-        if len(self.distinct) < len(self.ids):
-            d = np.minimum.reduceat(d, self.starts, axis=1)
-        at = np.minimum(np.searchsorted(self.distinct, asks), len(self.distinct) - 1)
-        own = np.flatnonzero(self.distinct[at] == asks)
-        d[own, at[own]] = np.inf
-        return np.partition(d, k - 1, 1)[:, k - 1] * (1 + 1e-9)
+    def limits(self, ask: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """The squared distance of :meth:`asked` queries at which the inner product is ``floor``
+        (NaN: no limit)."""
+        length = np.sqrt(np.square(ask).sum(1))
+        limit = 2 * self.longest**2 - 2 * self.longest * floor / length
+        return np.where(np.isnan(floor), np.inf, limit + 1e-9 * self.longest**2)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,7 +118,8 @@ def in_lists(batches: Iterator[pa.RecordBatch], index: Index, k: int
              ) -> Iterator[pa.RecordBatch]:
     """The ``k`` best of every query among the candidates of its (list, slice). Rows are sorted by
     list, slice and query: the candidates of a group are held, and the queries behind them, of
-    which there may be any number, pass batch by batch."""
+    which there may be any number, pass batch by batch. With a column ``floor`` (null: none) the
+    candidates are scanned for inner products of at least that, without it all are met."""
     keys, group, held, x = ["list", "slice", "query"], None, [], None
     for batch in batches:
         if not batch.num_rows:
@@ -143,15 +139,38 @@ def in_lists(batches: Iterator[pa.RecordBatch], index: Index, k: int
             if x is None:
                 own = pa.Table.from_batches(held)
                 ids, v = own.column("vec_id").to_numpy(), rows_of(own.column("v"))
+                order = np.argsort(ids, kind="stable")
+                ids, v = ids[order], v[order]
+                distinct, starts = np.unique(ids, return_index=True)
                 x = index.stored(v)
-            for lo in range(0, part.num_rows, 128):
-                some = part.slice(lo, 128)
+            step = max(1, min(128, PAIRS // len(x)))
+            for lo in range(0, part.num_rows, step):
+                some = part.slice(lo, step)
                 ask, asks = rows_of(some.column("v")), some.column("vec_id").to_numpy()
-                q = index.asked(ask)
-                i, j = scan(q, x, index.limits(asks, q, k))
+                if "floor" in some.schema.names:
+                    floor = some.column("floor").to_numpy(zero_copy_only=False).astype(float)
+                    i, j = scan(index.asked(ask), x, index.limits(ask, floor))
+                else:
+                    i, j = _met(ask, asks, v, starts, distinct, k)
                 yield _best(k, asks, ask, ids, v, i, j)
 
 
+def _met(ask, asks, v, starts, distinct, k) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) pairs among which the ``k`` best other ids of each query are; the rows of
+    an id are neighbours, from ``starts`` on."""
+    score = ask @ v.T
+    best = score if len(starts) == len(v) else np.maximum.reduceat(score, starts, axis=1)
+    at = np.minimum(np.searchsorted(distinct, asks), len(distinct) - 1)
+    own = np.flatnonzero(distinct[at] == asks)
+    if len(distinct) <= k + 1:
+        return tuple(np.indices(score.shape).reshape(2, -1))
+    best = best.copy() if best is score else best
+    best[own, at[own]] = -np.inf
+    last = np.partition(best, len(distinct) - k, 1)[:, len(distinct) - k]
+    # A little below, because the scores that count are summed in another order.
+    return np.nonzero(score >= (last - 1e-9 * (1 + np.abs(last)))[:, None])
+
+
 def _best(k, asks, ask, ids, v, i, j) -> pa.RecordBatch:
     """The ``k`` best ids of the pairs (query i, candidate j) of every query."""
     other = asks[i] != ids[j]
@@ -186,11 +205,9 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Index | None]:
     share = min(1.0, SAMPLE / shape["rows"])
     # By id and vector, so the many vectors of one id do not enter together.
     pick = F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = (good if share == 1 else good.where(pick)).collect()
-    rows.sort(key=lambda r: (r["vec_id"], r["v"]))
-    ids, v = np.array([r["vec_id"] for r in rows], np.int64), [r["v"] for r in rows]
-    return good, Index(ids, np.array(v).reshape(len(v), shape["n"]), shape["longest"],
-                       shape["rows"])
+    rows = (good if share == 1 else good.where(pick)).select("v").collect()
+    v = sorted(r["v"] for r in rows)
+    return good, Index(np.array(v).reshape(len(v), shape["n"]), shape["longest"], shape["rows"])
 
 
 def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, probes: float = PROBES
@@ -204,57 +221,60 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, probes: floa
                            F.lit(0.0).alias("score")).limit(0)
     lists = len(index.centroids)
     probed = max(1, int(np.ceil(probes * lists)))
+    first = max(1, int(np.ceil(FIRST * probed)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of every list: its vectors (query is false) and the queries that probe it."""
+        """Rows of every list: its vectors (turn 0) and the queries that probe it (turn 1 or 2)."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             v, ids = rows_of(batch.column("v")), batch.column("vec_id").to_numpy()
             near = _squares(index.stored(v), index.centroids).argmin(1)
             asks = np.flatnonzero(ids % step == 0)
-            parts = [(np.arange(len(v)), near, False)]
+            parts = [(np.arange(len(v)), near, np.zeros(len(v)))]
             if len(asks):
                 d = _squares(index.asked(v[asks]), index.centroids)
-                best = np.argpartition(d, probed - 1, 1)[:, :probed]
-                parts.append((np.repeat(asks, probed), best.ravel(), True))
-            for rows, at, query in parts:
+                best = np.argsort(d, 1, kind="stable")[:, :probed]
+                turn = np.where(np.arange(probed) < first, 1, 2)
+                parts.append((np.repeat(asks, probed), best.ravel(), np.tile(turn, len(asks))))
+            for rows, at, turn in parts:
                 taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at.astype(np.int32)), pa.array(np.full(len(rows), query)),
+                    [pa.array(at.astype(np.int32)), pa.array(turn.astype(np.int32)),
                      taken.column("vec_id"), taken.column("v")],
-                    ["list", "query", "vec_id", "v"])
+                    ["list", "turn", "vec_id", "v"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_lists(batches, index, k)
 
-    def in_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                ask = rows_of(part.column("v"))
-                asks = part.column("vec_id").to_numpy()
-                limit = index.limits(asks, index.asked(ask), k)[:, None]
-                i, j = np.nonzero(_squares(index.asked(ask), index.sample) <= limit)
-                yield _best(k, asks, ask, index.ids, index.plain, i, j)
-
     rows = cut(arrow(good.select("vec_id", "v"), place,
-                     "list int, query boolean, vec_id bigint, v array<double>"), "lists")
-    sizes = rows.where("not query").groupBy("list").agg(
+                     "list int, turn int, vec_id bigint, v array<double>"), "lists")
+    sizes = rows.where("turn = 0").groupBy("list").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(SLICE_ROWS)).cast("int").alias("slices"))
     sized = rows.join(sizes, "list")
-    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    spread = sized.where("not query").select(
-        "list", "query", "vec_id", "v",
-        F.pmod(F.xxhash64("vec_id", "v", F.lit(5)), F.col("slices")).cast("int").alias("slice"),
-    ).union(sized.where("query").select("list", "query", "vec_id", "v", every))
-    found = arrow(
-        spread.repartition("list", "slice").sortWithinPartitions("list", "slice", "query"),
-        search, schema)
-    asks = good.where(F.col("vec_id") % step == 0).select("vec_id", "v")
-    # A vector of the sample is found in its list as well.
-    found = found.union(arrow(asks, in_sample, schema)).groupBy("query_id", "vec_id").agg(
-        F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+    held = sized.where("turn = 0").withColumn(
+        "slice", F.pmod(F.xxhash64("vec_id", "v", F.lit(5)), F.col("slices")).cast("int"))
+    # A query goes to every slice of a list that it probes.
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    asked = sized.where("turn > 0").withColumn("slice", every)
+
+    def turn(number: int, *floor: str) -> DataFrame:
+        groups = ["list", "slice"]
+        columns = [*groups, (F.col("turn") > 0).alias("query"), "vec_id", "v"]
+        there = held.withColumn("floor", F.lit(None).cast("double")) if floor else held
+        wanted = asked.where(F.col("turn") == number)
+        if floor:
+            wanted = wanted.join(floors, F.col("vec_id") == F.col("query_id"), "left")
+        both = there.select(*columns, *floor).union(wanted.select(*columns, *floor))
+        return arrow(both.repartition(*groups).sortWithinPartitions(*groups, "query"),
+                     search, schema)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    begun = cut(ranked(turn(1)), "first-turn")
+    floors = begun.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    return ranked(begun.drop("rank").unionByName(turn(2, "floor"))).select(
         "query_id", "rank", "vec_id", "score")

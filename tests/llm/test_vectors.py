@@ -184,7 +184,7 @@ def test_queries_of_a_list_stream_past_its_candidates():
     """A task answers each batch of queries before it reads the next, across batch borders."""
     rng = np.random.default_rng(9)
     v = rng.normal(size=(60, 8))
-    index = search.Index(np.arange(60), v, float(np.sqrt(np.square(v).sum(1)).max()), 60)
+    index = search.Index(v, float(np.sqrt(np.square(v).sum(1)).max()), 60)
     read = []
 
     def batches():
