@@ -58,6 +58,25 @@ def held_out(doc_id: str, of: int, remainder: int) -> Column:
     return F.coalesce(crc % of == remainder, F.lit(False))
 
 
+def every_column(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    """The name of a column as an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def one_text_per_id(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``known`` (_id and columns of its own, one row per id, few enough to be broadcast) with the
+    text of its document. Of rows that share an id the one whose text has the smallest hash counts,
+    so there are never more rows than ids."""
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(known), "_id")
+    order = F.struct(F.xxhash64("text"), F.xxhash64(F.lit("second"), "text"))
+    return rows.groupBy(*known.columns).agg(F.min_by("text", order).alias("text"))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Regroup a partition sorted by ``keys`` into tables that never split a key."""
     kept: list[pa.RecordBatch] = []

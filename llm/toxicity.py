@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 1. A lexicon is mined from labelled rows: lower-case words and word beginnings that occur far more
-   often in toxic than in other texts. Copies and near copies of a text count once.
+   often in toxic than in other texts. Equal texts count once.
 2. Voters: slices of the lexicon (by kind of term and strength) and patterns of the writing (upper
    case, symbol runs, repetitions and the like). A voter fires on a text or does not.
 3. A generative model with a hidden label explains the votes: how often each voter fires for
@@ -25,10 +25,11 @@ from typing import Iterator, NamedTuple, Sequence
 import numpy as np
 import pyarrow as pa
 from pyarrow import compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from llm import words
-from llm.shared import arrow, cut, held_out
+from llm.shared import arrow, cut, every_column, held_out, one_text_per_id
 
 FOLDS, HELD_OUT = 3, 1
 # Bounds of the fit: labelled rows, and terms of the lexicon.
@@ -149,20 +150,6 @@ def _finder(terms: np.ndarray):
     return find
 
 
-def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest three-word hash of each text: near copies mostly share it."""
-    for batch in batches:
-        low = np.zeros(batch.num_rows, np.uint64)
-        for c in words.chunks(batch.column("text")):
-            h, bounds = words.shingles(c.raw, c.offsets, 3)
-            some = np.flatnonzero(np.diff(bounds))
-            if len(some):
-                low[c.lo + some] = np.minimum.reduceat(h, bounds[some])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("text"), batch.column("toxic"), pa.array(low.view(np.int64))],
-            ["text", "toxic", "low"])
-
-
 def fit_label_model(votes: np.ndarray, start: np.ndarray, prior: np.ndarray | None = None,
                     rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Posterior probability of the hidden label for each row of a 0/1 vote matrix, and each
@@ -256,12 +243,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         .groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
-    # At most ``sample`` rows of two numbers.
-    text = docs.select(F.col("doc_id").alias("_id"), "text")
-    texts = text.join(F.broadcast(known), "_id").select("text", F.col("_toxic").alias("toxic"))
-    texts = cut(
-        arrow(texts, _signature, "text string, toxic int, low bigint").dropDuplicates(["low"]),
-        "toxic-sample")
+    # At most ``sample`` rows of two numbers; equal texts are one, toxic if any of them is.
+    texts = one_text_per_id(docs, known).groupBy(
+        F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit("second"), "text").alias("_k2")
+    ).agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic"))
+    texts = cut(texts.select("text", "toxic"), "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
@@ -324,7 +310,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return _scored(docs, model, ("doc_id",)).select("doc.doc_id", "held_out", "score")
 
 
-def _scored(docs: DataFrame, model: Model | None, carry: Sequence[str]) -> DataFrame:
+def _scored(docs: DataFrame, model: Model | None, carry: Sequence[str | Column]) -> DataFrame:
     """doc (struct of the ``carry`` columns), held_out and score."""
     if model is None:
         return docs.select(
@@ -348,11 +334,11 @@ def _scored(docs: DataFrame, model: Model | None, carry: Sequence[str]) -> DataF
 
     rows = docs.select(F.struct(*carry).alias("doc"),
                        held_out("doc_id", FOLDS, HELD_OUT).alias("held_out"), "text")
-    kind = rows.schema["doc"].dataType.simpleString()
-    return arrow(rows, run, f"doc {kind}, held_out boolean, score double")
+    out = StructType().add(rows.schema["doc"]).add("held_out", "boolean").add("score", "double")
+    return arrow(rows, run, out)
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below the threshold, with all their columns."""
-    scored = _scored(docs, fit(docs, labels), docs.columns)
+    scored = _scored(docs, fit(docs, labels), every_column(docs))
     return scored.where(F.col("score") < THRESHOLD).select("doc.*")

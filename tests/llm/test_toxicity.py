@@ -73,3 +73,33 @@ def test_held_out_labels_change_nothing(spark):
     flipped = labels.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.fit(docs, labels), toxicity.fit(docs, flipped)
     assert (a is None and b is None) or np.allclose(a.weights, b.weights)
+
+
+def _precision_and_recall(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).toPandas()
+    known = got.merge(labels.toPandas(), on="doc_id")
+    known = known[known.held_out]
+    hit = ((known.score >= toxicity.THRESHOLD) & (known.toxic == 1)).sum()
+    return hit / max(1, (known.score >= toxicity.THRESHOLD).sum()), hit / known.toxic.sum()
+
+
+def test_a_header_that_all_texts_share_merges_none(spark):
+    """Texts are told apart by all their words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    header = " ".join(f"h{k}" for k in range(400))
+    plain = _precision_and_recall(spark, docs)
+    headed = _precision_and_recall(spark, docs.withColumn("text", F.concat(F.lit(header + " "), "text")))
+    assert plain[0] >= 0.9 and headed[0] >= 0.9
+    assert plain[1] >= 0.5 and headed[1] >= plain[1] - 0.12
+
+
+def test_an_id_of_many_rows_counts_once_and_reruns_agree(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").orderBy("doc_id").first()
+    many = docs.union(spark.range(3000).select(
+        F.lit(one.doc_id), F.concat(F.lit("again "), F.col("id").cast("string"))))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    a = toxicity.fit(many, labels)
+    b = toxicity.fit(many.repartition(7), labels)
+    assert np.array_equal(a.terms, b.terms) and np.allclose(a.weights, b.weights)
