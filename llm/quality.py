@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from llm import words
-from llm.shared import arrow, held_out
+from llm.shared import arrow, held_out, one_text_per_id
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 20_000
 THRESHOLD = 0.3
-WORDS, SHAPES = 1 << 13, 1 << 10
+WORDS, SHAPES = 1 << 13, 1_536
 DIM = 32
 REACH = 2
 HIDDEN = 32
@@ -85,8 +85,8 @@ def _tokens(c: words.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = np.where(symbol > 0, c.raw[w.end - 1] % 8, 0).astype(np.int64)
     size = np.minimum(3, length // 5)
     shape = (((case * 2 + (digit > 0)) * 3 + np.minimum(symbol, 2)) * 8 + last) * 2 + again
-    shape = shape * 4 + size  # below 1,536
-    return (h >> _U(51)).astype(np.int64), WORDS + shape % SHAPES, w.first
+    shape = shape * 4 + size  # below SHAPES
+    return (h >> _U(51)).astype(np.int64), WORDS + shape, w.first
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def temperature(out: np.ndarray, y: np.ndarray) -> float:
         z = out / t
         return float(np.mean(np.logaddexp(0, z) - y * z))
 
-    return min(np.geomspace(1, 8, 60), key=loss)
+    return min(np.geomspace(1, 64, 120), key=loss)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -199,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         .groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
-    # At most ``sample`` rows of two numbers.
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(known), "_id")
+    # At most ``sample`` rows of two numbers, and one text for each.
+    texts = one_text_per_id(docs, known)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -69,3 +69,28 @@ def test_edge_rows(spark):
     assert {r.score for r in quality.score(docs, None).collect()} == {1.0}
     assert quality.score(docs.limit(0), model).count() == 0
     assert quality.fit(docs.limit(0), labels) is None
+
+
+def test_an_id_of_many_rows_trains_once(spark, monkeypatch):
+    """The bound holds for rows, not only for ids, and reruns agree."""
+    rows = [(i, ("the cat sat on a mat " if i % 2 else "%%% ### !! ") + str(i)) for i in range(60)]
+    rows += [(7, f"the dog number {k} sat") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    seen, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append(len(x)) or train(x, y))
+    a = quality.fit(docs, labels)
+    b = quality.fit(docs.repartition(3), labels)
+    assert seen[0] <= 60 and seen[0] == seen[1]
+    assert all(np.allclose(p, q) for p, q in zip(a.layers, b.layers))
+
+
+def test_every_shape_has_a_vector(spark):
+    import pyarrow as pa
+    text = " ".join(("A" * n + "b" * m + "9" * d + "%" * s) for n in range(3) for m in range(9)
+                    for d in range(2) for s in range(4) if n + m + d + s)
+    (c,) = words.chunks(pa.array([text]))
+    _, shape, _ = quality._tokens(c)
+    assert quality.WORDS <= shape.min() and shape.max() < quality.WORDS + quality.SHAPES
+    mixed = quality._tokens(next(words.chunks(pa.array(["McDonald mcdonald"]))))[1]
+    assert mixed[0] != mixed[1]
