@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from llm import words
 from llm.components import components, roots
 from llm.shared import (
-    arrow, binary, cut, group_bounds, matrix, row_id, whole_groups,
+    arrow, binary, cut, every_column, group_bounds, matrix, row_id, whole_groups,
 )
 
 SHINGLE = 5
@@ -281,9 +281,9 @@ def classes(docs: DataFrame) -> DataFrame:
         groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
     wanted = texts.where("some").select(
         F.col("first").alias("id"), "k1", "k2", "node", "copies").join(groups, "node")
-    members = rows.join(
-        wanted, ["id", "k1", "k2"]
-    ).select("component", "node", "copies", "n", "text")
+    # Rows that repeat the id and the text are one member; the join has dealt them already.
+    members = rows.join(wanted, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select(
+        "component", "node", "copies", "n", "text")
     spread = in_blocks(members, "component", "n", TEXT_BLOCK)
     found = cut(arrow(
         spread.select("component", "lo", "hi", "own", "node", "copies", "text")
@@ -318,7 +318,7 @@ def join(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with one of each class left, the one with the smallest id; texts without
     words all stay."""
-    rows = _keyed(docs, F.struct(*docs.columns).alias("doc")).withColumn(
+    rows = _keyed(docs, F.struct(*every_column(docs)).alias("doc")).withColumn(
         "some", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).drop("text")
     first = classes(docs).where(F.col("some") & F.col("leads")).select(
         F.col("first").alias("id"), "k1", "k2")

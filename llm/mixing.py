@@ -16,7 +16,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from llm.shared import cut
+from llm.shared import cut, every_column
 
 # Slices of the shuffled order of one source: a hot source is summed and ranked in that many
 # independent pieces.
@@ -66,7 +66,7 @@ def source_targets(
     )
 
 
-def schedule(docs: DataFrame, carry: Sequence[str] = ("doc_id",), slices: int = SLICES,
+def schedule(docs: DataFrame, carry: Sequence[str | Column] = ("doc_id",), slices: int = SLICES,
              **targets) -> DataFrame:
     """One row per document: ``doc`` (struct of the ``carry`` columns), size, source_size,
     target, finish (virtual finish time of its first copy) and copies (how many are taken).
@@ -118,7 +118,7 @@ def schedule(docs: DataFrame, carry: Sequence[str] = ("doc_id",), slices: int =
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the taken copies with all columns of ``docs``, globally sorted by
     virtual finish time. A document that is taken twice occurs twice, one round apart."""
-    timed = schedule(docs, carry=docs.columns, **options)
+    timed = schedule(docs, carry=every_column(docs), **options)
     copies = timed.where("copies > 0").select(
         "doc", "finish", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_round"),
         (F.col("source_size") / F.col("target")).alias("_lap"),
