@@ -97,3 +97,16 @@ def test_all_queries_are_registered():
     entry = importlib.import_module("__spark_entry__")
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+def test_stages_take_columns_of_any_name(spark):
+    from llm import jaccard, mixing, repeats, toxicity
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, text if i < 3 else f"{i} {text} {i}", "s", i, "x") for i in range(12)]
+    docs = spark.createDataFrame(
+        rows, "doc_id bigint, text string, source string, `a.b` int, `it``s` string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, toxic int")
+    for stage in (lambda d: toxicity.reject(d, labels), mixing.mix, jaccard.dedup, repeats.clean):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert {r["a.b"] == r.doc_id and r["it`s"] for r in out.collect()} == {"x"}

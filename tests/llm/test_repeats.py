@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from llm import repeats
@@ -36,10 +37,11 @@ def run(docs):
     return sorted(map(tuple, got.collect()), key=repr)
 
 
-@pytest.mark.parametrize("frequent", [2000, 1])
-def test_equals_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(repeats, "FREQUENT", frequent)
-    rng = random.Random(frequent)
+@pytest.mark.parametrize("most", [1 << 19, 1500, 1])
+def test_equals_brute_force(spark, monkeypatch, most):
+    """With partitions of the anchor's words, of a longer stretch, and of whole windows."""
+    monkeypatch.setattr(repeats, "GROUP_WORDS", most)
+    rng = random.Random(most)
     words = [f"w{k}" for k in range(40)] + ["é", "日本", "X|Y", "\x1c"]
     passages = [[rng.choice(words) for _ in range(n)] for n in (49, 50, 51, 80, 200)]
     rows = []
@@ -69,3 +71,45 @@ def test_query_over_the_whole_table(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = QUERIES["op9_substring_dedup"](spark, sf).collect()
     assert sorted(map(tuple, got), key=repr) == brute([(d.doc_id, d.text) for d in docs])
+
+
+def test_suffix_order_and_common_prefixes():
+    rng = np.random.default_rng(2)
+    text = rng.integers(0, 2, 400).astype(np.uint64)
+    text[150:290] = text[:140]
+    at = np.concatenate([np.arange(0, 200 - N + 1), np.arange(200, 400 - N + 1)])
+    end = np.where(at < 200, 200, 400)
+    tree = np.arange(len(at)) % 2
+    order, common = repeats.suffix_order(text, at, end, tree)
+    rows = [(tree[k], text[at[k] : at[k] + N].tolist()) for k in order]
+    assert rows == sorted(rows)
+    for n in range(1, len(order)):
+        a, b = order[n - 1], order[n]
+        x, y = text[at[a] : end[a]].tolist(), text[at[b] : end[b]].tolist()
+        same = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        assert common[n] == (min(same, 63) if tree[a] == tree[b] else 0)
+    assert (common >= N).any()
+
+
+@pytest.mark.parametrize("most", [1 << 19, 20_000])
+def test_a_very_common_start(spark, monkeypatch, most):
+    """A third of the texts begin alike and go on in a few hundred ways."""
+    monkeypatch.setattr(repeats, "GROUP_WORDS", most)
+    rng = random.Random(3)
+    head = [f"h{k}" for k in range(30)]
+    rows = []
+    for i in range(900):
+        body = [f"{i}x{k}" for k in range(20)]
+        if i % 3 == 0:
+            way = i % 101
+            body = head + [f"{way}y{k}" for k in range(rng.randrange(15, 60))] + body
+        rows.append((i, " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert run(docs) == brute(rows)
+
+
+def test_one_row_three_thousand_times(spark):
+    text = " ".join(f"w{k}" for k in range(900))
+    rows = [(5, text)] * 3000 + [(None, text)] * 50 + [(4, "a " + text[: len(text) // 2]), (9, text)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    assert run(docs) == brute(rows)
