@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, functions as F
 
 # URL prefixes of the unified views.
@@ -25,6 +27,12 @@ URL_PATTERNS = [
 ]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` names it. A Column
+    is a tree: written out, every mention is computed again, and nested ones multiply."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def utc_day(epoch: Column) -> Column:
     """Epoch seconds -> 'yyyy-MM-dd' in UTC."""
     days = F.floor(epoch / 86400).try_cast("int")

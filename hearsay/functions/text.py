@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from hearsay.functions.scalars import once
+
 # Clause boundaries, and the characters a hot word must contain.
 CLAUSE_REGEX = "[，。！？；：、\\.,!?;:\\n\\r\\t…~　\\s]+|[~～]+"
 CJK_REGEX = "[一-鿿㐀-䶿]"
@@ -36,14 +38,19 @@ _LEGACY = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=le
 
 def _numeric(piece: Column) -> Column:
     """``#20013;`` and ``#x4e2d;`` as characters; an unknown code stays as it is."""
-    number = F.regexp_extract(piece, r"^#(x?)([0-9a-fA-F]++);", 2)
-    code = F.when(piece.startswith("#x"), F.conv(number, 16, 10)).when(
-        number.rlike("^[0-9]++$"), number
-    ).try_cast("bigint")
-    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    rest = F.regexp_replace(piece, r"^#x?[0-9a-fA-F]++;", "")
-    return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+    def read(number: Column) -> Column:
+        code = F.when(piece.startswith("#x"), F.conv(number, 16, 10)).when(
+            number.rlike("^[0-9]++$"), number
+        ).try_cast("bigint")
+        return once(code, written)
+
+    def written(code: Column) -> Column:
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.regexp_replace(piece, r"^#x?[0-9a-fA-F]++;", "")
+        return F.when(valid, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+    return once(F.regexp_extract(piece, r"^#(x?)([0-9a-fA-F]++);", 2), read)
 
 
 def _named(piece: Column) -> Column:
@@ -51,17 +58,22 @@ def _named(piece: Column) -> Column:
     semicolon; an unknown name stays as it is."""
     # A constant: it is folded to one map when the query is planned.
     known = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
-    name = F.regexp_extract(piece, r"^[a-zA-Z0-9]++;", 0)
-    short = F.regexp_extract(piece, "^(?:" + "|".join(_LEGACY) + ")", 0)
-    found = F.when(name != "", F.try_element_at(known, name))
-    old = F.when(short != "", F.try_element_at(known, short))
-    usual = F.lit(None).cast("string")
-    for entity, char in [*ENTITIES, ("&amp;", "&")]:
-        usual = F.when(name == entity[1:], char).otherwise(usual)
     size = F.char_length(piece)
+
+    def whole(name: Column) -> Column:
+        usual = F.lit(None).cast("string")
+        for entity, char in [*ENTITIES, ("&amp;", "&")]:
+            usual = F.when(name == entity[1:], char).otherwise(usual)
+        found = F.coalesce(usual, F.when(name != "", F.try_element_at(known, name)))
+        return F.concat(found, F.substring(piece, F.char_length(name) + 1, size))
+
+    def old(short: Column) -> Column:
+        found = F.when(short != "", F.try_element_at(known, short))
+        return F.concat(found, F.substring(piece, F.char_length(short) + 1, size))
+
     return F.coalesce(
-        F.concat(F.coalesce(usual, found), F.substring(piece, F.char_length(name) + 1, size)),
-        F.concat(old, F.substring(piece, F.char_length(short) + 1, size)),
+        once(F.regexp_extract(piece, r"^[a-zA-Z0-9]++;", 0), whole),
+        once(F.regexp_extract(piece, "^(?:" + "|".join(_LEGACY) + ")", 0), old),
         F.concat(F.lit("&"), piece),
     )
 
@@ -85,9 +97,10 @@ def _last(text: Column, mark: str) -> Column:
 def _closed(text: Column, mark: str, opening: str) -> Column:
     """``opening`` made inert behind the last ``mark`` that could close it. A pattern that looks
     for the mark then always finds it, so its scans do not add up to the square of the text."""
-    rest = F.substring_index(text, mark, -1)
-    return F.concat(_last(text, mark), F.replace(
-        rest, F.lit(opening), F.lit(opening.replace("<", _OPEN))))
+    inert = F.lit(opening.replace("<", _OPEN))
+    return once(text, lambda t: once(F.substring_index(t, mark, -1), lambda rest: F.concat(
+        F.left(t, F.char_length(t) - F.char_length(rest)),
+        F.replace(rest, F.lit(opening), inert))))
 
 
 def _reopened(text: Column) -> Column:
@@ -99,21 +112,25 @@ def strip_html(text: Column, sep: str = " ", strip: bool = False) -> Column:
 
     Text without '<' is returned as it is, NULL as ''.
     """
-    # An unclosed comment is a tag up to the next ">"; behind the last ">" nothing is.
-    shut = F.regexp_replace(_closed(_closed(text, ">", "<"), "-->", "<!--"), _HIDDEN, _NODE)
-    tags = F.regexp_replace(_closed(_reopened(shut), ">", "<"), _TAG, _NODE)
-    nodes = _reopened(F.regexp_replace(tags, f"{_NODE}++", _NODE))
-    if strip:
-        nodes = F.regexp_replace(nodes, f"{_NODE}[{_SPACES}{_NODE}]*+", _NODE)
-        nodes = F.array_join(F.filter(F.transform(
-            F.split(nodes, _NODE), lambda n: F.trim(n, F.lit(_BLANKS))), lambda n: n != ""), _NODE)
-    else:
-        nodes = F.trim(nodes, F.lit(_NODE))
-    plain = F.replace(nodes, F.lit(_NODE), F.lit(sep))
-    text = F.coalesce(text, F.lit(""))
+    def plain(source: Column) -> Column:
+        # An unclosed comment is a tag up to the next ">"; behind the last ">" nothing is.
+        shut = F.regexp_replace(
+            _closed(_closed(source, ">", "<"), "-->", "<!--"), _HIDDEN, _NODE)
+        tags = F.regexp_replace(_closed(_reopened(shut), ">", "<"), _TAG, _NODE)
+        nodes = _reopened(F.regexp_replace(tags, f"{_NODE}++", _NODE))
+        if strip:
+            nodes = F.regexp_replace(nodes, f"{_NODE}[{_SPACES}{_NODE}]*+", _NODE)
+            nodes = F.array_join(F.filter(F.transform(
+                F.split(nodes, _NODE), lambda n: F.trim(n, F.lit(_BLANKS))),
+                lambda n: n != ""), _NODE)
+        else:
+            nodes = F.trim(nodes, F.lit(_NODE))
+        return F.replace(nodes, F.lit(_NODE), F.lit(sep))
+
     # Cheap tests of the source decide, so most texts take a short branch.
-    return F.when(~text.contains("<"), text).when(~text.contains("&"), plain).otherwise(
-        _decoded(plain))
+    return once(F.coalesce(text, F.lit("")), lambda source: F.when(
+        ~source.contains("<"), source).otherwise(once(plain(source), lambda p: F.when(
+            source.contains("&"), _decoded(p)).otherwise(p))))
 
 
 def drop_tags(text: Column) -> Column:

@@ -170,3 +170,22 @@ def test_best_path_equals_all_paths(spark):
         pass
     else:
         raise AssertionError("an oversized dictionary must be refused")
+
+
+def test_every_step_of_strip_html_is_computed_once(spark):
+    df = spark.createDataFrame([("<p>a</p>",)], "t string")
+    for strip in (False, True):
+        out = df.select(X.strip_html(F.col("t"), "\n", strip).alias("v"))
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        # Three marks are looked for; written out as a tree, the same steps came up dozens of times.
+        assert text.count("substring_index(") == 3
+        assert text.count("(script|style|template)") == 1
+        assert out.first().v == "a"
+
+
+def test_references_are_read_once(spark):
+    df = spark.createDataFrame([("<i>&lt;&#65;&AMP&x;</i>",)], "t string")
+    out = df.select(X.strip_html(F.col("t")).alias("v"))
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract(") == 3
+    assert out.first().v == "<A&&x;"
