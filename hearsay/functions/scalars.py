@@ -47,26 +47,23 @@ def utc_text(epoch: Column) -> Column:
 
 def lenient_int(text: Column) -> Column:
     """Digits-only text -> bigint; anything else (signs, decimals, words, NULL) -> 0."""
-    trimmed = F.trim(text)
-    return F.coalesce(
-        F.when(trimmed.rlike("^[0-9]+$"), trimmed.try_cast("bigint")), F.lit(0).cast("bigint")
-    )
+    number = once(F.trim(text), lambda t: F.when(t.rlike("^[0-9]+$"), t.try_cast("bigint")))
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def lenient_int_variant(value: Column) -> Column:
     """The same for a JSON value, whose type decides: integers stay, decimals are cut,
     digit strings are read, booleans and the rest become 0."""
-    kind = F.schema_of_variant(value)
-    zero = F.lit(0).cast("bigint")
-    return F.coalesce(
-        F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint"))
-        .when(kind == "STRING", lenient_int(F.try_variant_get(value, "$", "string")))
-        .when(
+    def read(value: Column, kind: Column) -> Column:
+        return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
+            kind == "STRING", lenient_int(F.try_variant_get(value, "$", "string"))
+        ).when(
             kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"),
             F.try_variant_get(value, "$", "double").try_cast("bigint"),
-        ),
-        zero,
-    )
+        )
+
+    found = once(value, lambda v: once(F.schema_of_variant(v), lambda kind: read(v, kind)))
+    return F.coalesce(found, F.lit(0).cast("bigint"))
 
 
 def first_present(*columns: Column, zero_is_missing: bool = False) -> Column:

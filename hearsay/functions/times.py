@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from hearsay.functions.scalars import once
+
 # Spellings the platforms use.
 JUST_NOW = "刚刚"
 MINUTES_AGO = r"(\d+)\s*分钟前"
@@ -41,7 +43,10 @@ def parse_post_time(text: Column, as_of: Column, utc_offset_seconds: int = 0) ->
     ``as_of`` (epoch seconds) stands for "now", so results are reproducible;
     ``utc_offset_seconds`` is the zone in which times without a zone are meant.
     """
-    t = F.trim(text)
+    return once(F.trim(text), lambda t: _post_time(t, as_of, utc_offset_seconds))
+
+
+def _post_time(t: Column, as_of: Column, utc_offset_seconds: int) -> Column:
     local_now = as_of + utc_offset_seconds
     today = local_now - F.pmod(local_now, F.lit(86400))
     year_now = F.year(F.date_add(F.lit("1970-01-01").cast("date"),

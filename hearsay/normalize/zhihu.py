@@ -160,10 +160,12 @@ def embedded_questions(pages: DataFrame, zero_is_missing: bool = False) -> DataF
     def count(camel: str, snake: str) -> Column:
         return _first("q", "bigint", camel, snake, zero_is_missing=zero_is_missing)
 
+    # A filter on the question would be pushed below the parser and read every page again.
+    own = F.array(F.try_element_at("questions", F.col("question_id").cast("string")))
     found = _entities(pages).select(
         "question_id", "topics", *carried(pages),
-        F.try_element_at("questions", F.col("question_id").cast("string")).alias("q"),
-    ).where(F.col("q").isNotNull())
+        F.explode(F.filter(own, lambda q: q.isNotNull())).alias("q"),
+    )
     listed = F.when(F.size(array_at("q", "topics")) > 0, array_at("q", "topics")).otherwise(
         array_at("q", "topicIds")
     )

@@ -305,3 +305,17 @@ def test_ingest_end_to_end_is_idempotent(spark, tmp_path, rows):
     twice = apply_batch(stored, batch, AS_OF)
     for t in ("bili_videos", "engagement_snapshots"):
         assert rows(twice[t]) == rows(once[t])
+
+
+def test_steps_of_a_post_time_and_of_an_embedded_page_are_computed_once(spark):
+    from hearsay.functions.times import parse_post_time
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    times = spark.createDataFrame([(" 5分钟前 ",)], "t string").select(
+        parse_post_time(F.upper("t"), F.lit(1718000000)).alias("v"))
+    assert times.first().v == 1717999700 and plan(times).count("upper(") == 1
+    pages = spark.createDataFrame([(7, "x"), (8, None)], "question_id bigint, html string")
+    # The filter on the page's own question does not read the page a second time.
+    assert plan(zhihu.embedded_questions(pages)).count("initialState,StructType") == 1
