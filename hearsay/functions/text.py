@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html.entities
 import json
-from typing import Callable, Iterable
+import re
+import string
+from typing import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -161,6 +164,56 @@ def regex_tokenizer(token_regex: str = r"\p{L}+", lower: bool = True) -> Tokeniz
     return tokens
 
 
+# Texts that a segmenter hands on together, and parts whose cuts a worker remembers.
+TEXTS_AT_ONCE = 256
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+
+
+def _parts(words: Iterable[str], whole_runs: bool) -> str:
+    """Pattern of the parts of a text that can be cut apart from each other: stretches of the
+    characters of longer dictionary words (and of runs), and every other character alone."""
+    inner = {c for w in words if len(w) > 1 for c in w}
+    if whole_runs:
+        inner |= set(string.ascii_letters + string.digits)
+    kept = "".join(re.escape(c) for c in sorted(inner))
+    return f"[{kept}]+|[^{kept}]" if inner else "(?s:.)"
+
+
+def _segmenter(cut: Callable[..., list[str]], shared: Broadcast) -> Tokenizer:
+    """Tokenizer that cuts parts of texts with ``cut(part, *values)``; the values, and the
+    pattern of the parts, are broadcast. A part that was met before is not cut again, and tokens
+    leave the worker after a few texts, so its memory does not grow with the batch."""
+    @F.arrow_udf(ArrayType(StringType()))
+    def segment(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pattern, *values = shared.value
+        parts, known = re.compile(pattern), {}
+
+        def tokens(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            out = []
+            for part in parts.findall(text):
+                if len(part) == 1:
+                    out.append(part)
+                    continue
+                found = known.get(part)
+                if found is None:
+                    found = cut(part, *values)
+                    if len(part) <= REMEMBERED_LENGTH:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[part] = found
+                out += found
+            return out
+
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                texts = batch.slice(at, TEXTS_AT_ONCE).to_pylist()
+                yield pa.array(map(tokens, texts), pa.list_(pa.string()))
+
+    return segment
+
+
 def max_match_tokenizer(
     spark: SparkSession, words: Iterable[str], max_words: int = 1_000_000,
     whole_runs: bool = True,
@@ -174,34 +227,25 @@ def max_match_tokenizer(
     vocabulary = frozenset(words)
     if len(vocabulary) > max_words:
         raise ValueError(f"{len(vocabulary)} words exceed the broadcast bound of {max_words}")
-    shared = spark.sparkContext.broadcast(
-        (vocabulary, max((len(w) for w in vocabulary), default=1))
-    )
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def match(texts: pd.Series) -> pd.Series:
-        known, longest = shared.value
-
-        def cut(text: str | None) -> list[str] | None:
-            if text is None:
-                return None
-            out, i, n = [], 0, len(text)
-            while i < n:
-                end = i + 1
-                if whole_runs and text[i].isascii() and text[i].isalnum():
-                    while end < n and text[end].isascii() and text[end].isalnum():
-                        end += 1
-                for j in range(min(n, i + longest), end, -1):
-                    if text[i:j] in known:
-                        end = j
-                        break
-                out.append(text[i:end])
-                i = end
-            return out
-
-        return texts.map(cut)
-
-    return match
+    shared = spark.sparkContext.broadcast((
+        _parts(vocabulary, whole_runs), vocabulary, max((len(w) for w in vocabulary), default=1)))
+
+    def cut(text: str, known: frozenset, longest: int) -> list[str]:
+        out, i, n = [], 0, len(text)
+        while i < n:
+            end = i + 1
+            if whole_runs and text[i].isascii() and text[i].isalnum():
+                while end < n and text[end].isascii() and text[end].isalnum():
+                    end += 1
+            for j in range(min(n, i + longest), end, -1):
+                if text[i:j] in known:
+                    end = j
+                    break
+            out.append(text[i:end])
+            i = end
+        return out
+
+    return _segmenter(cut, shared)
 
 
 # A word's cost is its negative log-likelihood in millionths, a whole number, so that equal paths
@@ -239,44 +283,37 @@ def best_path_tokenizer(
         raise ValueError(f"the dictionary exceeds the broadcast bound of {max_words} words")
     costs = {r.word: r.cost for r in rows}
     begins = {w[:k] for w in costs for k in range(1, len(w))}
-    shared = spark.sparkContext.broadcast((costs, begins, rows[0].unknown if rows else 0))
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def segment(texts: pd.Series) -> pd.Series:
-        costs, begins, unknown = shared.value
-
-        def cut(text: str | None) -> list[str] | None:
-            if text is None:
-                return None
-            n = len(text)
-            best, size = [0] * (n + 1), [1] * n
-            run = n  # end of the run of ASCII letters or digits that holds the place
-            for i in range(n - 1, -1, -1):
-                if whole_runs and text[i].isascii() and text[i].isalnum():
-                    if i + 1 == n or not (text[i + 1].isascii() and text[i + 1].isalnum()):
-                        run = i + 1
-                    # A run is a word of its own; the path goes on behind it.
-                    best[i], size[i] = best[run], run - i
-                    continue
-                least, j = None, i + 1
-                while j <= n:
-                    word = text[i:j]
-                    cost = costs.get(word, unknown if j == i + 1 else None)
-                    if cost is not None and (least is None or cost + best[j] <= least):
-                        least, size[i] = cost + best[j], j - i
-                    if word not in begins:
-                        break
-                    j += 1
-                best[i] = least
-            out, i = [], 0
-            while i < n:
-                out.append(text[i : i + size[i]])
-                i += size[i]
-            return out
-
-        return texts.map(cut)
-
-    return segment
+    shared = spark.sparkContext.broadcast(
+        (_parts(costs, whole_runs), costs, begins, rows[0].unknown if rows else 0))
+
+    def cut(text: str, costs: dict, begins: set, unknown: int) -> list[str]:
+        n = len(text)
+        best, size = [0] * (n + 1), [1] * n
+        run = n  # end of the run of ASCII letters or digits that holds the place
+        for i in range(n - 1, -1, -1):
+            if whole_runs and text[i].isascii() and text[i].isalnum():
+                if i + 1 == n or not (text[i + 1].isascii() and text[i + 1].isalnum()):
+                    run = i + 1
+                # A run is a word of its own; the path goes on behind it.
+                best[i], size[i] = best[run], run - i
+                continue
+            least, j = None, i + 1
+            while j <= n:
+                word = text[i:j]
+                cost = costs.get(word, unknown if j == i + 1 else None)
+                if cost is not None and (least is None or cost + best[j] <= least):
+                    least, size[i] = cost + best[j], j - i
+                if word not in begins:
+                    break
+                j += 1
+            best[i] = least
+        out, i = [], 0
+        while i < n:
+            out.append(text[i : i + size[i]])
+            i += size[i]
+        return out
+
+    return _segmenter(cut, shared)
 
 
 def tokens_with_boundaries(
