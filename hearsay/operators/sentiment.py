@@ -13,7 +13,7 @@ from hearsay.functions.text import (
 from hearsay.operators.retrieve import (
     Corpus, answer_ids, comment_keys, comments_under, linked_posts, nested_answers,
 )
-from hearsay.operators.shared import repeat_rows
+from hearsay.operators.shared import SALTS, every_salt, repeat_rows
 from hearsay.schema import unified_platforms
 
 # Scoring constants.
@@ -76,7 +76,10 @@ def score_texts(
     )
     terms = lexicon_by_term(lexicon)
     terms = terms.withColumnsRenamed({"pos": "lex_pos", "neg": "lex_neg"})
-    hits = exploded.join(terms, "term", "left").where(head | F.col("negates").isNotNull())
+    # Should the lexicon join be a shuffle, a frequent word is spread over the salts.
+    hits = exploded.withColumn("_salt", F.pmod("pos", F.lit(SALTS)).cast("bigint")).join(
+        terms.withColumn("_salt", every_salt()), ["term", "_salt"], "left"
+    ).drop("_salt").where(head | F.col("negates").isNotNull())
 
     # One exchange serves the look-back and the final aggregate.
     hits = hits.repartition(*keys)
