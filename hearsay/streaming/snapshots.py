@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from typing import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from hearsay.functions.scalars import utc_day
@@ -283,59 +284,56 @@ def growth_timed(stream: DataFrame, keep: str | None = None) -> DataFrame:
         "platform string", "post_id string", "fetched_at bigint", "day bigint", "opens boolean",
         "seconds bigint", *(f"{c} bigint" for c in COUNTERS),
         *(f"{c}_delta bigint" for c in COUNTERS), "version bigint"])
-    return timed.groupBy("platform", "post_id", "day").transformWithStateInPandas(
+    return timed.groupBy("platform", "post_id", "day").transformWithState(
         statefulProcessor=DayOfSnapshots(bool(keep)), outputStructType=output,
         outputMode="Append", timeMode="EventTime" if keep else "None")
 
 
+_Emitted = Row(*SNAPSHOT_KEY, "day", "opens", "seconds", *COUNTERS,
+               *(f"{c}_delta" for c in COUNTERS), "version")
+
+
 class DayOfSnapshots(StatefulProcessor):
-    """State and differences of one post on one day."""
+    """State and differences of one post on one day.
+
+    Most keys hold a few snapshots, so what a key costs counts: rows instead of frames, and one
+    state value (seconds with counters, packed), so that a key is one read and one write.
+    """
 
     def __init__(self, expires: bool):
         self.expires = expires
 
     def init(self, handle) -> None:
         self.handle = handle
-        counters = ", ".join(f"{c} bigint" for c in COUNTERS)
-        self.seen = handle.getMapState("seen", "fetched_at bigint", counters)
-        self.version = handle.getValueState("version", "version bigint")
+        self.state = handle.getValueState("state", "version bigint, seen string")
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        known = {k[0]: v for k, v in self.seen.iterator()} if self.seen.exists() else {}
-        found = pd.concat(list(rows)).drop_duplicates("fetched_at")
+        stored = self.state.get()
+        version, packed = (stored[0], json.loads(stored[1])) if stored else (0, [])
+        known = {at: values for at, *values in packed}
         fresh = {}
-        for at, *values in found[["fetched_at", *COUNTERS]].astype(object).itertuples(index=False):
-            if int(at) not in known:
-                fresh[int(at)] = tuple(None if pd.isna(v) else int(v) for v in values)
+        for row in rows:
+            at = row["fetched_at"]
+            if at not in known and at not in fresh:
+                fresh[at] = [row[c] for c in COUNTERS]
         if not fresh:
             return
-        for at, values in fresh.items():
-            self.seen.updateValue((at,), values)
-        version = self.version.get()[0] + 1 if self.version.exists() else 1
-        self.version.update((version,))
-        if self.expires:
-            self.handle.registerTimer((key[2] + 1) * DAY_SECONDS * 1000)
+        version += 1
         known |= fresh
         order = sorted(known)
-        out = []
+        self.state.update((version, json.dumps([[at, *known[at]] for at in order])))
+        if self.expires:
+            self.handle.registerTimer((key[2] + 1) * DAY_SECONDS * 1000)
         for before, at in zip([None, *order], order):
             if at not in fresh and before not in fresh:
                 continue
-            now, old = known[at], known.get(before, (None,) * len(COUNTERS))
+            now, old = known[at], known.get(before, [None] * len(COUNTERS))
             delta = [None if a is None or b is None else a - b for a, b in zip(now, old)]
-            out.append((key[0], key[1], at, key[2], before is None,
-                        None if before is None else at - before, *now, *delta, version))
-        names = [*SNAPSHOT_KEY, "day", "opens", "seconds", *COUNTERS,
-                 *(f"{c}_delta" for c in COUNTERS), "version"]
-        frame = pd.DataFrame(out, columns=names)
-        numbers = [n for n in names if n not in ("platform", "post_id", "opens")]
-        yield frame.astype({n: "Int64" for n in numbers})
+            yield _Emitted(key[0], key[1], at, key[2], before is None,
+                           None if before is None else at - before, *now, *delta, version)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.seen.clear()
-        self.version.clear()
+        self.state.clear()
         return iter([])
 
     def close(self) -> None:
