@@ -23,9 +23,10 @@ doc_id and text are read.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
-from typing import Iterator, Sequence
+from typing import Iterator, NamedTuple, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +46,96 @@ GROUPS = (32, 96)
 REMEMBERED = 1_500_000
 
 
+# Kinds of bytes. Letters, digits and symbols are plain; all else is not, nor is an apostrophe, which
+# begins contractions.
+_OTHER, _LETTERS, _DIGIT, _SYMBOL, _GAP = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _SYMBOL
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTERS
+_KIND[48:58] = _DIGIT
+_KIND[ord("'")] = _OTHER
+_KIND[words._SPACE] = _GAP
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# The characters by which a byte-level tokenizer names the bytes of lower-case plain words, where
+# they are not those of Latin 1.
+_BYTES = {0x9F: 321, 0xA0: 322, 0xAD: 323}
+# What a tokenizer has to do with a text for its plain words to be cut into parts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+        "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+class _Parts(NamedTuple):
+    """The bytes that are encoded, the spans of the parts, the number of the first part of each
+    text, and whether each part is plain."""
+
+    raw: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    plain: np.ndarray
+
+
+def _whole_words(raw: np.ndarray, w: words.Words) -> _Parts:
+    return _Parts(raw, w.start, w.end, w.first, np.zeros(len(w.start), bool))
+
+
+def _plain_parts(raw: np.ndarray, w: words.Words) -> _Parts:
+    """Words of plain characters (ASCII, and letters of Latin 1) in lower case, cut into letters,
+    single digits and symbols; other words are whole and unchanged.
+
+    A plain word has nothing to compose, each of its characters has a lower case of its own, and
+    the tokenizer's pattern splits it at these places, so its ids are those of its parts."""
+    if not len(w.start):
+        return _whole_words(raw, w)
+    kind, text = _KIND[raw], _LOWER[raw]
+    second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    second = second[(raw[second] != 0x97) & (raw[second] != 0xB7)]  # the signs for times and divide
+    kind[second - 1] = kind[second] = _LETTERS
+    text[second[raw[second] < 0x9F]] += 32
+    special = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+    kind[special] = _OTHER
+    odd = np.unique(np.searchsorted(w.start, np.flatnonzero(kind == _OTHER), "right") - 1)
+    if len(odd):
+        inside = np.zeros(len(raw) + 1, np.int8)
+        inside[w.start[odd]] = 1
+        inside[w.end[odd]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        text[inside], kind[inside] = raw[inside], _OTHER
+    begins = np.zeros(len(raw), bool)
+    begins[w.start] = True
+    edge = begins.copy()
+    edge[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    start = np.flatnonzero(edge & (kind != _GAP))
+    opens = begins[start]
+    end = np.minimum(np.append(start[1:], len(raw)), w.end[np.cumsum(opens) - 1])
+    first = np.append(np.flatnonzero(opens), len(start))[w.first]
+    return _Parts(text, start, end, first, kind[start] != _OTHER)
+
+
 class _Encoder:
     """Token ids of words. The tokenizer drops white space and treats the words between it
-    independently, so a text's ids are its words' ids in order."""
+    independently, so a text's ids are its words' ids in order. If the tokenizer is known to treat
+    the parts of plain words independently too, these are remembered: words differ far more often
+    than their parts, and parts need no normalizing."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(SEPARATOR.strip())
+        with open(path, encoding="utf-8") as f:
+            known = json.load(f)
+        same = (known["normalizer"], known["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
+        self.parts = _plain_parts if same else _whole_words
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._forget()
 
     def _forget(self) -> None:
@@ -64,38 +145,53 @@ class _Encoder:
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _encode_plain(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plain parts, and how many each has."""
+        found = self.plain.encode(
+            b" ".join(parts).decode("latin-1").translate(_BYTES), add_special_tokens=False)
+        return np.array(found.ids, np.uint32), np.bincount(found.word_ids, minlength=len(parts))
+
+    def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words without special tokens, encoded with one between them."""
+        joined = np.array(self.tokenizer.encode(
+            SEPARATOR + SEPARATOR.join(texts), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(joined == self.separator)
+        return np.delete(joined, cuts), np.diff(np.append(cuts, len(joined))) - 1
+
+    def _encode_one(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, np.uint32), np.array([len(ids)])
+
+    def _learn(self, keys: np.ndarray, parts: list[bytes], plain: np.ndarray) -> None:
         if len(self.keys) + len(keys) > REMEMBERED:
             self._forget()
-        # One text per some thousand words, with a special token between words.
-        plain = [i for i, t in enumerate(texts) if "<|" not in t]
-        ids: list = [None] * len(texts)
-        for i in set(range(len(texts))) - set(plain):
-            ids[i] = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            joined = np.array(self.tokenizer.encode(
-                SEPARATOR + SEPARATOR.join(texts[i] for i in part), add_special_tokens=False).ids,
-                np.uint32)
-            cuts = np.flatnonzero(joined == self.separator)
-            for i, row in zip(part, np.split(joined, cuts)[1:]):
-                ids[i] = row[1:]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if total:
-            self.pool[self.used : self.used + total] = np.concatenate(ids)
-        at = self.used + np.cumsum(n) - n
-        self.used += total
+        # Some thousand parts at once; a word that may hold special tokens is encoded alone.
+        special = np.array([b"<|" in p for p in parts], bool) & ~plain
+        n = np.zeros(len(parts), np.int64)
+        at = np.zeros(len(parts), np.int64)
+        for which, size, encode in ((plain, 2000, self._encode_plain),
+                                    (~plain & ~special, 2000, self._encode_words),
+                                    (special, 1, self._encode_one)):
+            rows = np.flatnonzero(which)
+            for lo in range(0, len(rows), size):
+                some = rows[lo : lo + size]
+                given = [parts[i] for i in some]
+                if encode != self._encode_plain:
+                    given = [p.decode("utf-8", "replace") for p in given]
+                ids, n[some] = encode(given[0] if size == 1 else given)
+                at[some] = self.used + np.cumsum(n[some]) - n[some]
+                while self.used + len(ids) > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+                self.pool[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
         place = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, place, keys)
         self.at, self.n = np.insert(self.at, place, at), np.insert(self.n, place, n)
 
     def encode(self, chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's texts, each text closed by END, and the bounds of the texts."""
-        w = words.split(chunk.raw, chunk.offsets)
-        h = words.hash_spans(chunk.raw, w.start, w.end)
+        p = self.parts(chunk.raw, words.split(chunk.raw, chunk.offsets))
+        h = words.hash_spans(p.raw, p.start, p.end)
         keys, one, inverse = np.unique(h, return_index=True, return_inverse=True)
         for learnt in range(2):
             where = np.searchsorted(self.keys, keys)
@@ -109,13 +205,13 @@ class _Encoder:
             if len(self.keys) + len(new) > REMEMBERED:
                 self._forget()
                 new = np.arange(len(keys))
-            data = chunk.raw.tobytes()
-            self._learn(keys[new], [data[a:b].decode("utf-8", "replace")
-                                    for a, b in zip(w.start[one[new]], w.end[one[new]])])
+            data, one_new = p.raw.tobytes(), one[new]
+            self._learn(keys[new], [data[a:b] for a, b in zip(p.start[one_new], p.end[one_new])],
+                        p.plain[one_new])
         n = self.n[where][inverse]
         docs = len(chunk.offsets) - 1
         before = np.concatenate([[0], np.cumsum(n)])
-        bounds = before[w.first] + np.arange(docs + 1)
+        bounds = before[p.first] + np.arange(docs + 1)
         ids = np.full(int(bounds[-1]), END, np.uint32)
         body = np.ones(len(ids), bool)
         body[bounds[1:] - 1] = False

@@ -17,6 +17,7 @@ from hearsay.session import shared_folder
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -24,12 +25,23 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, label: str, codec: str = "snappy", free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither recompute it nor
-    depend on the executors that made it."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path, compression=codec)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    depend on the executors that made it. With ``free`` the write's shuffles are deleted when it
+    is done, not when the driver's memory is next cleaned."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    before = spark.conf.get(_FREE, None)
+    if free:
+        spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        if free and before is None:
+            spark.conf.unset(_FREE)
+        elif free:
+            spark.conf.set(_FREE, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.llm_path = path
     return out
 

@@ -17,7 +17,7 @@ padded with 0 behind their ``length``. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Iterator, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from llm import packing, words
-from llm.shared import arrow, binary, cut, group_bounds, scratch, whole_groups
+from llm.shared import arrow, binary, cut, drop, group_bounds, scratch, whole_groups
 
 STRIDE = 512
 # Two bytes hold every id of the tokenizer (49,408).
@@ -37,6 +37,9 @@ ROUNDS = 6
 SLICES = 4_096
 # Tasks that write shards, at most.
 PARTS = 10_000
+# Passes in which shards are written; each moves its own records only, so that no more than this
+# share of them is on the executors' disks at once.
+PASSES = 3
 _U = np.uint64
 
 
@@ -61,39 +64,55 @@ def permute(number: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def materialise(docs: DataFrame, stride: int = STRIDE, shard_rows: int = SHARD_ROWS,
-                key: int = KEY, path: str | None = None) -> DataFrame:
-    """slot, shard, position (record in the shard), doc_id, piece, length, ids_crc32 (of the
-    stored ids) and record (padded ids), each shard whole and sorted within one partition."""
+class _Numbered(NamedTuple):
+    """Stored sequences, their number, and what a row's place in its slice is to be raised by."""
+
+    table: DataFrame
+    n: int
+    base: np.ndarray
+
+
+def _numbered(docs: DataFrame, stride: int, path: str | None) -> _Numbered:
     pieces = packing.pieces(docs, stride, path, with_ids=True, store=TYPE).drop("start")
     pieces = pieces.withColumn(
         "_slice", F.pmod(F.xxhash64("doc_id", "piece", "ids"), F.lit(SLICES)).cast("int"))
     # A slice is one run of rows of one file, whatever the number of files.
     table = cut(pieces.repartition("_slice").sortWithinPartitions(
-        "_slice", "doc_id", "piece", "ids"), "tokens", codec="zstd")
-    rows = table.select("*", F.col("_metadata.row_index").alias("_row"))
+        "_slice", "doc_id", "piece", "ids"), "tokens", codec="zstd", free=True)
     counts, first = np.zeros(SLICES, np.int64), np.zeros(SLICES, np.int64)
+    rows = table.select("_slice", F.col("_metadata.row_index").alias("_row"))
     for r in rows.groupBy("_slice").agg(F.count(F.lit(1)), F.min("_row")).collect():
         counts[r[0]], first[r[0]] = r[1], r[2]
-    n = int(counts.sum())
-    base = np.cumsum(counts) - counts - first
+    return _Numbered(table, int(counts.sum()), np.cumsum(counts) - counts - first)
+
+
+def _shard_count(n: int, shard_rows: int) -> int:
+    return max(1, -(-n // shard_rows))
+
+
+def _records(numbered: _Numbered, stride: int, shard_rows: int, key: int, low: int, high: int
+             ) -> DataFrame:
+    """The rows of :func:`materialise` of the shards ``low`` .. ``high - 1``."""
+    table, n, base = numbered
+    names = ["doc_id", "piece", "length", "ids_crc32", "ids"]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = base[batch.column("_slice").to_numpy()] + batch.column("_row").to_numpy()
+            slot = permute(number, n, key)
+            own = pa.array((slot >= low * shard_rows) & (slot < high * shard_rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(permute(number, n, key))] + [batch.column(c) for c in names],
-                ["slot", *names])
+                [pa.array(slot)] + [batch.column(c) for c in names], ["slot", *names]).filter(own)
 
-    names = ["doc_id", "piece", "length", "ids_crc32", "ids"]
-    slots = arrow(rows, assign, "slot bigint, doc_id bigint, piece int, length bigint, "
-                                "ids_crc32 bigint, ids binary")
+    slots = arrow(table.select("*", F.col("_metadata.row_index").alias("_row")), assign,
+                  "slot bigint, doc_id bigint, piece int, length bigint, ids_crc32 bigint, "
+                  "ids binary")
     shard = F.floor(F.col("slot") / F.lit(shard_rows)).cast("bigint")
-    shards = max(1, -(-n // shard_rows))
-    parts = min(PARTS, shards)
+    parts = min(PARTS, high - low)
+    part = F.floor((F.col("shard") - F.lit(low)) * parts / F.lit(high - low)).cast("int")
     return (
         slots.withColumn("shard", shard)
-        .repartitionById(parts, F.floor(F.col("shard") * parts / F.lit(shards)).cast("int"))
+        .repartitionById(parts, part)
         .sortWithinPartitions("slot")
         .select("slot", "shard", F.pmod("slot", F.lit(shard_rows)).alias("position"), "doc_id",
                 "piece", "length", "ids_crc32",
@@ -101,6 +120,14 @@ def materialise(docs: DataFrame, stride: int = STRIDE, shard_rows: int = SHARD_R
     )
 
 
+def materialise(docs: DataFrame, stride: int = STRIDE, shard_rows: int = SHARD_ROWS,
+                key: int = KEY, path: str | None = None) -> DataFrame:
+    """slot, shard, position (record in the shard), doc_id, piece, length, ids_crc32 (of the
+    stored ids) and record (padded ids), each shard whole and sorted within one partition."""
+    numbered = _numbered(docs, stride, path)
+    return _records(numbered, stride, shard_rows, key, 0, _shard_count(numbered.n, shard_rows))
+
+
 def _put(store: fs.FileSystem, base: str, shard: int, records: pa.ChunkedArray) -> str:
     """Write a shard; it appears under its name when it is complete."""
     name = f"{base}/shard-{shard:08d}.bin"
@@ -138,7 +165,8 @@ def shards(docs: DataFrame, stride: int = STRIDE, shard_rows: int = SHARD_ROWS,
            path: str | None = None, folder: str | None = None) -> DataFrame:
     """Write the shards below ``folder`` (one of the shared folder, if none is given) and return
     the rows of :func:`materialise` with their records read back from the shard files. The rows
-    without records are kept beside the shards; no record is stored twice."""
+    without records are kept beside the shards; no record is stored twice. Shards are written in
+    ``PASSES``, and the stored sequences are deleted when all are."""
     folder = folder or scratch(docs.sparkSession, "shards")
     width = stride * WIDTH
 
@@ -172,8 +200,15 @@ def shards(docs: DataFrame, stride: int = STRIDE, shard_rows: int = SHARD_ROWS,
 
     schema = ("slot bigint, shard bigint, position bigint, doc_id bigint, piece int, "
               "length bigint, ids_crc32 bigint")
-    records = materialise(docs, stride, shard_rows, key, path)
-    return arrow(cut(arrow(records, write, schema), "slots"), read, schema + ", record binary")
+    numbered = _numbered(docs, stride, path)
+    count = _shard_count(numbered.n, shard_rows)
+    # Whole shards, as evenly as they go; the passes' rows lie in one folder each.
+    bounds = [count * k // min(PASSES, count) for k in range(min(PASSES, count) + 1)]
+    tables = [cut(arrow(_records(numbered, stride, shard_rows, key, low, high), write, schema),
+                  "slots", free=True) for low, high in zip(bounds[:-1], bounds[1:])]
+    drop(numbered.table)
+    rows = docs.sparkSession.read.schema(schema).parquet(*(t.llm_path for t in tables))
+    return arrow(rows, read, schema + ", record binary")
 
 
 def read_slots(folder: str, first: int, count: int, stride: int = STRIDE,

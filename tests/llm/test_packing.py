@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
 
-from llm import packing
+from llm import packing, words
 
 CAP = packing.CAPACITY
 TEXTS = [
@@ -92,3 +93,31 @@ def test_plan_places_every_piece_once(lengths):
 def test_linear_program_finds_the_known_optimum():
     shapes = packing.configurations(np.array([700, 1000, 1300]), np.array([30.0, 10.0, 30.0]), CAP)
     assert sum(t for _, t in shapes) == pytest.approx(35.0)
+
+
+def test_parts_of_plain_words_have_the_ids_of_the_words():
+    """Words that differ by case, digits and symbols only share their parts."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(packing.TOKENIZER))
+    tok, encoder = Tokenizer.from_file(path), packing._Encoder(path)
+    r = random.Random(5)
+    some = ["a", "B", "the", "É", "é", "ß", "×", "÷", "ÿ", "'", "'s", "'LL", "<", "|", "<|", "|>",
+            "<|endoftext|>", "<|ENDOFTEXT|>", "1", "90", "!", "#", "_", "\x7f", "\x00", "\x1c",
+            "\x85", "\u00a0", "\u00ad", "\u0301", "\u0307", "\u0338", "\u0331", "I", "H", "=",
+            "\u212a", "İ", "Σ", "中", "²", "½", "ª", "µ", "ł", "😀", "\u200d", " ", "\n"]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(12))) for _ in range(4000)]
+    texts += ["<", "|x", "É", "é", "z" * 5000 + "!!", "", None]
+    for chunk in words.chunks(pa.array(texts), 1000):
+        ids, bounds = encoder.encode(chunk)
+        for i in range(chunk.lo, chunk.hi):
+            a, b = bounds[i - chunk.lo], bounds[i - chunk.lo + 1]
+            assert ids[a:b].tolist() == tok.encode(
+                texts[i] or "", add_special_tokens=False).ids + [0], texts[i]
+    known = packing._Encoder(path)
+    for chunk in words.chunks(pa.array(["heute Heute HEUTE heute! Heute!! (heute) heute1 heute21"])):
+        known.encode(chunk)
+    assert len(known.keys) == 7  # heute, "!", "!!", "(", ")", "1" and "2"

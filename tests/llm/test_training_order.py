@@ -107,3 +107,23 @@ def test_shards_are_written_and_slots_do_not_follow_the_input_splits(spark, tmp_
     parts = to.materialise(frame, 16, 64).rdd.mapPartitions(
         lambda p: [[r.slot for r in p]]).collect()
     assert sum(parts, []) == list(range(len(rows)))  # slot order over all partitions
+
+
+def test_shards_of_several_passes(spark, tmp_path, monkeypatch):
+    """Each pass writes whole shards of its own and moves no other record; the stored sequences
+    are gone afterwards."""
+    docs = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (3, "one"), (3, "one")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    seen, records, dropped, drop = [], to._records, [], to.drop
+    monkeypatch.setattr(to, "_records", lambda *a: seen.append((*a[-2:], records(*a))) or seen[-1][2])
+    monkeypatch.setattr(to, "drop", lambda t: dropped.append(
+        [f.count() for _, _, f in seen]) or drop(t))
+    rows = to.shards(frame, 16, 8, folder=f"file://{tmp_path}/out").collect()
+    check(rows, docs, 16, 8)
+    shards = -(-len(rows) // 8)
+    assert len(seen) == min(to.PASSES, shards) > 1 and seen[0][0] == 0 and seen[-1][1] == shards
+    assert all(a[1] == b[0] for a, b in zip(seen, seen[1:]))
+    assert dropped == [[sum(a <= r.shard < b for r in rows) for a, b, _ in seen]]
+    assert len(list((tmp_path / "out").iterdir())) == shards
+    whole = to.materialise(frame, 16, 8).collect()
+    assert sorted(rows) == sorted(whole)
