@@ -35,12 +35,16 @@ DIM = 32
 REACH = 2
 HIDDEN = 32
 _U = np.uint64
+# Sums of eight bits are at least -_RAISE; so many of them, raised, stay below 2 ** 16.
+_RAISE, _RUN = 128, 256
 
 _CLASS = np.full(256, 3, np.uint8)  # symbols
 _CLASS[[*range(97, 123), *range(128, 256)]] = 0
 _CLASS[65:91] = 1
 _CLASS[48:58] = 2
 _CLASS[[ord(c) for c in ".,;:'\"()-?"]] = 4
+# Classes 0 and 1, and 2 and 3, counted in the lower and the upper half of a number.
+_HALVES = np.array([[1, 1 << 32, 0, 0, 0], [0, 0, 1, 1 << 32, 0]], np.uint64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -69,17 +73,23 @@ def _tokens(c: words.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
         return none, none, w.first
     h = words.hash_spans(_FOLD[c.raw], w.start, w.end)
-    exact = words.hash_spans(c.raw, w.start, w.end)
     kind = _CLASS[c.raw]
     length = w.end - w.start
 
-    def share(k: int) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(kind == k)])
+    def share(counts: np.ndarray) -> np.ndarray:
+        """Two counts of every word, in the halves of one number."""
+        total = np.zeros(len(c.raw) + 1, np.uint64)
+        np.cumsum(counts[kind], out=total[1:])
         return total[w.end] - total[w.start]
 
-    lower, upper, digit, symbol = (share(k) for k in range(4))
+    lower, upper, digit, symbol = (
+        half.astype(np.int64) for pair in map(share, _HALVES)
+        for half in (pair & _U(0xFFFFFFFF), pair >> _U(32)))
+    # Only words that are equal but for their case can be equal.
     again = np.zeros(n, np.int64)
-    again[1:] = exact[1:] == exact[:-1]
+    twins = np.flatnonzero(h[1:] == h[:-1])
+    again[twins + 1] = (words.hash_spans(c.raw, w.start[twins], w.end[twins])
+                        == words.hash_spans(c.raw, w.start[twins + 1], w.end[twins + 1]))
     again[w.first[:-1][w.first[:-1] < n]] = 0
     case = np.where(upper == 0, 0, np.where(lower == 0, 2, np.where(upper == 1, 1, 3)))
     last = np.where(symbol > 0, c.raw[w.end - 1] % 8, 0).astype(np.int64)
@@ -89,27 +99,46 @@ def _tokens(c: words.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h >> _U(51)).astype(np.int64), WORDS + shape, w.first
 
 
+def _around(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of the ``REACH`` rows on either side of every row within its text. Two rows of four
+    entries of 1 are summed for each word, so eight bits hold the sums."""
+    gap = len(first) * REACH  # empty rows behind every text
+    at = np.arange(len(own)) + REACH * words.text_of(first)
+    spread = np.zeros((len(own) + gap, DIM), np.int8)
+    spread[at] = own
+    total = np.zeros_like(spread)
+    for k in range(1, REACH + 1):
+        total[:-k] += spread[k:]
+        total[k:] += spread[:-k]
+    return total[at]
+
+
+def _add_by_token(total: np.ndarray, token: np.ndarray, rows: np.ndarray) -> None:
+    """Add each of the rows (of eight bits) to the row of its token. Four values, raised by
+    ``_RAISE``, are summed as one number of 64 bits over at most ``_RUN`` rows."""
+    order = np.argsort(token.astype(np.uint16), kind="stable")
+    kinds, cut, n = np.unique(token[order], return_index=True, return_counts=True)
+    runs = -(-n // _RUN)
+    where = np.cumsum(runs) - runs
+    starts = np.repeat(cut, runs) + (np.arange(runs.sum()) - np.repeat(where, runs)) * _RUN
+    lanes = np.ascontiguousarray((rows.astype("<u2") + np.uint16(_RAISE)).view("<u8").T)
+    sums = np.ascontiguousarray(np.add.reduceat(lanes.take(order, 1), starts, axis=1).T)
+    sums = sums.view("<u2").astype(np.int64)
+    total[kinds] += np.add.reduceat(sums, where, axis=0) - _RAISE * n[:, None]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sum of the index vectors around every token, over a whole partition."""
-    index = _index_vectors().astype(np.int16)
+    index = _index_vectors()
     total = np.zeros((WORDS + SHAPES, DIM), np.int64)
     for batch in batches:
         for c in words.chunks(batch.column("text")):
             word, shape, first = _tokens(c)
             if len(word) < 2:
                 continue
-            own = index[word] + index[shape]
-            doc = words.text_of(first)
-            around = np.zeros_like(own)
-            for k in range(1, REACH + 1):
-                same = (doc[k:] == doc[:-k])[:, None]
-                around[:-k] += own[k:] * same
-                around[k:] += own[:-k] * same
+            around = _around(index.take(word, 0) + index.take(shape, 0), first)
             for token in (word, shape):
-                order = np.argsort(token.astype(np.uint16), kind="stable")
-                sorted_ = token[order]
-                cut = np.flatnonzero(np.diff(sorted_, prepend=-1))
-                total[sorted_[cut]] += np.add.reduceat(around[order], cut, axis=0, dtype=np.int64)
+                _add_by_token(total, token, around)
     used = np.flatnonzero(total.any(1))
     yield pa.RecordBatch.from_arrays(
         [pa.array(used), *(pa.array(total[used, d]) for d in range(DIM))],
@@ -137,6 +166,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def _pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """The document vectors of a text column."""
     out = np.zeros((len(column), 2 * DIM + 1), np.float32)
+    by_dimension = np.ascontiguousarray(vectors.T)  # sums run along the memory
     for c in words.chunks(column):
         word, shape, first = _tokens(c)
         count = np.diff(first)
@@ -144,7 +174,7 @@ def _pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
         rows = c.lo + some
         if len(some):
             for k, token in enumerate((word, shape)):
-                total = np.add.reduceat(vectors[token], first[some], axis=0)
+                total = np.add.reduceat(by_dimension.take(token, 1), first[some], axis=1).T
                 out[rows, k * DIM : (k + 1) * DIM] = total / count[some, None]
         out[c.lo : c.hi, -1] = np.log1p(count)
     return out

@@ -94,3 +94,32 @@ def test_every_shape_has_a_vector(spark):
     assert quality.WORDS <= shape.min() and shape.max() < quality.WORDS + quality.SHAPES
     mixed = quality._tokens(next(words.chunks(pa.array(["McDonald mcdonald"]))))[1]
     assert mixed[0] != mixed[1]
+
+
+def test_sums_around_words_by_token():
+    """Rows beside each other in a text only, and tokens met more often than a run is long."""
+    rng = np.random.default_rng(2)
+    first = np.array([0, 0, 1, 3, 3, 2000, 2004])
+    own = rng.integers(-2, 3, (2004, quality.DIM)).astype(np.int8)
+    own[3:1500] = -2
+    want = np.zeros(own.shape, int)
+    for a, b in zip(first[:-1], first[1:]):
+        for i in range(a, b):
+            for j in range(max(a, i - quality.REACH), min(b, i + quality.REACH + 1)):
+                want[i] += own[j].astype(int) * (i != j)
+    got = quality._around(own, first)
+    assert got.dtype == np.int8 and (got == want).all()
+    token = rng.integers(0, 4, len(own)) * 2000
+    token[3:1200] = 7
+    total = np.ones((quality.WORDS + quality.SHAPES, quality.DIM), np.int64)
+    plain = total.copy()
+    np.add.at(plain, token, want)
+    quality._add_by_token(total, token, got)
+    assert (total == plain).all()
+
+
+def test_repeated_words_differ_by_case_and_text():
+    import pyarrow as pa
+    (c,) = words.chunks(pa.array(["b b B B", "B", "", "é é É"]))
+    shape = quality._tokens(c)[1] - quality.WORDS
+    assert ((shape // 4) % 2).tolist() == [0, 1, 0, 1, 0, 0, 1, 0]
