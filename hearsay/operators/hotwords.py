@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from hearsay.functions.text import (
     CJK_REGEX, Tokenizer, clean_text, is_word, regex_tokenizer,
 )
+from hearsay.operators.chains import stored
 
 
 def explode_tokens(
@@ -73,11 +74,12 @@ def word_counts(
     marks = F.when(F.trim(text) != "", F.array(F.lit(""))).otherwise(
         F.array().cast("array<string>")
     )
-    found = F.array_sort(F.filter(tokenizer(F.col(text)), lambda t: F.char_length(t) >= 2))
-    words = F.concat(marks, found)
-    before = F.concat(F.array(F.lit(None).cast("string")), words)
-    pairs = F.arrays_zip(words.alias("word"), before.alias("last"))
-    tokens = units.select(times.alias("_times"), F.explode(pairs).alias("t")).select(
+    found = F.sort_array(F.filter(tokenizer(F.col(text)), lambda t: F.char_length(t) >= 2))
+    # A column of its own: a generator computes what it names twice, twice.
+    listed = units.select(times.alias("_times"), F.concat(marks, found).alias("_words"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_words"))
+    pairs = F.arrays_zip(F.col("_words").alias("word"), before.alias("last"))
+    tokens = listed.select("_times", F.explode(pairs).alias("t")).select(
         "_times", "t.*"
     ).where(F.col("word").isNotNull())
     starts = F.col("last").isNull() | (F.col("last") != F.col("word"))
@@ -98,11 +100,12 @@ def top_keywords(
     corpus itself serve. Noise, stopwords and ``exclude`` (cleaned as texts are) go before the
     ``k`` heaviest are taken. The corpus is never put together in one place.
 
-    The counts are read twice, for the totals and for the weights; both reads share the exchange
-    of the aggregate that made them.
+    The counts are read for the totals and for the weights. They are stored first, a row per word:
+    the plans of the totals do not share the aggregate with that of the weights, so the texts
+    would be cleaned and cut once for each.
     """
     tokenizer = tokenizer or regex_tokenizer()
-    counted = counts
+    counted = stored(counts, "word-counts")
     is_mark = F.col("word") == ""
     total = counted.agg(F.sum(F.when(~is_mark, F.col("n")))).scalar()
     if idf is None:

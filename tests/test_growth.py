@@ -1,10 +1,13 @@
 """Steps whose cost must not grow faster than their input."""
 
 import json
+import math
+
+import pytest
 
 from catalog.fixtures import Fixtures
 from hearsay.functions import text as X
-from hearsay.operators import sentiment as N
+from hearsay.operators import hotwords, sentiment as N
 from hearsay.sources import sinks
 from hearsay.streaming import snapshots as S
 
@@ -59,3 +62,17 @@ def test_a_timed_key_is_one_read_and_one_write():
     assert [(r.fetched_at, r.seconds, r.opens) for r in out] == [(3, None, True), (5, 2, False)]
     assert day.state.calls == 2 and day.state.value[0] == 1
     assert [r[0] for r in json.loads(day.state.value[1])] == [3, 5]
+
+
+def test_words_are_cut_once_for_totals_and_weights(spark):
+    """The tokenizer stands once in the plan of the counts; the keywords' plan has none."""
+    df = spark.createDataFrame([("bb aa bb",), ("aa cc",), (None,), (" ",)], "text string")
+    counts = hotwords.word_counts(df, "text")
+    assert plan(counts).count("regexp_extract_all") == 1
+    assert sorted(map(tuple, counts.collect())) == [
+        ("", 2, 2), ("aa", 2, 2), ("bb", 2, 1), ("cc", 1, 1)]
+    top = hotwords.top_keywords(counts, 5, must_contain="[a-z]")
+    assert "regexp_extract_all" not in plan(top)
+    weights = {"aa": 2 / 5 * math.log(3 / 3), "bb": 2 / 5 * math.log(3 / 2),
+               "cc": 1 / 5 * math.log(3 / 2)}
+    assert {r.word: r.weight for r in top.collect()} == pytest.approx(weights, abs=1e-9)
