@@ -46,6 +46,73 @@ def lexicon_by_term(lexicon: DataFrame) -> DataFrame:
     )
 
 
+def _exploded(
+    units: DataFrame, keys: Sequence[str], keep: Sequence[str], terms: Column
+) -> DataFrame:
+    """A row per element of ``terms``, whose first is the unit's head row (``pos`` -1). Only that
+    one carries ``keep``. A frequent word is spread over the salts, should the lexicon join be
+    a shuffle."""
+    head = F.col("pos") == -1
+    return (
+        # Outer, for the filter Spark adds to the inner form would cut the texts once more.
+        units.select(*keys, F.struct(F.lit(True).alias("_"), *keep).alias("_kept"),
+                     terms.alias("_terms"))
+        .select(*keys, "_kept", F.posexplode_outer("_terms"))
+        .select(*keys, "_kept", (F.col("pos") - 1).alias("pos"), "col")
+        .select(*keys, F.when(head, F.col("_kept")).alias("_kept"), "pos", "col",
+                F.pmod("pos", F.lit(SALTS)).cast("bigint").alias("_salt"))
+    )
+
+
+def _hits_alone(
+    units: DataFrame, keys: Sequence[str], keep: Sequence[str], tokens: Column, head_term: Column,
+    terms: DataFrame,
+) -> DataFrame:
+    """Head rows and sentiment words of units whose key stands in one row, with what the lexicon
+    says of the tokens before them. A token is exploded with those, so nothing is sorted."""
+    def beside(ts: Column) -> Column:
+        return F.arrays_zip(*[
+            F.concat(*[F.array(F.lit(None).cast("string"))] * i, F.array(head_term), ts)
+            for i in range(WINDOW + 1)
+        ])
+
+    zipped = F.transform(F.array(F.coalesce(tokens, F.array())), beside)[0]
+    rows = _exploded(units, keys, keep, zipped).select(
+        *keys, "_kept", "pos", "_salt", F.col("col.0").alias("term"),
+        *[F.col(f"col.{i}").alias(f"_t{i}") for i in range(1, WINDOW + 1)],
+    )
+    hits = rows.join(terms.drop("look"), ["term", "_salt"], "left").where(
+        (F.col("pos") == -1) | F.col("lex_pos").isNotNull() | F.col("lex_neg").isNotNull())
+    looks = terms.select("term", "_salt", "look")
+    for i in range(1, WINDOW + 1):
+        look = looks.withColumnsRenamed({"term": f"_t{i}", "look": f"_l{i}"})
+        hits = hits.join(look, [f"_t{i}", "_salt"], "left")
+    return hits.select(*keys, "_kept", "lex_pos", "lex_neg",
+                       *[f"_l{i}" for i in range(1, WINDOW + 1)])
+
+
+def _hits_merged(
+    units: DataFrame, keys: Sequence[str], keep: Sequence[str], tokens: Column, head_term: Column,
+    terms: DataFrame,
+) -> DataFrame:
+    """The same for units whose key stands in several rows: their lexicon hits are shuffled by
+    the key and sorted by position, and the look-back runs over the hits of all rows."""
+    words = F.concat(F.array(head_term), F.coalesce(tokens, F.array()))
+    head = F.col("pos") == -1
+    hits = _exploded(units, keys, keep, words).withColumnRenamed("col", "term").join(
+        terms, ["term", "_salt"], "left").where(head | F.col("look").isNotNull())
+    hits = hits.repartition(*keys)
+    order = Window.partitionBy(*keys).orderBy("pos")
+    context = F.when(~head, F.struct(F.col("pos").alias("at"), "look"))
+    hits = hits.withColumns(
+        {f"_c{i}": F.lag(context, i).over(order) for i in range(1, WINDOW + 1)}
+    )
+    return hits.select(*keys, "_kept", "lex_pos", "lex_neg", *[
+        F.when(F.col("pos") - F.col(f"_c{i}.at") <= WINDOW, F.col(f"_c{i}.look")).alias(f"_l{i}")
+        for i in range(1, WINDOW + 1)
+    ])
+
+
 def score_texts(
     units: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame,
     tokenizer: Tokenizer | None = None, clause_regex: str = CLAUSE_REGEX,
@@ -53,54 +120,46 @@ def score_texts(
 ) -> DataFrame:
     """Score every unit: keys, kept columns, raw, score, label, pos_hits, neg_hits.
 
-    ``keys`` must identify a unit. Tokens are exploded with their position and joined to the
-    lexicon; only lexicon hits and one head row per unit (which carries ``keep``) are
-    shuffled, once, by the unit key. Look-back runs over hits: a modifier counts when its
-    position is within the window, and three boundary tokens between clauses keep the window
-    inside a clause. Spark broadcasts the lexicon while its measured size is below the
-    broadcast threshold and joins by shuffle beyond it.
+    ``keys`` should identify a unit, which one job over the keys alone finds out at once. Tokens
+    are exploded with the tokens before them and joined to the lexicon, a modifier counts when it
+    is within the window, and three boundary tokens between clauses keep the window inside a
+    clause. So a unit is summed where it is read, and what is shuffled by the unit key is one
+    row per unit (which carries ``keep``). Rows that share a key are one unit, whose hits are
+    merged by position; theirs are shuffled and sorted. Spark broadcasts the lexicon while its
+    measured size is below the broadcast threshold and joins by shuffle beyond it.
     """
     tokenizer = tokenizer or regex_tokenizer()
     keep = [k for k in keep if k not in keys]
     tokens = tokens_with_boundaries(F.col(text), tokenizer, clause_regex, WINDOW)
-    head = F.col("pos") == -1
     # Head rows match no term. They are spread, should the lexicon join be a shuffle.
     unlike_a_word = F.concat(F.lit("\u0003"), F.pmod(F.xxhash64(*keys), F.lit(4096)))
-    exploded = (
-        units.select(
-            *keys, F.struct(F.lit(True).alias("_"), *keep).alias("_kept"),
-            F.posexplode(F.concat(F.array(unlike_a_word), F.coalesce(tokens, F.array()))),
-        )
-        .select(*keys, "_kept", (F.col("pos") - 1).alias("pos"), F.col("col").alias("term"))
-        .select(*keys, F.when(head, F.col("_kept")).alias("_kept"), "pos", "term")
-    )
-    terms = lexicon_by_term(lexicon)
-    terms = terms.withColumnsRenamed({"pos": "lex_pos", "neg": "lex_neg"})
-    # Should the lexicon join be a shuffle, a frequent word is spread over the salts.
-    hits = exploded.withColumn("_salt", F.pmod("pos", F.lit(SALTS)).cast("bigint")).join(
-        terms.withColumn("_salt", every_salt()), ["term", "_salt"], "left"
-    ).drop("_salt").where(head | F.col("negates").isNotNull())
-
-    # One exchange serves the look-back and the final aggregate.
-    hits = hits.repartition(*keys)
-    order = Window.partitionBy(*keys).orderBy("pos")
-    context = F.when(~head, F.struct(
-        F.col("pos").alias("at"), "degree", "negates",
-        (F.col("lex_pos").isNotNull() | F.col("lex_neg").isNotNull()).alias("sentiment"),
-    ))
-    hits = hits.withColumns(
-        {f"_l{i}": F.lag(context, i).over(order) for i in range(1, WINDOW + 1)}
+    terms = lexicon_by_term(lexicon).select(
+        "term", every_salt().alias("_salt"), F.col("pos").alias("lex_pos"),
+        F.col("neg").alias("lex_neg"), F.struct(
+            "degree", "negates",
+            (F.col("pos").isNotNull() | F.col("neg").isNotNull()).alias("sentiment"),
+        ).alias("look"),
     )
-
-    multiplier, negations, open_scope = F.lit(1.0), F.lit(0), F.lit(True)
+    parts = (keys, keep, tokens, unlike_a_word, terms)
+
+    repeated = units.groupBy(*[F.col(k).alias(f"_again_{k}") for k in keys]).agg(
+        F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1).drop("_rows")
+    if repeated.isEmpty():
+        hits = _hits_alone(units, *parts)
+    else:
+        same = F.lit(True)
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_again_{k}"))
+        hits = _hits_alone(units.join(repeated, same, "left_anti"), *parts).unionByName(
+            _hits_merged(units.join(repeated, same, "left_semi"), *parts))
+
+    multiplier, negations, live = F.lit(1.0), F.lit(0), F.lit(True)
     for i in range(1, WINDOW + 1):
-        near = F.coalesce(F.col("pos") - F.col(f"_l{i}.at") <= WINDOW, F.lit(False))
-        live = open_scope & near
         degree, negates = F.col(f"_l{i}.degree"), F.col(f"_l{i}.negates")
         multiplier = multiplier * F.when(live & degree.isNotNull(), degree).otherwise(1.0)
         negations = negations + F.when(live & degree.isNull() & negates, 1).otherwise(0)
         stops = degree.isNull() & ~negates & F.col(f"_l{i}.sentiment")
-        open_scope = live & ~F.coalesce(stops, F.lit(False))
+        live = live & ~F.coalesce(stops, F.lit(False))
 
     sign = F.when(F.col("lex_pos").isNotNull(), 1).when(F.col("lex_neg").isNotNull(), -1)
     base = F.coalesce("lex_pos", "lex_neg")

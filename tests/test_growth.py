@@ -76,3 +76,33 @@ def test_words_are_cut_once_for_totals_and_weights(spark):
     weights = {"aa": 2 / 5 * math.log(3 / 3), "bb": 2 / 5 * math.log(3 / 2),
                "cc": 1 / 5 * math.log(3 / 2)}
     assert {r.word: r.weight for r in top.collect()} == pytest.approx(weights, abs=1e-9)
+
+
+SMALL = [("positive", "good", 1.0), ("degree", "very", 2.0), ("negation", "no", 1.0)]
+
+
+def small_scores(spark, rows):
+    units = spark.createDataFrame(rows, "id int, text string, lang string")
+    lex = spark.createDataFrame(SMALL, "bucket string, term string, value double")
+    return N.score_texts(units, ["id"], "text", lex, clause_regex="[.,]", keep=["lang"])
+
+
+def test_a_unit_is_summed_where_it_is_read(spark):
+    """No hit is shuffled or sorted, and a text is cut once."""
+    scored = small_scores(spark, [(1, "no x very good. good", "a"), (2, None, "b"), (3, "", "c"),
+                                  (None, "very, good", "d")])
+    text = plan(scored)
+    assert "Window" not in text and "Repartition" not in text
+    assert text.count("regexp_extract_all") == 1
+    assert {r.id: (r.lang, round(r.raw, 9), r.pos_hits, r.neg_hits) for r in scored.collect()} == {
+        1: ("a", -0.4, 1, 1), 2: ("b", 0, 0, 0), 3: ("c", 0, 0, 0), None: ("d", 1, 1, 0)}
+
+
+def test_rows_of_one_key_are_one_unit(spark):
+    """Their hits are merged by position; the other units are summed alone."""
+    scored = small_scores(spark, [
+        (1, "no x good", "a"), (1, "no x good", "a"),  # two negations cancel, then good stops
+        (2, "no x good", "b"), (3, "very", "c"), (3, "x good", "c"),
+        (None, "good", "d"), (None, "good", "d"), (None, None, "d")])
+    assert {r.id: (r.lang, round(r.raw, 9), r.pos_hits, r.neg_hits) for r in scored.collect()} == {
+        1: ("a", 2, 2, 0), 2: ("b", -0.7, 0, 1), 3: ("c", 2, 1, 0), None: ("d", 2, 2, 0)}
