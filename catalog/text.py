@@ -391,6 +391,7 @@ SELECT doc_id, round(score, 6) AS score, label, pos_hits, neg_hits FROM labelled
     lambda f: N.score_texts(
         f.documents.select("doc_id", X.clean_text(F.col("text")).alias("text")), ["doc_id"],
         "text", L.lexicon_build(raw_lexicon(f), r"^\p{L}+$", f.words(STOPWORDS)), TOKENS, CLAUSES,
+        large_lexicon=True,
     ).select("doc_id", F.round("score", 6).alias("score"), "label", "pos_hits", "neg_hits"))
 
 # ---- scalar functions -------------------------------------------------------------------

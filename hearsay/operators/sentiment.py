@@ -116,7 +116,7 @@ def _hits_merged(
 def score_texts(
     units: DataFrame, keys: Sequence[str], text: str, lexicon: DataFrame,
     tokenizer: Tokenizer | None = None, clause_regex: str = CLAUSE_REGEX,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] = (), large_lexicon: bool = False,
 ) -> DataFrame:
     """Score every unit: keys, kept columns, raw, score, label, pos_hits, neg_hits.
 
@@ -126,7 +126,9 @@ def score_texts(
     clause. So a unit is summed where it is read, and what is shuffled by the unit key is one
     row per unit (which carries ``keep``). Rows that share a key are one unit, whose hits are
     merged by position; theirs are shuffled and sorted. Spark broadcasts the lexicon while its
-    measured size is below the broadcast threshold and joins by shuffle beyond it.
+    measured size is below the broadcast threshold and joins by shuffle beyond it. For a
+    ``large_lexicon``, where that is expected, a token moves once and without those before it,
+    and all hits are shuffled and sorted; the rows are the same.
     """
     tokenizer = tokenizer or regex_tokenizer()
     keep = [k for k in keep if k not in keys]
@@ -144,7 +146,9 @@ def score_texts(
 
     repeated = units.groupBy(*[F.col(k).alias(f"_again_{k}") for k in keys]).agg(
         F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1).drop("_rows")
-    if repeated.isEmpty():
+    if large_lexicon:
+        hits = _hits_merged(units, *parts)
+    elif repeated.isEmpty():
         hits = _hits_alone(units, *parts)
     else:
         same = F.lit(True)

@@ -81,10 +81,11 @@ def test_words_are_cut_once_for_totals_and_weights(spark):
 SMALL = [("positive", "good", 1.0), ("degree", "very", 2.0), ("negation", "no", 1.0)]
 
 
-def small_scores(spark, rows):
+def small_scores(spark, rows, **options):
     units = spark.createDataFrame(rows, "id int, text string, lang string")
     lex = spark.createDataFrame(SMALL, "bucket string, term string, value double")
-    return N.score_texts(units, ["id"], "text", lex, clause_regex="[.,]", keep=["lang"])
+    return N.score_texts(units, ["id"], "text", lex, clause_regex="[.,]", keep=["lang"],
+                         **options)
 
 
 def test_a_unit_is_summed_where_it_is_read(spark):
@@ -106,3 +107,11 @@ def test_rows_of_one_key_are_one_unit(spark):
         (None, "good", "d"), (None, "good", "d"), (None, None, "d")])
     assert {r.id: (r.lang, round(r.raw, 9), r.pos_hits, r.neg_hits) for r in scored.collect()} == {
         1: ("a", 2, 2, 0), 2: ("b", -0.7, 0, 1), 3: ("c", 2, 1, 0), None: ("d", 2, 2, 0)}
+
+
+def test_a_large_lexicon_moves_tokens_alone(spark):
+    """A token that is shuffled to the lexicon does not take the tokens before it along."""
+    rows = [(1, "no x very good. good", "a"), (2, "no x good", "b"), (3, "", "c")]
+    few, many = (small_scores(spark, rows, large_lexicon=x) for x in (False, True))
+    assert "arrays_zip" in plan(few) and "arrays_zip" not in plan(many)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
