@@ -16,7 +16,7 @@ of it.
    a join on the pair, sorted like the chunk's own pairs. Links of single documents are never
    shuffled, and no count table is broadcast.
 
-The library's immutable proto has since been renamed ``proto``; its spans are byte offsets.
+B's spans are the library's ``offset_mapping`` in bytes, those of its proto.
 
 Defined results: texts that are null, empty or not restored by the tokens have no tokens: zeros and
 an empty digest; equal rows are documents of their own; ids are not read; an empty table gives no
@@ -45,9 +45,13 @@ from llm.shared import arrow, cut, group_bounds, whole_groups
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 CHUNK_BYTES = 8 << 20
-# Segments and pairs that a Python worker remembers; forgotten segments are encoded again.
+# Segments and pairs that a Python worker remembers; a full memory forgets what was rarest, and
+# forgotten segments are encoded again.
 REMEMBERED = 600_000
 REMEMBERED_PAIRS = 8_000_000
+# A chunk is a row of many MB; the writer and the readers hold few of them at once.
+_FEW_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1",
+             "parquet.page.size.row.check.min": "1"}
 _STEP = 10_000
 _SHARE = 500_000
 _SPACE = "▁"
@@ -56,7 +60,7 @@ _chain = chain.from_iterable
 _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 _CHUNK = ("chunk bigint, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
           "n_links array<bigint>, groups_sha256 array<string>, pairs array<bigint>, "
-          "docs array<bigint>, text_bounds binary, segments binary, segment_bounds binary, "
+          "docs array<int>, text_bounds binary, segments binary, segment_bounds binary, "
           "segment_pairs binary, segment_times binary")
 _RESULT = ("n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, "
            "count_sum bigint, groups_sha256 string")
@@ -114,6 +118,14 @@ class _Pool:
         self.values[used:total] = values
         self.bounds = np.concatenate([self.bounds, used + np.cumsum(size)])
 
+    def keep(self, chosen: np.ndarray) -> None:
+        size = np.diff(self.bounds)
+        self.values = self.values[: self.bounds[-1]][np.repeat(chosen, size)]
+        self.bounds = np.concatenate([[0], np.cumsum(size[chosen])])
+
+    def __getitem__(self, part: int) -> np.ndarray:
+        return self.values[self.bounds[part] : self.bounds[part + 1]]
+
 
 class Tokens(NamedTuple):
     """Tokens of some segments: ids, the end of each in the joined bytes, and bounds by segment."""
@@ -150,9 +162,38 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.counts = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, restored
-        self.pairs, self.times, self.text = _Pool(), _Pool(), []
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.counts = np.zeros((0, 5), np.int32)  # n_a, n_b, n_groups, n_links, restored
+        # A pair is numbered A id * number of ids + B id.
+        self.pairs = _Pool(np.uint32 if len(self.name) < 1 << 16 else np.int64)
+        self.times, self.text = _Pool(np.int32), _Pool(np.uint8)
+        self.uses = np.zeros(0, np.int64)
+
+    def _full(self, new: int) -> bool:
+        return bool(len(self.keys)) and (len(self.keys) + new > REMEMBERED
+                                         or self.pairs.bounds[-1] > REMEMBERED_PAIRS)
+
+    def _thin(self) -> None:
+        """Keep the segments that occurred most often, half of a full memory at most."""
+        half = max(1, REMEMBERED // 2)
+        if len(self.uses) > half:
+            often = self.uses > np.partition(self.uses, len(self.uses) - half)[-half]
+        else:
+            often = self.uses > np.median(self.uses)
+        for pool in (self.pairs, self.times, self.text):
+            pool.keep(often)
+        self.counts, self.uses = self.counts[often], self.uses[often] // 2
+        inside = often[self.place]
+        self.keys = self.keys[inside]
+        self.place = (np.cumsum(often) - 1)[self.place[inside]].astype(np.int32)
+
+    def _unmet(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the sorted keys that are not in the memory."""
+        where = np.searchsorted(self.keys, keys)
+        inside = where < len(self.keys)
+        met = np.zeros(len(keys), bool)
+        met[inside] = self.keys[where[inside]] == keys[inside]
+        return np.flatnonzero(~met)
 
     def _joined(self, ids: np.ndarray, table: list[bytes], bounds: np.ndarray, raw: bytes,
                 base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,11 +225,13 @@ class Aligner:
         return Tokens(ids, np.where(inside, decoded, character[end]), bounds, restored)
 
     def _tokens_b(self, segments: list[str], raw: bytes, base: np.ndarray) -> Tokens:
-        made = [m.pieces for m in self.b.encode(segments, return_type="proto", num_threads=1)]
-        bounds = np.cumsum([0] + [len(m) for m in made])
-        pieces = list(_chain(made))
-        ids = np.fromiter([p.id for p in pieces], np.int64, len(pieces))
-        coarse = np.fromiter([p.end for p in pieces], np.int64, len(pieces))
+        made = self.b.encode(segments, return_type="offset_mapping", return_bytes=True,
+                             num_threads=1)
+        bounds = np.cumsum([0] + [len(m["ids"]) for m in made])
+        total = int(bounds[-1])
+        ids = np.fromiter(_chain(m["ids"] for m in made), np.int64, total)
+        spans = np.fromiter(_chain(_chain(m["offsets"] for m in made)), np.int64, 2 * total)
+        coarse = spans[1::2].copy()
         decoded, restored = self._joined(ids, self.bytes_b, bounds, raw, base)
         # The model adds the space in front.
         coarse += 1 + np.repeat(base[:-1], np.diff(bounds))
@@ -204,7 +247,7 @@ class Aligner:
             a = self._tokens_a([" " + t for t in texts], raw, base)
             b = self._tokens_b(texts, raw, base)
             self._add(a, b, a.restored & b.restored, len(part))
-        at = np.arange(len(self.counts) - len(keys), len(self.counts))
+        at = np.arange(len(self.counts) - len(keys), len(self.counts), dtype=np.int32)
         where = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, where, keys)
         self.place = np.insert(self.place, where, at)
@@ -225,7 +268,7 @@ class Aligner:
         bounds_b = np.searchsorted(code_b, np.arange(len(cuts) + 1) * wide)
         in_b, row = _spread(bounds_b, code_a // wide)
         owner = segment[code_a[row] // wide]
-        pair = (code_a[row] % wide << 32) | code_b[in_b] % wide
+        pair = code_a[row] % wide * wide + code_b[in_b] % wide
         order = np.lexsort((pair, owner))
         owner, pair, times = owner[order], pair[order], (n_a[row] * n_b[in_b])[order]
         first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (
@@ -238,7 +281,7 @@ class Aligner:
         self.counts = np.concatenate([self.counts, np.stack([
             np.bincount(seg_a, minlength=n), np.bincount(seg_b, minlength=n),
             np.bincount(segment, minlength=n),
-            np.bincount(owner, times, n).astype(np.int64), good], axis=1)])
+            np.bincount(owner, times, n).astype(np.int64), good], axis=1).astype(np.int32)])
         # a1,a2|b1;a3|b2 for each segment: A ids before B ids in every group.
         group = np.concatenate([group_a, group_b])
         kind = np.repeat([0, 1], [len(ids_a), len(ids_b)])
@@ -251,8 +294,9 @@ class Aligner:
                               np.where(owner[1:] == owner[:-1], 3, 0))
         mark = (b"", b",", b"|", b";")
         parts = [self.name[i] + mark[m] for i, m in zip(ids.tolist(), after.tolist())]
-        bounds = np.searchsorted(owner, np.arange(n + 1)).tolist()
-        self.text += [b"".join(parts[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(owner, np.arange(n + 1))]
+        self.text.add(np.frombuffer(b"".join(parts), np.uint8), np.diff(ends))
 
     def known(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple:
         """(segments, number): the different segments among byte spans, the most frequent first,
@@ -260,21 +304,17 @@ class Aligner:
         keys, one, number, count = np.unique(
             words.hash_spans(raw, start, end), return_index=True, return_inverse=True,
             return_counts=True)
-        for attempt in range(2):
-            where = np.searchsorted(self.keys, keys)
-            inside = where < len(self.keys)
-            met = np.zeros(len(keys), bool)
-            met[inside] = self.keys[where[inside]] == keys[inside]
-            new = np.flatnonzero(~met)
-            if not len(new):
-                break
-            if len(self.keys) and (len(self.keys) + len(new) > REMEMBERED
-                                   or self.pairs.bounds[-1] > REMEMBERED_PAIRS):
-                self.forget()
-                new = np.arange(len(keys))
+        new = self._unmet(keys)
+        for less in (self._thin, self.forget):
+            if len(new) and self._full(len(new)):
+                less()
+                new = self._unmet(keys)
+        if len(new):
             data = raw.tobytes()
             self._learn(keys[new], [data[x:y] for x, y in zip(
                 start[one[new]].tolist(), end[one[new]].tolist())])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.uses[self.place[np.searchsorted(self.keys, keys)]] += count
         order = np.argsort(-count, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
@@ -345,13 +385,17 @@ def _align(batches: Iterator[pa.RecordBatch], path_a: str | None, path_b: str |
                 place = place[used]
             bounds = np.searchsorted(text, np.arange(c.hi - c.lo + 1))
             counts = [_sums(tool.counts[place, k][segment], bounds) for k in range(4)]
-            names = [tool.text[p] for p in place.tolist()]
-            listed = segment.tolist()
-            sha = [hashlib.sha256(b";".join([names[s] for s in listed[x:y]])).hexdigest()
+            shown = memoryview(tool.text.values)
+            names = [bytes(shown[x:y]) for x, y in zip(tool.text.bounds[place].tolist(),
+                                                       tool.text.bounds[place + 1].tolist())]
+            sha = [hashlib.sha256(b";".join([names[s] for s in segment[x:y].tolist()])).hexdigest()
                    if x < y else "" for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            del names, shown
             # The chunk's pairs, numbered; and in how many of its texts each is.
             there, which = _spread(tool.pairs.bounds, place)
             pairs, pair = np.unique(tool.pairs.values[there], return_inverse=True)
+            pairs = pairs.astype(np.int64)
+            pairs = pairs // len(tool.name) << 32 | pairs % len(tool.name)
             segment_bounds = np.searchsorted(which, np.arange(len(place) + 1))
             once = _different(text * len(place) + segment)
             docs = np.zeros(len(pairs), np.int64)
@@ -362,7 +406,7 @@ def _align(batches: Iterator[pa.RecordBatch], path_a: str | None, path_b: str |
                 held = _different((part // len(place))[row] * len(pairs) + pair[inside])
                 docs += np.bincount(held % len(pairs), minlength=len(pairs))
             lists = [*map(pa.array, counts), pa.array(sha, pa.string()), pa.array(pairs),
-                     pa.array(docs)]
+                     pa.array(docs.astype(np.int32))]
             packed = [bounds, segment, segment_bounds, pair, tool.times.values[there]]
             yield pa.RecordBatch.from_arrays(
                 [_one(batch.column("doc").slice(c.lo, c.hi - c.lo)), pa.array([number]),
@@ -410,7 +454,7 @@ def chunked(docs: DataFrame, carry: list[str] | None = None, path_a: str | None
     for field in StructType.fromDDL(_CHUNK):
         schema = schema.add(field)
     return cut(arrow(rows, partial(_align, path_a=path_a, path_b=path_b, size=chunk_bytes), schema),
-               "aligned", "zstd")
+               "aligned", "zstd", **_FEW_ROWS)
 
 
 def links(chunks: DataFrame) -> DataFrame:

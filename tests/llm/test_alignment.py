@@ -139,6 +139,24 @@ def test_forgetting(monkeypatch, tools):
                                 for a, b in groups(tools, text))
 
 
+def test_a_full_memory_keeps_the_frequent_segments(monkeypatch, tools):
+    monkeypatch.setattr(alignment, "REMEMBERED", 8)
+    path = public_tokenizers.path
+    tool = alignment.Aligner(str(path(alignment.TOKENIZER_A)), str(path(alignment.TOKENIZER_B)))
+    import numpy as np
+    learned, learn = [], tool._learn
+    monkeypatch.setattr(tool, "_learn", lambda keys, new: (learned.extend(new), learn(keys, new)))
+    for k in range(12):
+        text = f"the of and the of and w{2 * k}x w{2 * k + 1}y"
+        raw = np.frombuffer(text.encode(), np.uint8)
+        place, number = tool.known(raw, *tool.cuts(raw, np.array([0, len(raw)]))[:2])
+        assert len(tool.keys) == len(tool.counts) == len(tool.uses) <= 8
+        line = b";".join(tool.text[place[k]] for k in number).decode()
+        assert line == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b))
+                                for a, b in groups(tools, text))
+    assert Counter(learned)[b"the"] == 1 and len(learned) == len(set(learned))
+
+
 def test_links_table(spark, tools):
     rows = list(enumerate(made(3, 60)))
     docs = spark.createDataFrame(rows, "`a.b` bigint, text string")
