@@ -47,6 +47,8 @@ BLOCK = 16
 EPSILON = 2.4
 # Pairs of queries and candidates that are looked at together.
 PAIRS = 1 << 19
+# Share of pairs left in a scan from which on they are read one by one.
+DENSE = 0.05
 
 
 class Index:
@@ -97,21 +99,41 @@ def _means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return center
 
 
-def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) pairs that no test abandons, reading ``x`` in blocks of columns."""
+def _blocks(v: np.ndarray, ask: bool) -> list[np.ndarray]:
+    """The blocks of columns, each with two more: the product of a block of queries and one of
+    candidates is the squared distances within the block."""
+    out = []
+    for lo in range(0, v.shape[1], BLOCK):
+        part = v[:, lo : lo + BLOCK]
+        square, one = np.square(part).sum(1, keepdims=True), np.ones((len(part), 1))
+        out.append(np.concatenate([-2 * part, square, one] if ask else [part, one, square], 1))
+    return out
+
+
+def scan(q: np.ndarray, x: np.ndarray, limit: np.ndarray, blocks: list[np.ndarray] | None = None
+         ) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) pairs that no test abandons, reading ``x`` in blocks of columns
+    (``blocks``: those of :func:`_blocks`, if at hand). While more than ``DENSE`` of the pairs are
+    left, a block is one matrix product over all of them; then only the pairs left are read."""
     n = x.shape[1]
-    i = j = part = None
-    for lo in range(0, n, BLOCK):
+    whole = blocks if blocks is not None else _blocks(x, False)
+    asked = _blocks(q, True)
+    i = j = None
+    part, alive = np.zeros((len(q), len(x))), np.ones((len(q), len(x)), bool)
+    for k, lo in enumerate(range(0, n, BLOCK)):
         hi = min(n, lo + BLOCK)
+        slack = 1.0 if hi == n else hi / n * (1 + EPSILON / np.sqrt(hi)) ** 2
+        if i is None and np.count_nonzero(alive) <= DENSE * alive.size:
+            i, j = np.nonzero(alive)
+            part = part[i, j]
         if i is None:
-            part = _squares(q[:, lo:hi], x[:, lo:hi]).ravel()
-            i, j = np.divmod(np.arange(len(part)), len(x))
+            part += asked[k] @ whole[k].T
+            alive &= part <= (limit * slack + 1e-12)[:, None]
         else:
             part = part + np.square(q[i, lo:hi] - x[j, lo:hi]).sum(1)
-        slack = 1.0 if hi == n else hi / n * (1 + EPSILON / np.sqrt(hi)) ** 2
-        alive = part <= limit[i] * slack + 1e-12
-        i, j, part = i[alive], j[alive], part[alive]
-    return i, j
+            left = part <= limit[i] * slack + 1e-12
+            i, j, part = i[left], j[left], part[left]
+    return (i, j) if i is not None else np.nonzero(alive)
 
 
 def in_lists(batches: Iterator[pa.RecordBatch], index: Index, k: int
@@ -120,7 +142,7 @@ def in_lists(batches: Iterator[pa.RecordBatch], index: Index, k: int
     list, slice and query: the candidates of a group are held, and the queries behind them, of
     which there may be any number, pass batch by batch. With a column ``floor`` (null: none) the
     candidates are scanned for inner products of at least that, without it all are met."""
-    keys, group, held, x = ["list", "slice", "query"], None, [], None
+    keys, group, held, x, blocks = ["list", "slice", "query"], None, [], None, None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -142,14 +164,15 @@ def in_lists(batches: Iterator[pa.RecordBatch], index: Index, k: int
                 order = np.argsort(ids, kind="stable")
                 ids, v = ids[order], v[order]
                 distinct, starts = np.unique(ids, return_index=True)
-                x = index.stored(v)
+                x, blocks = index.stored(v), None
             step = max(1, min(128, PAIRS // len(x)))
             for lo in range(0, part.num_rows, step):
                 some = part.slice(lo, step)
                 ask, asks = rows_of(some.column("v")), some.column("vec_id").to_numpy()
                 if "floor" in some.schema.names:
                     floor = some.column("floor").to_numpy(zero_copy_only=False).astype(float)
-                    i, j = scan(index.asked(ask), x, index.limits(ask, floor))
+                    blocks = _blocks(x, False) if blocks is None else blocks
+                    i, j = scan(index.asked(ask), x, index.limits(ask, floor), blocks)
                 else:
                     i, j = _met(ask, asks, v, starts, distinct, k)
                 yield _best(k, asks, ask, ids, v, i, j)

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -152,6 +154,21 @@ def test_scan_abandons_few_of_the_near_ones():
     assert len(i) >= 0.97 * 20 * 31
 
 
+def test_scan_makes_no_rows_of_pairs_while_most_are_left():
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(4000, 65)), rng.normal(size=(64, 65))
+    d = np.square(q[:, None] - x[None]).sum(2)
+    limit = np.sort(d, 1)[:, 20]
+    limit[3] = np.inf
+    tracemalloc.start()
+    i, j = search.scan(q, x, limit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * d.size
+    assert (d[i, j] <= limit[i] * (1 + 1e-9) + 1e-9).all() and (i == 3).sum() == len(x)
+    assert len(i) >= len(x) + 0.97 * 63 * 21
+
+
 @pytest.mark.parametrize("repeat", ["equal", "different"])
 @pytest.mark.parametrize("sample", [4000, 60])
 def test_search_with_one_id_in_a_hundred_rows(spark, monkeypatch, repeat, sample):
