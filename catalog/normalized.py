@@ -257,16 +257,20 @@ MBLOG = """named_struct('id', {id}, 'bid', 'b', 'user', named_struct('id', l_sup
   'created_at', '5分钟前', 'comments_count', CAST(l_linenumber AS STRING),
   'attitudes_count', CAST(l_quantity AS BIGINT), 'reposts_count', '1.2万', 'isLongText', false)"""
 _ID = "(l_partkey * 10000000 + l_suppkey) * 100 + l_linenumber"
-# A page per order: flat cards, groups without a post of their own, and cards with both.
-CARDS = f"""
-SELECT CAST(l_orderkey AS STRING) AS keyword, 1 AS page_no, to_json(named_struct('ok', 1,
-  'data', named_struct('cards', array_sort(collect_list(named_struct('at', {_ID},
+CARD = f"""named_struct('at', {_ID},
     'card_type', CASE WHEN l_returnflag = 'N' THEN 11 ELSE 9 END,
     'mblog', CASE WHEN l_returnflag <> 'N' THEN {MBLOG.format(id=_ID)} END,
     'card_group', CASE WHEN l_returnflag <> 'A' THEN array(
       named_struct('card_type', 9, 'mblog', {MBLOG.format(id='-(' + _ID + ')')}),
-      named_struct('card_type', 8, 'mblog', {MBLOG.format(id='1')})) END)))))) AS body
-FROM {{lineitem}} GROUP BY l_orderkey"""
+      named_struct('card_type', 8, 'mblog', {MBLOG.format(id='1')})) END)"""
+# A page per order: flat cards, groups without a post of their own, and cards with both. The narrow
+# lines are collected, not the cards.
+CARDS = f"""
+SELECT CAST(l_orderkey AS STRING) AS keyword, 1 AS page_no, to_json(named_struct('ok', 1,
+  'data', named_struct('cards', array_sort(transform(lines, l -> {CARD.replace('l_', 'l.l_')})))))
+  AS body
+FROM (SELECT l_orderkey, collect_list(struct(l_partkey, l_suppkey, l_linenumber, l_quantity,
+    l_returnflag, l_linestatus)) AS lines FROM {{lineitem}} GROUP BY l_orderkey)"""
 CARD_IDS = f"""
 SELECT *, {_ID} AS id FROM lineitem WHERE l_returnflag <> 'N'
 UNION ALL SELECT *, -({_ID}) FROM lineitem WHERE l_returnflag <> 'A'"""

@@ -51,18 +51,28 @@ def lenient_int(text: Column) -> Column:
     return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
-def lenient_int_variant(value: Column) -> Column:
+def lenient_int_variant(value: Column, text: Column | None = None) -> Column:
     """The same for a JSON value, whose type decides: integers stay, decimals are cut,
-    digit strings are read, booleans and the rest become 0."""
-    def read(value: Column, kind: Column) -> Column:
+    digit strings are read, booleans and the rest become 0. ``text`` is the value as text, if it
+    was read already."""
+    def typed(value: Column, kind: Column) -> Column:
         return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
-            kind == "STRING", lenient_int(F.try_variant_get(value, "$", "string"))
-        ).when(
             kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"),
             F.try_variant_get(value, "$", "double").try_cast("bigint"),
         )
 
-    found = once(value, lambda v: once(F.schema_of_variant(v), lambda kind: read(v, kind)))
+    # Digits are read alike from a number and a string, and what no number looks like is 0: few
+    # values are left whose type must be known.
+    def read(value: Column, t: Column) -> Column:
+        return F.when(t.rlike("^[0-9]+$"), t.try_cast("bigint")).when(
+            t.rlike("^[-+.0-9Ee]+$"),
+            once(value, lambda v: once(F.schema_of_variant(v), lambda kind: typed(v, kind))))
+
+    if text is None:
+        found = once(value, lambda v: once(
+            F.trim(F.try_variant_get(v, "$", "string")), lambda t: read(v, t)))
+    else:
+        found = read(value, F.trim(text))
     return F.coalesce(found, F.lit(0).cast("bigint"))
 
 

@@ -28,14 +28,19 @@ ENTITIES = [
 ]
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
+# Whether there can be something that _HIDDEN takes out.
+_HIDES = r"(?i)<(?:!--|script|style|template)"
 # One tag at a time: a repeated group would recurse once per tag. Only single characters repeat.
-_TAG = r"<[a-zA-Z/!?][^>]*+>"
+# What no ">" ends is no tag but the rest of the text (group 1), which is then read only once.
+_TAG = r"(<[a-zA-Z/!?][^>]*+\z)|<[a-zA-Z/!?][^>]*+>"
 _SPACES = r"\s\x{0085}\x{00a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}"
 _NODE = "\u0001"  # stands for one or more tags between two text nodes
 _OPEN = "\u0003"  # stands for "<" where no tag or comment can end any more
 _BOUNDARY = "\u0002"  # token that stands for a clause boundary
 # Every character that is blank in Unicode.
+_OTHER = r"\x{001c}-\x{001f}\x{1680}\x{202f}\x{205f}"  # blanks beside _SPACES
 _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_BLANK_ENDS = rf"\A[{_SPACES}{_OTHER}]|[{_SPACES}{_OTHER}]\z"
 _LEGACY = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True)
 
 
@@ -110,24 +115,33 @@ def _reopened(text: Column) -> Column:
     return F.replace(text, F.lit(_OPEN), F.lit("<"))
 
 
+def _trimmed(text: Column) -> Column:
+    """Without blanks at its ends; a look at the ends is cheaper than a search among all blanks."""
+    return once(F.trim(text), lambda t: F.when(
+        t.rlike(_BLANK_ENDS), F.trim(t, F.lit(_BLANKS))).otherwise(t))
+
+
 def strip_html(text: Column, sep: str = " ", strip: bool = False) -> Column:
     """Text nodes joined by ``sep``; with ``strip`` they are trimmed and blank ones dropped.
 
     Text without '<' is returned as it is, NULL as ''.
     """
-    def plain(source: Column) -> Column:
+    def shown(source: Column) -> Column:
         # An unclosed comment is a tag up to the next ">"; behind the last ">" nothing is.
         shut = F.regexp_replace(
             _closed(_closed(source, ">", "<"), "-->", "<!--"), _HIDDEN, _NODE)
-        tags = F.regexp_replace(_closed(_reopened(shut), ">", "<"), _TAG, _NODE)
-        nodes = _reopened(F.regexp_replace(tags, f"{_NODE}++", _NODE))
+        return F.when(source.rlike(_HIDES), _closed(_reopened(shut), ">", "<")).otherwise(
+            _reopened(source))
+
+    def plain(source: Column) -> Column:
+        nodes = _reopened(F.regexp_replace(shown(source), _TAG, f"$1{_NODE}"))
         if strip:
-            nodes = F.regexp_replace(nodes, f"{_NODE}[{_SPACES}{_NODE}]*+", _NODE)
-            nodes = F.array_join(F.filter(F.transform(
-                F.split(nodes, _NODE), lambda n: F.trim(n, F.lit(_BLANKS))),
-                lambda n: n != ""), _NODE)
-        else:
-            nodes = F.trim(nodes, F.lit(_NODE))
+            # Blank nodes of a long text are joined first, so that few are split.
+            few = once(nodes, lambda n: F.when(F.octet_length(n) > 1024, F.regexp_replace(
+                n, f"{_NODE}[{_SPACES}{_NODE}]*+", _NODE)).otherwise(n))
+            return F.array_join(F.filter(F.transform(
+                F.split(few, _NODE), _trimmed), lambda n: n != ""), sep)
+        nodes = F.trim(F.regexp_replace(nodes, f"{_NODE}++", _NODE), F.lit(_NODE))
         return F.replace(nodes, F.lit(_NODE), F.lit(sep))
 
     # Cheap tests of the source decide, so most texts take a short branch.

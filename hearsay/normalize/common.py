@@ -54,7 +54,12 @@ def each(df: DataFrame, keys: Sequence[str], items: Column) -> DataFrame:
 
 def truthy(value: Column | str, path: str) -> Column:
     """Whether a JSON value counts as set: not missing, null, false, 0 or ''."""
-    return ~F.coalesce(get(value, path), F.lit("")).isin("", "0", "false", "0.0")
+    return is_set(get(value, path))
+
+
+def is_set(found: Column) -> Column:
+    """The same of a JSON value that was read as text."""
+    return ~F.coalesce(found, F.lit("")).isin("", "0", "false", "0.0")
 
 
 def raw(value: Column | str) -> Column:

@@ -6,25 +6,36 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearsay.functions.scalars import lenient_int_variant
+from hearsay.functions.scalars import first_non_empty, lenient_int_variant
 from hearsay.functions.text import strip_html
 from hearsay.functions.times import parse_post_time
-from hearsay.normalize.common import array_at, carried, each, get, parsed, raw, text, truthy
+from hearsay.normalize.common import array_at, carried, each, get, is_set, parsed, raw, text
 from hearsay.operators.chains import pages_by_cursor
 from hearsay.operators.shared import top_k_per_key
 
 
+# What is read of a card and of a post. A typed read gives all of it at once; a path read copies
+# what it finds.
+_CARD = "card_type:bigint,mblog:variant"
+_CARDS = f"array<struct<{_CARD},card_group:array<struct<{_CARD}>>>>"
+
+_POST = ("struct<id:string,mid:string,bid:string,user:struct<id:string,screen_name:string>,"
+         "text:string,created_at:string,source:string,reposts_count:string,"
+         "comments_count:string,attitudes_count:string,isLongText:string>")
+
+
 def norm_cards(payloads: DataFrame, keys: Sequence[str] = ("keyword", "page_no")) -> DataFrame:
     """Posts (variant ``mblog``) of a search page's card tree, a card before its group."""
-    cards = each(parsed(payloads), keys, array_at("v", "data.cards"))
-    family = F.concat(F.array("item"), array_at("item", "card_group"))
+    cards = each(parsed(payloads), keys, get("v", "data.cards", _CARDS))
+    own = F.struct("item.card_type", "item.mblog")
+    family = F.concat(F.array(own), F.coalesce("item.card_group", F.array().cast(
+        f"array<struct<{_CARD}>>")))
     members = cards.select(
         *keys, *carried(payloads), F.col("pos").alias("card"), F.posexplode(family).alias("member", "item")
     )
-    mblog = get("item", "mblog", "variant")
+    mblog = F.col("item.mblog")
     return members.where(
-        (get("item", "card_type", "bigint") == 9)
-        & mblog.isNotNull() & ~F.is_variant_null(mblog)
+        (F.col("item.card_type") == 9) & mblog.isNotNull() & ~F.is_variant_null(mblog)
     ).select(*keys, "card", "member", mblog.alias("mblog"), *carried(payloads))
 
 
@@ -40,18 +51,25 @@ def norm_micropost(
 
     ``as_of`` is the fetch time, against which relative times are read.
     """
-    m = "mblog"
-    created = text(m, "created_at")
-    return posts.select(
-        *keys, text(m, "id", "mid").alias("id"), text(m, "bid").alias("mblogid"),
-        text(m, "user.id").alias("user_id"), text(m, "user.screen_name").alias("user_name"),
-        strip_html(text(m, "text"), " ", strip=True).alias("text"),
+    # Every field is read once, in one read of the post; no filter can pass the generator and
+    # read it again.
+    post = posts.select("*", F.explode(F.array(get("mblog", "", _POST))).alias("_post"))
+
+    def field(*names: str) -> Column:
+        return first_non_empty(*[F.col(f"_post.{n}") for n in names])
+
+    created = field("created_at")
+    return post.select(
+        *keys, field("id", "mid").alias("id"), field("bid").alias("mblogid"),
+        field("user.id").alias("user_id"), field("user.screen_name").alias("user_name"),
+        strip_html(field("text"), " ", strip=True).alias("text"),
         created.alias("created_at"),
         parse_post_time(created, _as_of(as_of), utc_offset_seconds).alias("created_ts"),
-        text(m, "source").alias("source"),
-        *[lenient_int_variant(get(m, c, "variant")).alias(c)
+        field("source").alias("source"),
+        *[lenient_int_variant(get("mblog", c, "variant"), F.col(f"_post.{c}")).alias(c)
           for c in ("reposts_count", "comments_count", "attitudes_count")],
-        truthy(m, "isLongText").alias("is_long"), raw(m).alias("raw"), *carried(posts),
+        is_set(F.col("_post.isLongText")).alias("is_long"), raw("mblog").alias("raw"),
+        *carried(posts),
     ).where(F.col("id") != "")
 
 

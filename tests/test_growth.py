@@ -2,10 +2,14 @@
 
 import json
 import math
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+import catalog.all  # noqa: F401
 from catalog.fixtures import Fixtures
+from catalog.registry import QUERIES
 from hearsay.functions import text as X
 from hearsay.operators import hotwords, sentiment as N
 from hearsay.sources import sinks
@@ -115,3 +119,43 @@ def test_a_large_lexicon_moves_tokens_alone(spark):
     few, many = (small_scores(spark, rows, large_lexicon=x) for x in (False, True))
     assert "arrays_zip" in plan(few) and "arrays_zip" not in plan(many)
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_a_post_is_read_once(spark):
+    """One typed read of the cards and one of each post; lines are collected, not whole cards."""
+    text = plan(QUERIES["norm_micropost"](Fixtures(spark, SF)))
+    assert len(re.findall(r"\$, StructField\(id", text)) == 1
+    assert len(re.findall(r"\$\.data\.cards, ArrayType\(StructType", text)) == 1
+    assert not re.search(r"\$\.(?:id|card_type|card_group|mblog|text),", text)
+    assert "collect_list(named_struct(at" not in text
+
+
+def test_posts_of_odd_cards(spark, rows):
+    """Fields of unexpected types are read as paths read them."""
+    from hearsay.normalize import weibo
+    cards = [3, None, "x", {"card_type": "9", "mblog": {"id": 1, "user": "u", "isLongText": 0}},
+             {"card_type": 9, "mblog": {"mid": "2", "user": {"id": 7}, "isLongText": True,
+                                        "reposts_count": 2.9, "comments_count": " 12 ",
+                                        "attitudes_count": "-3"}},
+             {"card_type": 9, "mblog": 5, "card_group": {"card_type": 9}},
+             {"card_type": None, "mblog": {"id": 3}, "card_group": [
+                 None, 4, {"card_type": 9.0, "mblog": {"id": {"a": 1}}}]}]
+    bodies = [json.dumps(b) for b in ({"data": {"cards": cards}}, {"data": {"cards": {}}}, [1])]
+    p = spark.createDataFrame([("k", i, b) for i, b in enumerate([*bodies, "no", None])],
+                              "keyword string, page_no int, body string")
+    found = weibo.norm_cards(p)
+    assert rows(found, "card", "member") == [(3, 0), (4, 0), (5, 0), (6, 3)]
+    assert rows(weibo.norm_micropost(found, 0), "id", "user_id", "reposts_count",
+                "comments_count", "attitudes_count", "is_long") == [
+        ("1", "", 0, 0, 0, False), ("2", "7", 2, 12, 0, True), ('{"a":1}', "", 0, 0, 0, False)]
+
+
+def test_short_and_long_texts_are_stripped_alike(spark):
+    cases = {"<a>　x </a>\x1cy\xa0": "x y", "<b>a<i b": "a<i b", "a <1> <b> </b>c": "a <1> c",
+             "<SCRIPT>x</script>y<!-- z": "y<!-- z", "<b></b> <i> </i>": "", "<p>a\x01b": "a b"}
+    df = spark.createDataFrame([(t + tail,) for t in cases for tail in ("", "<b> </b>" * 200)],
+                               "t string")
+    got = [r[0] for r in df.select(X.strip_html(F.col("t"), " ", strip=True)).collect()]
+    assert got[::2] == list(cases.values())
+    short = {t: w for t, w in cases.items() if ">" in t and "!" not in t and "<i b" not in t}
+    assert [g for t, g in zip(cases, got[1::2]) if t in short] == list(short.values())
